@@ -7,6 +7,7 @@ from the same rows: ``frame`` gives the DataFrame, ``sql`` the equal subquery.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = {
     "documents": ("documents", [
@@ -25,6 +26,16 @@ TABLES = {
         "concat('c', doc_id) AS chunk_id", "coalesce(lang, 'none') AS tenant_id", "coalesce(source, 'none') AS kb_id", "concat('d', doc_id) AS document_id",
         "'v2' AS index_version", "concat('doc_', doc_id) AS title", "coalesce(text, '') AS content", "doc_id",
     ]),
+    # A chunk graph: ten rows to a document, three sections to a document, links between documents.
+    "graph_chunks": ("documents", [
+        "concat('c', doc_id) AS chunk_id", "concat('t', CAST(floor(doc_id / 50) AS INT) % 2) AS tenant_id", "concat('kb', CAST(floor(doc_id / 10) AS INT) % 5) AS kb_id",
+        "CASE WHEN CAST(floor(doc_id / 10) AS INT) % 11 = 0 THEN 'v1' ELSE 'v2' END AS index_version", "concat('g', CAST(floor(doc_id / 10) AS INT)) AS document_id", "concat('Guide ', CAST(floor(doc_id / 10) AS INT)) AS title",
+        "CASE WHEN doc_id % 10 < 3 THEN 's0' WHEN doc_id % 10 < 7 THEN 's1' ELSE 's2' END AS section_id", "CASE WHEN doc_id % 10 >= 3 THEN 's0' END AS parent_section_id",
+        "CAST(doc_id % 10 AS INT) AS order_index", "CASE WHEN doc_id % 10 < 3 THEN 'Top' WHEN doc_id % 10 < 7 THEN concat('Top/Part ', CAST(floor(doc_id / 10) AS INT) % 6) ELSE 'Top/Rest' END AS heading_path",
+        "CASE WHEN doc_id % 7 = 0 THEN 'table' ELSE 'prose' END AS chunk_type",
+        "concat(coalesce(text, ''), CASE WHEN doc_id % 12 = 5 THEN concat(chr(10), '> 参见：Part ', doc_id % 6) WHEN doc_id % 12 = 7 THEN concat(chr(10), '《guide ', doc_id % 40, '》Rest') ELSE '' END) AS content",
+        "CASE WHEN doc_id % 4 = 0 THEN concat('[see](docs/GUIDE ', CAST(floor(doc_id / 10) AS INT) * 7 % 90, '.md#part ', doc_id % 6, ')') WHEN doc_id % 4 = 1 THEN concat('[see](guide ', doc_id % 90, ')') END AS link", "doc_id",
+    ]),
     "keyword_queries": ("benchmark", ["concat('k', item_id) AS query_id", "text AS query_text", "item_id"]),
     "requests": ("events", ["event_id", "ts", "user_id AS tenant_id", "event_type <> 'error' AS success", "value", "event_type"]),
     "turns": ("conversations", ["conv_id", "turn", "role", "coalesce(text, '') AS content"]),
@@ -43,6 +54,13 @@ def sql(name: str) -> str:
     return f"(SELECT {', '.join(columns)} FROM {source})"
 
 
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The chunk graph's chunks (with reference_texts) and their documents."""
+    chunks = frame(spark, sf_dir, "graph_chunks").selectExpr("*", "CASE WHEN link IS NULL THEN CAST(array() AS array<string>) ELSE array(link) END AS reference_texts")
+    documents = chunks.groupBy("document_id", "title").agg(F.min(F.when(F.col("document_id").endswith("3"), 2).otherwise(1)).alias("status"))
+    return chunks, documents
+
+
 def vector_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query may see its own label's base and the one two further on (the same tenant)."""
     queries = frame(spark, sf_dir, "vector_queries")
