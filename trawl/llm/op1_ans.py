@@ -205,8 +205,8 @@ def _encoder(path: str, end_id: int, frame: int):
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = encoder.encode(text) + end
+            for doc_id, one in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
+                one += end
                 if docs and held + len(one) // 4 > frame:
                     yield flush()
                 ids.append(doc_id)

@@ -8,12 +8,16 @@ its pieces in a row. Each worker process encodes a piece once and keeps its ids.
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 #: Unicode White_Space, as the tokenizer's own pattern reads it (Python's \\s has four more).
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PIECE = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Letters that nearly all words of western languages are made of; a run of them that ends at
+#: white space, a full stop or a comma is one piece, and so are the stops and commas after it.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_PIECE = re.compile(f" ?[{_LETTERS}]++(?=[{_SPACE}.,]|$)|[.,]++(?=[{_SPACE}]|$)| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Longer pieces are encoded each time and not kept.
 _LONGEST = 64
 
@@ -27,9 +31,13 @@ def default_path() -> str:
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids; keeps at most ``limit`` pieces."""
+    """Encodes texts to little-endian unsigned 32-bit ids.
+
+    Pieces are kept in two generations of at most ``limit`` pieces each: when the younger one
+    is full it becomes the older one, and pieces found there are taken over when used again.
+    """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,8 +45,12 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The byte-level alphabet: printable Latin-1 stands for itself, other bytes follow from U+0100.
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -46,26 +58,53 @@ class PieceEncoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _look_up(self, found: dict[str, bytes | None]) -> None:
+        """Fills in the ids of the pieces of ``found``, and keeps those that are short."""
+        if len(self.young) + len(found) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for p in found:
+            ids = young.get(p)
+            if ids is None:
+                ids = old.get(p)
+                if ids is None:
+                    new.append(p)
+                    continue
+                young[p] = ids
+            found[p] = ids
+        for p, ids in self._encoded(new):
+            found[p] = ids
+            if len(p) <= _LONGEST and len(young) < self.limit:
+                young[p] = ids
+
+    def _encoded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of pieces. A run of letters is one word to the tokenizer, so its model is asked
+        at once, in its alphabet (one character for each byte)."""
+        rest, tokenize, alphabet = [], self.tokenizer.model.tokenize, self.alphabet
+        for p in pieces:
+            if p[p[0] == " " :].isalpha():
+                word = "\u0120" + p[1:] if p[0] == " " and p.isascii() else p.encode().decode("latin-1").translate(alphabet)
+                yield p, array("I", [t.id for t in tokenize(word)]).tobytes()
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            yield p, array("I", e.ids).tobytes()
+
+    def encode_all(self, texts: list[str | None], at_once: int = 1 << 18) -> Iterator[bytes]:
+        """The ids of each text in turn; pieces are looked up for about ``at_once`` characters."""
+        i = 0
+        while i < len(texts):
+            size, held = 0, []
+            while i < len(texts) and (not held or size < at_once):
+                text = texts[i] or ""
+                held.append(_PIECE.findall(text))
+                size += len(text)
+                i += 1
+            found: dict[str, bytes | None] = dict.fromkeys(chain.from_iterable(held))
+            self._look_up(found)
+            for pieces in held:
+                yield b"".join(map(found.__getitem__, pieces))
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        known = self.known
-        pieces = _PIECE.findall(text)
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        missing = [p for p in set(pieces) if p not in known]
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = list(set(pieces))
-        found = dict(zip(missing, self._encode(missing), strict=True))
-        known.update((p, ids) for p, ids in found.items() if len(p) <= _LONGEST)
-        if len(known) > self.limit:  # one text with very many pieces
-            out = b"".join(known[p] if p in known else found[p] for p in pieces)
-            known.clear()
-            return out
-        return b"".join([known[p] if p in known else found[p] for p in pieces])
+        return next(self.encode_all([text]))
