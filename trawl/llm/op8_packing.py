@@ -40,8 +40,8 @@ def _cutter(path: str, capacity: int, end_id: int):
         encoder, end = PieceEncoder.of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 pieces = -(-n // capacity)
                 cut = n - capacity * (pieces - 1)  # the first piece takes what is left over
