@@ -7,6 +7,8 @@ units, which are bounded by the document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,11 +23,15 @@ def check_sizes(size: int, overlap: int) -> None:
         raise ValueError("size must be positive and overlap between 0 and size - 1")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: lambdas do not share equal subexpressions."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _last_before(text: Column, mark: str, low: Column, high: Column) -> Column:
     """Start (from 0) of the last ``mark`` that lies in text[low:high], or -1."""
     part = F.substring(text, low + 1, high - low)
-    at = F.locate(mark[::-1], F.reverse(part))
-    return F.when(at == 0, -1).otherwise(high - at - len(mark) + 1)
+    return let(F.locate(mark[::-1], F.reverse(part)), lambda at: F.when(at == 0, -1).otherwise(high - at - len(mark) + 1))
 
 
 def window_pieces(text: Column, size: Column | int = SIZE, overlap: Column | int = OVERLAP) -> Column:
@@ -41,19 +47,24 @@ def window_pieces(text: Column, size: Column | int = SIZE, overlap: Column | int
     steps = F.greatest((n / least).cast("int") + 2, F.lit(1))
     start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast(_STRINGS).alias("out"))
 
-    def step(s: Column, _: Column) -> Column:
-        target = F.least(s.at + size, n)
+    def cut(s: Column, target: Column) -> Column:
         low = s.at + F.greatest(F.floor(size / 2), F.lit(1)).cast("int")
-        best = F.greatest(*[_last_before(text, m, s.at + 1, F.least(target + 1, n)) for m in ("\n\n", "\n", " ")])
-        end = F.when((target < n) & (best >= low), best).otherwise(target).cast("int")
-        piece = strip(F.substring(text, s.at + 1, end - s.at))
-        keep = ~s.done & (piece != "") & ~(piece.eqNullSafe(F.try_element_at(s.out, F.lit(-1))))
+        high = F.least(target + 1, n)
+        best = F.greatest(*[_last_before(text, m, s.at + 1, high) for m in ("\n\n", "\n", " ")])
+        return F.when(target < n, let(best, lambda x: F.when(x >= low, x).otherwise(target))).otherwise(target).cast("int")
+
+    def move(s: Column, end: Column, piece: Column) -> Column:
+        keep = (piece != "") & ~(piece.eqNullSafe(F.try_element_at(s.out, F.lit(-1))))
         return F.struct(
-            F.when(s.done, s.at).otherwise(F.greatest(end - overlap, s.at + 1)).cast("int").alias("at"),
-            (s.done | (end >= n)).alias("done"),
+            F.greatest(end - overlap, s.at + 1).cast("int").alias("at"),
+            (end >= n).alias("done"),
             F.when(keep, F.concat(s.out, F.array(piece))).otherwise(s.out).alias("out"),
         )
 
+    def step(s: Column, _: Column) -> Column:
+        go = let(cut(s, F.least(s.at + size, n)), lambda end: let(strip(F.substring(text, s.at + 1, end - s.at)), lambda piece: move(s, end, piece)))
+        return F.when(s.done, s).otherwise(go)
+
     folded = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s.out)
     return F.when(text == "", F.array().cast(_STRINGS)).when(n <= size, F.array(text)).otherwise(folded)
 
@@ -143,9 +154,13 @@ def _is_heading(text: Column) -> Column:
 def _prefixed(prefix: Column, body: Column, size: int, overlap: int) -> Column:
     """The body in windows that leave room for the prefix, which the first one gets."""
     room = size - F.length(prefix) - 2
-    pieces = window_pieces(strip(body), room, F.least(F.lit(overlap), F.greatest(room - 1, F.lit(0))))
-    first = F.when(F.size(pieces) == 0, F.array(prefix)).otherwise(F.concat(F.array(_join(prefix, F.element_at(pieces, 1))), F.slice(pieces, F.lit(2), F.size(pieces))))
-    return F.when(room <= 0, F.concat(F.array(prefix), window_pieces(strip(body), size, overlap))).otherwise(first)
+
+    def fit(text: Column) -> Column:
+        pieces = window_pieces(text, F.greatest(room, F.lit(1)), F.least(F.lit(overlap), F.greatest(room - 1, F.lit(0))))
+        headed = let(pieces, lambda p: F.when(F.size(p) == 0, F.array(prefix)).otherwise(F.concat(F.array(_join(prefix, F.element_at(p, 1))), F.slice(p, F.lit(2), F.size(p)))))
+        return F.when(room <= 0, F.concat(F.array(prefix), window_pieces(text, size, overlap))).otherwise(headed)
+
+    return let(strip(body), fit)
 
 
 def _long(text: Column, size: int, overlap: int) -> Column:
@@ -154,7 +169,8 @@ def _long(text: Column, size: int, overlap: int) -> Column:
     body = F.substring(text, F.length(head) + 2, F.length(text))
     headed = F.coalesce(heading_level(head) <= 2, F.lit(False))
     whole = headed & (strip(body) == "")
-    return F.when(whole, F.array(text)).when(headed, _prefixed(head, body, size, overlap)).otherwise(window_pieces(strip(text), size, overlap))
+    plain = let(strip(text), lambda x: window_pieces(x, size, overlap))
+    return F.when(whole, F.array(text)).when(headed, _prefixed(head, body, size, overlap)).otherwise(plain)
 
 
 def pack_units(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -170,9 +186,8 @@ def pack_units(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
     def state(now: Column, out: Column) -> Column:
         return F.struct(now.alias("now"), out.alias("out"))
 
-    def step(s: Column, u: Column) -> Column:
+    def place(s: Column, u: Column, joined: Column) -> Column:
         flushed = F.when(s.now != "", F.concat(s.out, F.array(s.now))).otherwise(s.out)
-        joined = F.when(s.now == "", u.text).otherwise(_join(s.now, u.text))
         fits = F.length(joined) <= size
         solo = F.when(fits, joined).otherwise(u.text)
         kept = F.when(fits | (s.now == ""), s.out).otherwise(flushed)
@@ -181,12 +196,15 @@ def pack_units(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
         tail = F.when((room > 0) & (F.lit(overlap) > 0), _join(F.substring(s.now, -F.least(F.lit(overlap), room, F.length(s.now)), F.length(s.now)), u.text)).otherwise(u.text)
         return (
             F.when(u.atomic, atomic)
-            .when((s.now != "") & _is_heading(s.now) & ~fits, state(F.lit(""), F.concat(s.out, _prefixed(s.now, u.text, size, overlap))))
+            .when((s.now != "") & ~fits & _is_heading(s.now), state(F.lit(""), F.concat(s.out, _prefixed(s.now, u.text, size, overlap))))
             .when(F.length(u.text) > size, state(F.lit(""), F.concat(flushed, _long(u.text, size, overlap))))
             .when(fits, state(joined, s.out))
             .otherwise(state(tail, flushed))
         )
 
+    def step(s: Column, u: Column) -> Column:
+        return let(F.when(s.now == "", u.text).otherwise(_join(s.now, u.text)), lambda joined: place(s, u, joined))
+
     done = F.aggregate("units", start, step, lambda s: F.when(s.now != "", F.concat(s.out, F.array(s.now))).otherwise(s.out))
     return rows.select("document_id", "section", "pos", _path_text(F.col("path")).alias("heading_path"), F.lit("section").alias("kind"), F.posexplode(done).alias("part", "text"))
 

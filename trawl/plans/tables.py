@@ -61,6 +61,23 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return chunks, documents
 
 
+# Markdown text from conversations: a heading, then text, a table, a fence or a rule to each turn.
+_LINE = (
+    "CASE WHEN turn % 5 = 3 THEN concat('| who | what |', {nl}, '| --- | --- |', {nl}, '| ', role, ' | ', conv_id, ' |', {nl}, {nl}, content) "
+    "WHEN turn % 5 = 4 THEN concat('```', {nl}, '# not a heading', {nl}, {nl}, 'x = ', turn, {nl}, '```') "
+    "ELSE concat(repeat('#', CAST(1 + turn % 3 AS INT)), ' Part ', turn % 4, ' ##', {nl}, {nl}, content, {nl}, '---', {nl}, '> 参见：Part ', turn) END"
+)
+
+
+def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frame(spark, sf_dir, "turns").selectExpr("conv_id", "turn", _LINE.format(nl="char(10)") + " AS line")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x.line), "\n")
+    return rows.groupBy("conv_id").agg(text.alias("content")).select(F.concat(F.lit("m"), "conv_id").alias("document_id"), F.lit("Talk").alias("title"), "content", F.lit("markdown").alias("source_type"))
+
+
+MARKDOWN = f"(SELECT concat('m', conv_id) AS document_id, string_agg({_LINE.format(nl='chr(10)')}, chr(10) ORDER BY turn) AS content FROM {sql('turns')} GROUP BY conv_id)"
+
+
 def vector_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query may see its own label's base and the one two further on (the same tenant)."""
     queries = frame(spark, sf_dir, "vector_queries")
