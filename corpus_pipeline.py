@@ -19,6 +19,8 @@ from trawl.llm.op7_lines import drop_lines
 from trawl.llm.op8_packing import pack_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near-duplicates: words of a shingle, and bits in which fingerprints may differ.
+SHINGLE, RADIUS = 5, 2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, by shingles of five words."""
-    return keep_one(docs, shingle=5).select(COLUMNS)
+    return keep_one(docs, shingle=SHINGLE, radius=RADIUS).select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
