@@ -37,7 +37,7 @@ class PieceEncoder:
     is full it becomes the older one, and pieces found there are taken over when used again.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
