@@ -21,7 +21,7 @@ from trawl.llm.op8_packing import pack_documents
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near-duplicates: words of a shingle, and bits in which fingerprints may differ. Changing one
 #: word of a text of 300 moves about four bits, unrelated texts differ in about 32.
-SHINGLE, RADIUS = 5, 5
+SHINGLE, RADIUS = 5, 4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
