@@ -46,7 +46,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs documents into sequences of 2048 tokens; a row per piece."""
-    return pack_documents(docs)
+    return pack_documents(docs, kept=400_000)  # earlier stages' workers hold memory too
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]

@@ -21,7 +21,10 @@ _PIECE = re.compile(f" ?[{_LETTERS}]++(?=[{_SPACE}.,]|$)|[.,]++(?=[{_SPACE}]|$)|
 #: Longer pieces are encoded each time and not kept.
 _LONGEST = 64
 
-_ENCODERS: dict[str, "PieceEncoder"] = {}
+#: Pieces that a worker keeps in each of two generations; about 200 bytes each.
+KEPT = 800_000
+
+_ENCODERS: dict[tuple[str, int], "PieceEncoder"] = {}
 
 
 def default_path() -> str:
@@ -37,7 +40,7 @@ class PieceEncoder:
     is full it becomes the older one, and pieces found there are taken over when used again.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = KEPT):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -53,10 +56,10 @@ class PieceEncoder:
         self.old: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> "PieceEncoder":
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+    def of(cls, path: str, limit: int = KEPT) -> "PieceEncoder":
+        if (path, limit) not in _ENCODERS:
+            _ENCODERS[path, limit] = cls(path, limit)
+        return _ENCODERS[path, limit]
 
     def _look_up(self, found: dict[str, bytes | None]) -> None:
         """Fills in the ids of the pieces of ``found``, and keeps those that are short."""
