@@ -21,7 +21,7 @@ from trawl.llm.op8_packing import pack_documents
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near-duplicates: words of a shingle, and bits in which fingerprints may differ. Changing one
 #: word of a text of 300 moves about four bits, unrelated texts differ in about 32.
-SHINGLE, RADIUS = 5, 4
+SHINGLE, RADIUS = 5, 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, by shingles of five words."""
-    return keep_one(docs, shingle=SHINGLE, radius=RADIUS).select(COLUMNS)
+    """Keeps one document of each group of near-duplicates, by shingles of five words: linked
+    are fingerprints within RADIUS bits and texts with a Jaccard similarity of 0.8 or more."""
+    return keep_one(docs, shingle=SHINGLE, radius=RADIUS, similar=True).select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,3 +143,36 @@ def test_empty_table(spark, no_docs):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_near_duplicates_by_shingles(spark, monkeypatch):
+    """Every pair of a five-word Jaccard similarity of 0.8 is linked, however far its fingerprints are."""
+    import itertools
+    import random
+
+    from trawl.llm import jaccard
+
+    rng, texts = random.Random(8), []
+    for _ in range(30):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([12, 60, 200]))]
+        texts.append(base)
+        for _ in range(rng.randrange(6)):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 1 + len(base) // 30 + 1)):
+                copy[rng.randrange(len(copy))] = "x" if rng.randrange(2) else f"w{rng.randrange(400)}"
+            texts.append(copy)
+    texts = [" ".join(t) for t in texts] + ["", "A b", "a  B", None]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    fps = [slow_fingerprint(t, pipeline.SHINGLE) for t in texts]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= pipeline.RADIUS or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert any((fps[i] ^ fps[j]).bit_count() > pipeline.RADIUS for i, j in pairs)
+    root = list(range(len(texts)))
+    for i, j in pairs * 8:
+        root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted({min(i for i, r in enumerate(root) if r == x) for x in root})
+    for sample, dense in ((64, 8), (1, 0)):  # all pairs at once; common shingles last, and rounds of leaders
+        monkeypatch.setattr(jaccard, "SAMPLE", sample)
+        monkeypatch.setattr(jaccard, "DENSE", dense)
+        assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, SF).collect()) == want

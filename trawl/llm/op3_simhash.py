@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.llm import jaccard
 from trawl.llm.common import attach, keyed, stored, table, utf8
 
 SHINGLE = 3
@@ -38,26 +39,32 @@ BITS = 64
 LIMIT = 2048
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> bytes:
+    """Eight bytes for each shingle of a text, repeated ones as often as they occur."""
     # bytes.lower() and bytes.split() know exactly A-Z and the six ASCII spaces.
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return b""
     joined = b" ".join(words)
     digest = xxhash.xxh64_digest
     if len(words) <= shingle:
-        hashes = digest(joined, seed)
-        n = 1
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        begins = np.concatenate([[0], ends[:-shingle]])
-        n = len(begins)
-        hashes = b"".join([digest(joined[b:e], seed) for b, e in zip(begins.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)])
+        return digest(joined, seed)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begins = np.concatenate([[0], ends[:-shingle]])
+    return b"".join([digest(joined[b:e], seed) for b, e in zip(begins.tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)])
+
+
+def majority(hashes: bytes) -> int:
+    """The bits that are set in over half of the hashes."""
+    raw = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
     counts = np.zeros(BITS, np.int64)
-    raw = np.frombuffer(hashes, np.uint8).reshape(n, 8)
-    for at in range(0, n, 65536):
+    for at in range(0, len(raw), 65536):
         counts += np.unpackbits(raw[at : at + 65536], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(raw)).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def _fingerprints(shingle: int):
@@ -155,12 +162,24 @@ def connected(edges: DataFrame) -> DataFrame:
         edges = stored(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT) -> DataFrame:
-    """A row per document: doc_id, _id, _th, fp (as a signed long) and component_id."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT, similar: bool = False) -> DataFrame:
+    """A row per document: doc_id, _id, _th, fp (as a signed long) and component_id.
+
+    With ``similar``, texts whose shingle sets have a Jaccard similarity of 0.8 or more are
+    linked too, whatever their fingerprints.
+    """
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    fps = stored(rows.select("doc_id", "_id", "_th", "text").mapInArrow(_fingerprints(shingle), "doc_id long, _id long, _th long, fp long"), "fingerprints")
+    texts = rows.select("doc_id", "_id", "_th", "text")
+    if similar:
+        fps = stored(jaccard.marked(texts, shingle), "fingerprints")
+    else:
+        fps = stored(texts.mapInArrow(_fingerprints(shingle), "doc_id long, _id long, _th long, fp long"), "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    links = connected(bucket_edges(classes.select("fp"), radius, limit)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    edges = connected(bucket_edges(classes.select("fp"), radius, limit))
+    if similar:
+        edges = jaccard.linked(edges, fps, texts, shingle)
+        fps = fps.select("doc_id", "_id", "_th", "fp")
+    links = edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = classes.join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = stored(rooted.join(roots, "root").select("fp", "component_id", "root"), "components")
