@@ -50,3 +50,13 @@ def test_query_runs(spark, name):
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_seeds_take_every_chunk(spark):
+    from trawl.plans import graph_queries as gq
+
+    sf = "/root/testdata/sf0.01"
+    seeds = gq.first_seeds(spark, sf)
+    assert seeds.count() == gq.anchors(spark, sf).count()
+    sizes = seeds.groupBy("query_id").count().collect()
+    assert len(sizes) > 30 and max(r["count"] for r in sizes) <= 60

@@ -126,8 +126,10 @@ def seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve seeds to a query, as retrieval would hand over."""
-    return seeds(spark, d).filter("rank <= 12")
+    """Every chunk as a seed: a query for each base and 120 documents in turn, so queries grow
+    with the table and each has few seeds, as retrieval would hand over."""
+    rows = anchors(spark, d).withColumn("query_id", F.expr("concat_ws(':', tenant_id, kb_id, CAST(floor(doc_id / 120) AS BIGINT))"))
+    return rows.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY doc_id * 31 % 101, doc_id)"))
 
 
 @query("e10_graph_injection")
