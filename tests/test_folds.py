@@ -137,3 +137,15 @@ def test_pack_items(spark):
     got = sorted(map(tuple, research.pack_items(selected, chunks).collect()), key=lambda r: r[1])
     assert [(r[2], r[4]) for r in got] == [("c0", "E1"), ("c1", "E2"), ("c3", "E3")]
     assert research.missing_chunks(selected, chunks.limit(0)).count() == 5
+
+
+def test_evaluation_groups_are_bounded(spark):
+    """Groups that are folded stay small and grow in number with the table."""
+    from trawl.plans import evaluation_queries as eq
+
+    sf = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    pools = eq._pool_rows(spark, sf).groupBy("query_id").count().collect()
+    assert len(pools) >= n // 36 and max(r["count"] for r in pools) <= 36
+    assert eq.QUERIES["h6_evidence_items"](spark, sf).select("query_id").distinct().count() > 25
+    assert eq.QUERIES["i23_fingerprints"](spark, sf).count() >= n // 20

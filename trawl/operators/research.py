@@ -100,7 +100,10 @@ def evidence_pool(rows: DataFrame) -> DataFrame:
     """
     tops = rows.filter("part = 'top'").select("query_id", "chunk_id").distinct().withColumn("_top", F.lit(True))
     rows = rows.join(tops, ["query_id", "chunk_id"], "left").filter("part <> 'base' OR _top IS NULL")
-    item = F.struct(F.col("pos").cast("long").alias("pos"), F.col("chunk_id"), squeeze(F.col("content")).alias("text"), F.col("source"))
+    # A repeated id and text is never taken twice, so only its first row goes into the arrays.
+    first = F.min(F.struct(F.col("pos").cast("long").alias("pos"), F.col("source"))).alias("x")
+    rows = rows.groupBy("query_id", "part", "chunk_id", squeeze(F.col("content")).alias("text")).agg(first)
+    item = F.struct(F.col("x.pos").alias("pos"), F.col("chunk_id"), F.col("text"), F.col("x.source").alias("source"))
     lists = rows.groupBy("query_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("part") == p, item))).cast(f"array<{_ITEM}>").alias(p) for p in ("top", "context", "base")])
     lists = lists.select("query_id", *[_fold(F.col(p), _empty(1 << 30)).out.alias(p) for p in ("top", "context", "base")])
     state = _empty(POOL)

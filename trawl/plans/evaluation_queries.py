@@ -76,7 +76,7 @@ def h3(spark, d):
 
 def _pool_rows(spark, d):
     rows = t.frame(spark, d, "documents")
-    return rows.selectExpr("concat('q', doc_id % 12) AS query_id", "element_at(array('top', 'context', 'base'), CAST(doc_id * 7 % 3 + 1 AS INT)) AS part", "doc_id AS pos", "concat('c', doc_id * 11 % 200) AS chunk_id", "concat('Body ', doc_id * 11 % 170) AS content", "'vector' AS source")
+    return rows.selectExpr("concat('q', CAST(floor(doc_id / 36) AS BIGINT)) AS query_id", "element_at(array('top', 'context', 'base'), CAST(doc_id * 7 % 3 + 1 AS INT)) AS part", "doc_id AS pos", "concat('c', doc_id * 11 % 200) AS chunk_id", "concat('Body ', doc_id * 11 % 170) AS content", "'vector' AS source")
 
 
 @query("h4_evidence_pool")
@@ -99,7 +99,7 @@ def h5(spark, d):
 @query("h6_evidence_items")
 def h6(spark, d):
     chunks = t.frame(spark, d, "text_chunks")
-    selected = chunks.selectExpr("concat('q', doc_id % 25) AS query_id", "doc_id AS place", "tenant_id", "kb_id", "index_version", "chunk_id")
+    selected = chunks.selectExpr("concat('q', CAST(floor(doc_id / 24) AS BIGINT)) AS query_id", "doc_id AS place", "tenant_id", "kb_id", "index_version", "chunk_id")
     return research.pack_items(selected, chunks)
 
 
@@ -376,7 +376,7 @@ def i22(spark, d):
 
 @query("i23_fingerprints")
 def i23(spark, d):
-    rows = runs(spark, d).selectExpr("`group`", "concat('case', doc_id % 50) AS case_id", "doc_id AS pos", "concat('c', doc_id) AS chunk_id", "CASE WHEN doc_id % 50 = 7 THEN config ELSE 'same' END AS content")
+    rows = runs(spark, d).selectExpr("`group`", "concat('case', CAST(floor(doc_id / 20) AS BIGINT)) AS case_id", "doc_id AS pos", "concat('c', doc_id) AS chunk_id", "CASE WHEN doc_id % 50 = 7 THEN config ELSE 'same' END AS content")
     found = ev.fingerprints(rows)
     return found.groupBy("case_id").agg(F.countDistinct("fingerprint").alias("different"))
 
