@@ -60,3 +60,12 @@ def test_seeds_take_every_chunk(spark):
     assert seeds.count() == gq.anchors(spark, sf).count()
     sizes = seeds.groupBy("query_id").count().collect()
     assert len(sizes) > 30 and max(r["count"] for r in sizes) <= 60
+
+
+def test_stream_counts_stay_out_of_the_driver(spark, monkeypatch):
+    from trawl.streaming import jobs
+
+    monkeypatch.setattr(jobs, "to_memory", None)
+    for name in ("j5_hourly_counts", "j4_daily_successes"):
+        found = catalog.queries()[name](spark, SF)
+        assert found.count() > 0 and all("/rows/batch=" in f for f in found.inputFiles())

@@ -184,12 +184,12 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j5_hourly_counts", f"SELECT tenant_id, date_trunc('hour', ts) AS start, count(*) AS n FROM {t.sql('requests')} GROUP BY ALL")
 def j5(spark, d):
-    return jobs.to_memory(jobs.request_counts(_events(spark, d), "1 hour", "60 days"), f"j5_{_name()}", "complete")
+    return jobs.to_parquet(jobs.request_counts(_events(spark, d), "1 hour", "60 days"), _folder(spark))
 
 
 @query("j4_daily_successes", f"SELECT tenant_id, date_trunc('day', ts) AS start, count(*) AS n FROM {t.sql('requests')} WHERE success GROUP BY ALL")
 def j4(spark, d):
-    return jobs.to_memory(jobs.daily_successes(_events(spark, d), "60 days"), f"j4_{_name()}", "complete")
+    return jobs.to_parquet(jobs.daily_successes(_events(spark, d), "60 days"), _folder(spark))
 
 
 @query("j6_latest_feedback", f"""SELECT trace_id, score, event_id FROM (SELECT event_id % 400 AS trace_id, event_id, CAST(floor(value) AS INT) % 7 AS score, row_number() OVER (PARTITION BY event_id % 400 ORDER BY ts DESC, CAST(floor(value) AS INT) % 7 DESC) AS n FROM {t.sql('requests')} WHERE CAST(floor(value) AS INT) % 7 BETWEEN 1 AND 5 AND event_id % 11 > 0) WHERE n = 1""")

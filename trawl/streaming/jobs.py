@@ -78,7 +78,25 @@ def request_records(events: DataFrame) -> DataFrame:
 
 
 def to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream to its end into a table in memory, for tests and small tables."""
+    """Runs a stream to its end into a table in memory, for tests."""
     job = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     job.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def to_parquet(stream: DataFrame, path: str) -> DataFrame:
+    """Runs an aggregated stream to its end; the result of its last batch lies in ``path``.
+
+    Executors write each batch's whole result into a folder of its own, so a replay is harmless
+    and no rows come to the driver.
+    """
+    done = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        done.append(number)
+
+    job = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    job.awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={done[-1]}") if done else spark.createDataFrame([], stream.schema)
