@@ -67,3 +67,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert lang.train_languages(no_docs, SMALL) is None
     assert lang.score_languages(no_docs, model).collect() == []
     assert {r._lang_pred for r in lang.score_languages(odd_docs, None).collect()} == {"und"}
+
+
+def test_a_repeated_id_is_sampled_once(spark, monkeypatch):
+    from trawl.llm import op2_language as op2
+
+    sizes = []
+    monkeypatch.setattr(op2.BiGRU, "train", lambda self, x, *a: sizes.append(len(x)))
+    docs = spark.createDataFrame([(1, f"words of text {i}", "en") for i in range(50)] + [(2, "other words", "en")], "doc_id long, text string, lang string")
+    op2.train_languages(docs, op2.SampleSize(documents=40, windows=4, steps=1, batch=2))
+    assert sizes and sizes[0] <= 2 * 4

@@ -201,6 +201,7 @@ def train_languages(docs: DataFrame, size: SampleSize = SampleSize()) -> BiGRU |
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= size.documents)
     chosen = docs.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").filter(F.col("text").rlike("\\p{L}"))
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # rows may share an id
     rows = chosen.select("lang", "text").mapInArrow(_sampler(size.windows), "lang string, part binary").collect()
     if not rows:
         return None
