@@ -1,6 +1,8 @@
 import html
 import re
 
+import numpy as np
+
 from trawl.llm import op4_html as ex
 
 
@@ -11,7 +13,9 @@ def test_pages_equal_their_articles(spark):
         article = re.search(r"<article>(.*?)(</article>|$)", p.html or "", re.S)
         blocks = re.split(r"</?(?:p|h1)>", article[1] if article else "")
         clean = [" ".join(html.unescape(re.sub(r"</?b>", "", b.replace("<br>", " "))).split()) for b in blocks]
-        assert got[p.page_id].text == "\n".join(b for b in clean if b)
+        want = "\n".join(b for b in clean if b)
+        assert got[p.page_id].text == want
+        assert ex.main_text((p.html or "").replace("article>", "div>")) == want  # a box like any other
         assert got[p.page_id].n_chars == len(got[p.page_id].text) and got[p.page_id].url == p.url
 
 
@@ -47,8 +51,45 @@ def test_odd_pages(spark):
     assert ex.extract_text(pages.unionAll(pages)).count() == 2 * len(cases)
 
 
-def test_regions_are_runs_of_high_lines():
-    import numpy as np
+def test_clusters_are_runs_of_high_lines():
+    found = ex.clusters(np.array([0, 0, 0, 90, 80, 5, 100, 0, 0, 0, 0, 60, 0.0]))
+    assert [(b, e) for b, e, _ in found] == [(3, 6), (11, 11)] and found[0][2] > found[1][2]
+
+
+#: No tag or class says what belongs to the text: the ratios alone must find it.
+PLAIN = f"""<html><body><div><div><a href=/>Home</a></div><div><a href=/a>About</a></div><div><a href=/b>Contact us</a></div></div>
+<div><div><b>Hot</b> <i>now</i></div><div><span>12</span> <span>May</span></div></div>
+<div><div>The Title</div><div>{LONG}</div><div>Tiny.</div><div>{LONG}<br>{LONG}</div><div>{LONG}</div><div>The end.</div></div>
+<div><div><i>Some</i> <b>words</b></div><div><span>a</span><span>b</span></div></div><div><span>Copyright</span> <span>nobody</span></div></body></html>"""
+
+
+def test_plain_boxes_are_told_by_their_ratios(monkeypatch):
+    want = " ".join(LONG.split())
+    assert ex.main_text(PLAIN) == f"The Title\n{want}\nTiny.\n{want} {want}\n{want}\nThe end."
+    monkeypatch.setattr(ex, "smoothed", lambda ratios, *a: ratios)
+    assert ex.main_text(PAGE) != "" and ex.regions([]) == []
+
+
+def test_a_lone_long_line_among_links_is_smoothed_away(monkeypatch):
+    notice = "A notice of some length that stands alone among short ones, as long as a paragraph."
+    page = PLAIN.replace("<div><b>Hot</b>", f"<div>{notice}</div><div><b>Hot</b>")
+    assert notice not in ex.main_text(page)
+
+
+def test_switched_off_regions_change_every_page(spark, monkeypatch):
+    pages = [p.html for p in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect() if p.html]
+    texts = [ex.main_text(h) for h in [*pages, PLAIN, PAGE]]
+    monkeypatch.setattr(ex, "regions", lambda lines: [True] * len(lines))
+    assert all(ex.main_text(h) != t for h, t in zip([*pages, PLAIN, PAGE], texts, strict=True))
+
+
+def test_time_is_linear_in_nesting():
+    import time
 
-    found = ex.regions(np.array([0, 0, 0, 90, 80, 5, 100, 0, 0, 0, 0, 60, 0.0]))
-    assert found[0][0] <= 3 and found[0][1] >= 6
+    took = []
+    for n in (4000, 16000):
+        page = "<div>x" * n + "</b>" * n + "</i></span>" * n + "</div>" * n
+        began = time.process_time()
+        assert ex.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5

@@ -1,18 +1,20 @@
 """Main text of HTML pages from streaming parser events.
 
 The standard library's parser reports tags and text in page order; nothing is built but a
-list of lines, one for each block of text. A line's text-to-tag ratio is its characters over
-the tags met in it; lines in menus, footers, forms and the like have ratio 0. Ratios are
-smoothed with a Gaussian over neighbouring lines, lines above a threshold (a share of the
-ratios' standard deviation) cluster into regions, and the article that holds the largest
-region gives the text: inside it every line counts, short ones too, except those that belong
-to the page rather than to the text. Where a page marks no article, the text runs from the
-first to the last line of the regions.
+list of lines, one for each block of text, and the parent of each element. A line's
+text-to-tag ratio is its characters over the tags met in it. What is known of tags only
+weighs the ratio: 0 in menus, footers, forms and the like and for lists of links, more inside
+an article. Ratios are smoothed with a Gaussian over neighbouring lines. Lines whose own and
+smoothed ratio are above a threshold (a share of the smoothed ratios' standard deviation)
+cluster into regions, and the regions of most mass give the text: their lines of any positive
+ratio, and such lines beside them in the same innermost element that holds the whole region
+(short paragraphs at its ends), unless that element is the page itself.
 
 Defined cases: null and empty html give an empty text; broken, nested and unclosed tags are
-read as the parser reports them; text in a script or style left open at the end is dropped;
-rows with equal or null page_id are each extracted; an empty table gives no rows; other
-columns are ignored.
+read as the parser reports them, in time linear in the page; pages of any length are read
+whole; text in a script or style left open at the end is dropped; of equal ratios none comes
+first, all lines of a region stay in page order; rows with equal or null page_id are each
+extracted; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,16 @@ from trawl.llm.common import table
 SIGMA = 1.0
 RADIUS = 2
 THRESHOLD = 0.5  # of the standard deviation of the smoothed ratios
+LEAST_MASS = 0.25  # of the largest region's mass
+IN_ARTICLE = 4.0  # weight of a line inside an article
+PAGE_DEPTH = 2  # of the body element, below html
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video select option datalist textarea button".split())
 PAGE = frozenset("nav footer aside form menu dialog fieldset".split())
 BLOCKS = frozenset("html body article main section div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 header hgroup footer nav aside form fieldset table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary hr menu dialog center noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ALONE = frozenset("li dt dd tr td th".split())  # one that opens ends one left open
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words in a class or id that mark parts of the page beside the text.
 HINTS = frozenset(
@@ -51,77 +58,109 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-class _Element:
-    __slots__ = ("comment", "hinted", "name", "off")
+class Line(NamedTuple):
+    """A block's text, its ratio, its element's number, and the depth of the innermost
+    element that holds both this line and the one before."""
 
-    def __init__(self, name: str, off: bool, hinted: bool, comment: bool):
-        self.name, self.off, self.hinted, self.comment = name, off, hinted, comment
+    text: str
+    ratio: float
+    element: int
+    shared: int
 
 
 class Lines(HTMLParser):
-    """Collects lines: [pieces of text, tags, characters in links, article, elements above]."""
+    """Collects the lines of a page.
+
+    Elements are numbered as they open. ``depth`` and ``parent`` give their place; whether a
+    line is beside the text is inherited from element to element, so none is visited twice.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[_Element] = []
-        self.lines: list[list] = []
-        self.articles = 0  # numbered from 1
-        self.at: list[tuple[int, int]] = []  # (depth, number) of the articles that are open
-        self.links = 0
-        self.silent = 0
-        self._new()
-
-    def _new(self) -> None:
-        self.line = [[], 0, 0, 0, ()]
+        self.depth, self.parent, self.name = [0], [-1], [""]  # element 0 is the page
+        self.beside, self.comment, self.article = [False], [False], [False]
+        self.stack = [0]
+        self.places: dict[str, list[int]] = {}  # depths of the open elements of a name
+        self.blocks = [0]  # depths of the open blocks
+        self.articles = self.links = self.silent = 0
+        self.lines: list[Line] = []
+        self.tags = self.linked = self.size = 0
+        self.pieces: list[str] = []
+        self.home = 0
 
     def flush(self) -> None:
-        if self.line[0]:
-            self.lines.append(self.line)
-        tags = self.line[1] if not self.line[0] else 0
-        self._new()
-        self.line[1] = min(tags, 4)
+        text = " ".join("".join(self.pieces).split())
+        if text:
+            e = self.home
+            in_list = len(text) < 25 and (self.name[e] == "li" or self.name[self.parent[e]] == "li")
+            links = self.linked > 0.6 * self.size and (not self.article[e] or in_list)
+            weight = 0.0 if self.beside[e] or links else IN_ARTICLE if self.article[e] else 1.0
+            self.lines.append(Line(text, weight * len(text) / max(1, self.tags), e, self._shared(e)))
+        self.tags = 0 if text else min(self.tags, 4)
+        self.pieces, self.linked, self.size = [], 0, 0
+
+    def _shared(self, e: int) -> int:
+        """Climbs from the last line's element and this one to where they meet; over a whole
+        page that takes no more steps than there are elements."""
+        if not self.lines:
+            return 0
+        a, b = self.lines[-1].element, e
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+        return self.depth[a]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
             if tag == "hr":
                 self.flush()
             elif tag == "br":
-                self.handle_data(" ", brk=True)
-            self.line[1] += 1
+                self._text(" ")
+            self.tags += 1
             return
         if tag in BLOCKS:
             self.flush()
-        self.line[1] += 1
-        off, hinted, comment = tag in PAGE, False, False
-        inside = bool(self.at)
-        if tag == "header" and not inside:
-            off = True
-        if attrs:
-            for name, value in attrs:
-                value = value or ""
-                if name in ("class", "id"):
-                    if tag not in ("html", "body", "main"):
-                        words = {w.lower() for w in _WORD.findall(value)}
-                        comment |= bool(words & COMMENTS)
-                        hinted |= bool(words & HINTS)
-                elif name == "role":
-                    off |= value.strip().lower() in ROLES
-                elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
-                    off = True
-        if tag in ("article", "main") or (tag == "div" and ("role", "main") in attrs):
-            beside = comment or any(e.comment for e in self.open)
-            if not beside:
-                if not inside and not self.articles:
-                    for e in self.open:  # the text cannot lie in a part beside it: that was left open
-                        e.off = e.hinted = False
-                off = hinted = False
-                self.articles += 1
-                self.at.append((len(self.open), self.articles))
-        if tag in SILENT:
-            self.silent += 1
-        if tag == "a":
-            self.links += 1
-        self.open.append(_Element(tag, off, hinted, comment))
+            for left_open in ("p", tag if tag in ALONE else "p"):
+                if self.name[self.stack[self.blocks[-1]]] == left_open:
+                    self._close(self.blocks[-1])
+        self.tags += 1
+        top = self.stack[-1]
+        inside = self.article[top]
+        off, comment = tag in PAGE or (tag == "header" and not inside), False
+        for name, value in attrs:
+            value = value or ""
+            if name in ("class", "id"):
+                if tag not in ("html", "body", "main"):
+                    words = {w.lower() for w in _WORD.findall(value)}
+                    comment |= bool(words & COMMENTS)
+                    off |= bool(words & HINTS)
+            elif name == "role":
+                off |= value.strip().lower() in ROLES
+            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
+                off = True
+        comment |= self.comment[top]
+        off |= self.beside[top] or comment
+        article = inside
+        if not comment and (tag in ("article", "main") or (tag == "div" and ("role", "main") in attrs)):
+            article = True
+            # The first one cannot lie in a part beside the text: that was left open.
+            off &= bool(self.articles) and not inside
+            self.articles += 1
+        me = len(self.parent)
+        self.parent.append(top)
+        self.depth.append(self.depth[top] + 1)
+        self.name.append(tag)
+        self.beside.append(off)
+        self.comment.append(comment)
+        self.article.append(article)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(me)
+        self.silent += tag in SILENT
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -131,28 +170,32 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        self.line[1] += 1
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth].name == tag:
-                for e in self.open[depth:]:
-                    self.silent -= e.name in SILENT
-                    self.links -= e.name == "a"
-                del self.open[depth:]
-                while self.at and self.at[-1][0] >= depth:
-                    self.at.pop()
-                return
-            if tag not in BLOCKS and self.open[depth].name in BLOCKS:
-                return  # an inline tag does not close a block
-
-    def handle_data(self, data: str, brk: bool = False) -> None:
-        if self.silent or not data or (not self.line[0] and data.isspace()):
+        self.tags += 1
+        places = self.places.get(tag)
+        if not places or (tag not in BLOCKS and places[-1] < self.blocks[-1]):
+            return  # it closes nothing: an inline tag does not close a block
+        self._close(places[-1])
+
+    def _close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name = self.name[self.stack.pop()]
+            self.places[name].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            self.silent -= name in SILENT
+            self.links -= name == "a"
+
+    def handle_data(self, data: str) -> None:
+        self._text(data, self.links > 0)
+
+    def _text(self, data: str, linked: bool = False) -> None:
+        if self.silent or not data or (not self.pieces and data.isspace()):
             return
-        if not self.line[0]:
-            self.line[3] = self.at[0][1] if self.at else 0
-            self.line[4] = tuple(self.open)
-        self.line[0].append(data)
-        if self.links and not brk:
-            self.line[2] += len(data)
+        if not self.pieces:
+            self.home = self.stack[-1]
+        self.pieces.append(data)
+        self.size += len(data)
+        self.linked += linked * len(data)
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
@@ -161,12 +204,43 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) ->
     return np.convolve(ratios, weights, "full")[radius:-radius] / mass
 
 
-def regions(ratios: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
-    """Runs of lines above the threshold: first, last, and their summed smoothed ratio."""
+def clusters(ratios: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, float]]:
+    """Runs of lines above the threshold, over lines of ratio above 0 between them: first,
+    last, and the mass (the sum of the smoothed ratios of those above)."""
     s = smoothed(ratios)
-    high = s > min(threshold * s.std(), s.max() * 0.999)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], high.astype(np.int8), [0]])))
-    return [(int(b), int(e) - 1, float(s[b:e].sum())) for b, e in zip(edges[::2], edges[1::2], strict=True)]
+    least = min(threshold * s.std(), 0.999 * s.max())
+    strong = np.flatnonzero((s > least) & (ratios > min(least, 0.999 * ratios.max())))
+    breaks = np.cumsum(ratios <= 0)
+    found: list[tuple[int, int, float]] = []
+    for i in strong.tolist():
+        if found and breaks[i] == breaks[found[-1][1]]:
+            found[-1] = (found[-1][0], i, found[-1][2] + float(s[i]))
+        else:
+            found.append((i, i, float(s[i])))
+    return found
+
+
+def regions(lines: list[Line], threshold: float = THRESHOLD, least_mass: float = LEAST_MASS) -> list[bool]:
+    """Which lines are in the regions of most mass."""
+    ratios, shared = np.array([x.ratio for x in lines]), [x.shared for x in lines]
+    chosen = [False] * len(lines)
+    if not ratios.any():
+        return chosen
+    found = clusters(ratios, threshold)
+    most = max(mass for *_, mass in found)
+    found = [(b, e) for b, e, mass in found if mass >= least_mass * most]
+    first, last = found[0][0], found[-1][1]
+    depth = min(shared[first + 1 : last + 1], default=None)
+    if depth is None:  # one line: its own element's parent
+        depth = max(shared[first], shared[first + 1] if first + 1 < len(lines) else 0)
+    if depth > PAGE_DEPTH:  # the lines of the element that holds all of them
+        while first > 0 and shared[first] >= depth:
+            first -= 1
+        while last + 1 < len(lines) and shared[last + 1] >= depth:
+            last += 1
+    for i in range(first, last + 1):
+        chosen[i] = bool(ratios[i] > 0)
+    return chosen
 
 
 def main_text(html: str | None) -> str:
@@ -176,37 +250,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    rows = []  # text, ratio, article, may count
-    for pieces, tags, linked, article, above in parser.lines:
-        text = " ".join("".join(pieces).split())
-        if not text:
-            continue
-        beside = any(e.off or e.hinted or e.comment for e in above)
-        mostly_links = linked > 0.6 * len(text) and (article == 0 or len(text) < 25 and any(e.name == "li" for e in above))
-        rows.append((text, 0.0 if beside or mostly_links else len(text) / max(1, tags), article, not beside))
-    if not rows:
-        return ""
-    ratios = np.array([r[1] for r in rows])
-    if not ratios.any():
-        return ""
-    found = regions(ratios)
-    mass: dict[int, float] = {}
-    for i, s in enumerate(smoothed(ratios)):
-        if any(b <= i <= e for b, e, _ in found) and rows[i][3]:
-            mass[rows[i][2]] = mass.get(rows[i][2], 0.0) + float(s)
-    marked = {a: m for a, m in mass.items() if a}
-    if marked:
-        best = max(marked.values())
-        chosen = {a for a, m in marked.items() if m >= 0.5 * best}
-        return "\n".join(r[0] for r in rows if r[2] in chosen and r[3])
-    big = max(m for *_, m in found)
-    kept = [(b, e) for b, e, m in found if m >= 0.25 * big]
-    first, last = min(b for b, _ in kept), max(e for _, e in kept)
-    while first > 0 and rows[first - 1][3] and rows[first - 1][1] > 0:  # a heading just above
-        first -= 1
-    while last + 1 < len(rows) and rows[last + 1][3] and rows[last + 1][1] > 0:
-        last += 1
-    return "\n".join(r[0] for r in rows[first : last + 1] if r[3] and r[1] > 0)
+    return "\n".join(line.text for line, yes in zip(parser.lines, regions(parser.lines), strict=True) if yes)
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
