@@ -56,7 +56,6 @@ def test_documents(spark, odd_docs, no_docs, capacity):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     got = packing.pack_documents(odd_docs, capacity).collect()
     check([(r.length, r.sequence_id, r.offset) for r in got], capacity)
     want = []

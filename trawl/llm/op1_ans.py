@@ -10,8 +10,10 @@ are values of a Parquet folder written and read by Spark, so a lost executor cos
 only, and the frames of a folder are decoded independently of each other.
 
 Defined cases: null text counts as empty (only the end id); a null doc_id sorts first; rows
-with equal doc_id are all kept, in order of their text; an empty table gives no frames and no
-rows; other columns are ignored.
+with equal doc_id are all kept, in order of a hash of their texts, then of the texts; equal
+rows keep any order, which their ids do not show; an empty table gives no frames and no rows;
+a text of more than ``FRAME`` ids has a frame of its own; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import scratch, table
+from trawl.llm.common import scratch, table, utf8
 from trawl.llm.tokens import PieceEncoder, default_path
 
 MAGIC = b"RNS1"
@@ -205,7 +207,7 @@ def _encoder(path: str, end_id: int, frame: int):
             return row
 
         for batch in batches:
-            for doc_id, one in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
+            for doc_id, one in zip(batch.column(0).to_pylist(), encoder.encode_all(utf8(batch.column(1))), strict=True):
                 one += end
                 if docs and held + len(one) // 4 > frame:
                     yield flush()
@@ -221,7 +223,9 @@ def _encoder(path: str, end_id: int, frame: int):
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = END_ID, frame: int = FRAME) -> None:
     """Writes the ids of ``docs`` (doc_id, text) as frames under ``path`` in doc_id order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one doc_id are dealt by their texts and, where these are equal, by where they were read.
+    rows = rows.withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange("doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     ordered.mapInArrow(_encoder(tokenizer_path or default_path(), end_id, frame), FRAMES).write.option("compression", "none").parquet(path)
 
 

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import stored, table
-from trawl.llm.tokens import KEPT, PieceEncoder, default_path
+from trawl.llm.common import stored, table, utf8
+from trawl.llm.tokens import PieceEncoder, default_path
 
 CAPACITY = 2048
 END_ID = 0
@@ -35,12 +35,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, rank_from long, pieces long, sequence long, each long, offset long"
 
 
-def _cutter(path: str, capacity: int, end_id: int, kept: int):
+def _cutter(path: str, capacity: int, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder.of(path, kept), np.array([end_id], "<u4").tobytes()
+        encoder, end = PieceEncoder.of(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(utf8(batch.column(1))), strict=True):
                 ids += end
                 n = len(ids) // 4
                 pieces = -(-n // capacity)
@@ -56,9 +56,9 @@ def _cutter(path: str, capacity: int, end_id: int, kept: int):
     return run
 
 
-def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None, kept: int = KEPT) -> DataFrame:
+def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_cutter(tokenizer_path or default_path(), capacity, end_id, kept), PIECES)
+    return rows.mapInArrow(_cutter(tokenizer_path or default_path(), capacity, end_id), PIECES)
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -155,9 +155,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     )
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None, kept: int = KEPT) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None) -> DataFrame:
     """Encodes, cuts and packs ``docs`` (doc_id, text); a row per piece."""
-    return pack(stored(cut_pieces(docs, capacity, end_id, tokenizer_path, kept), "pieces"), capacity)
+    return pack(stored(cut_pieces(docs, capacity, end_id, tokenizer_path), "pieces"), capacity)
 
 
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
