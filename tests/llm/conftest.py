@@ -1,8 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, length long"
+#: Names that operators use themselves.
+CLASHES = ["_id", "_th", "_nth", "_letter", "letter", "_kept", "kept", "score", "lang_pred", "copies", "_pos", "_lines", "row", "fp", "root", "size", "target", "h", "h1", "label"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, note string, length long"
 
 
 def words(rng, n):
@@ -30,9 +33,13 @@ def odd_docs(spark):
         *[(20 + i, f"  shared line\t\n{words(rng, 50)}\n\nEnd {i % 3}", "en", "c", 1, "x", 2) for i in range(15)],
         *[(100 + i, words(rng, rng.randrange(1, 700)), "en", "s%d" % (i % 3), 1, "x", 2) for i in range(60)],
     ]
-    return spark.createDataFrame(rows, DOCS)
+    return clashing(spark.createDataFrame(rows, DOCS))
+
+
+def clashing(docs):
+    return docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id")) if i % 2 else F.struct(F.col("doc_id").alias("x")) for i, c in enumerate(CLASHES)})
 
 
 @pytest.fixture(scope="session")
 def no_docs(spark):
-    return spark.createDataFrame([], DOCS)
+    return clashing(spark.createDataFrame([], DOCS))

@@ -56,3 +56,26 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert quality.score_quality(no_docs, model).collect() == []
     assert {r.score for r in quality.score_quality(odd_docs, None).collect()} == {0.5}
     assert quality.train_quality(no_docs, labels) is None
+
+
+def plain(model, text):
+    """Every filter at every place of the text, one after the other."""
+    p = model.params
+    raw = np.frombuffer(text, np.uint8)
+    again = quality.repeats(raw)
+    rows = [np.concatenate([p["E"][b], [r]]) for b, r in zip(raw, again, strict=True)]
+    half, nothing = quality.WIDTH // 2, np.zeros(quality.EMBED + 1)
+    rows = [nothing] * half + rows + [nothing] * half
+    best = np.zeros(quality.FILTERS)
+    for at in range(len(rows) - quality.WIDTH + 1 if len(raw) else 0):
+        best = np.maximum(best, np.concatenate(rows[at : at + quality.WIDTH]) @ p["F"] + p["f"])
+    hidden = np.maximum(best @ p["H"] + p["h"], 0)
+    return 1 / (1 + np.exp(-(hidden @ p["O"] + p["o"])[0]))
+
+
+def test_scores_equal_a_plain_convolution(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 400)
+    monkeypatch.setattr(quality, "OVERLAP", 200)
+    model = quality.ByteCNN()
+    texts = [b"", b"x", b"some words !! some some some\n", b"The whole of a long text, " * 90 + b"$$$ ### and so on and on."]
+    assert np.allclose(model.score(texts), [plain(model, t) for t in texts], atol=1e-5)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trawl.llm import op2_language as lang
 
@@ -58,15 +59,15 @@ def test_odd_rows(spark, odd_docs, no_docs):
     model = lang.train_languages(odd_docs, SMALL)
     assert sorted(model.languages) == ["de", "en", "fr"]
     found = lang.score_languages(odd_docs, model)
-    assert found.columns[:-2] == odd_docs.columns
-    rows = found.collect()
+    assert found.select("row.*").columns == odd_docs.columns
+    rows = found.select("row.text", "lang_pred", "score").collect()
     assert len(rows) == odd_docs.count()
     for r in rows:
         has = any(c.isalpha() for c in r.text or "")
-        assert (r._lang_pred == "und") == (not has) and (has or r._lang_score == 0)
+        assert (r.lang_pred == "und") == (not has) and (has or r.score == 0)
     assert lang.train_languages(no_docs, SMALL) is None
     assert lang.score_languages(no_docs, model).collect() == []
-    assert {r._lang_pred for r in lang.score_languages(odd_docs, None).collect()} == {"und"}
+    assert {r.lang_pred for r in lang.score_languages(odd_docs, None).collect()} == {"und"}
 
 
 def test_a_repeated_id_is_sampled_once(spark, monkeypatch):
@@ -77,3 +78,44 @@ def test_a_repeated_id_is_sampled_once(spark, monkeypatch):
     docs = spark.createDataFrame([(1, f"words of text {i}", "en") for i in range(50)] + [(2, "other words", "en")], "doc_id long, text string, lang string")
     op2.train_languages(docs, op2.SampleSize(documents=40, windows=4, steps=1, batch=2))
     assert sizes and sizes[0] <= 2 * 4
+
+
+def plain(model, text):
+    """One position after the other, both ways through a window, as the definition says."""
+    p = {k: v.astype(np.float64) for k, v in model.params.items()}
+    h, total = p["Uf"].shape[1], np.zeros(len(model.languages))
+    for at in range(0, len(text), lang.WINDOW):
+        part = text[at : at + lang.WINDOW] + bytes(0)
+        codes = list(part) + [lang.PAD] * (lang.WINDOW - len(part))
+        states = {}
+        for d in "fb":
+            s, out = np.zeros(h), [None] * len(codes)
+            for t in range(len(codes)) if d == "f" else reversed(range(len(codes))):
+                gx, gh = p[f"W{d}"][:, codes[t]] + p[f"b{d}"][:, 0], p[f"U{d}"] @ s
+                z, r = (np.clip((gx[k * h : k * h + h] + gh[k * h : k * h + h]) / 4 + 0.5, 0, 1) for k in (0, 1))
+                n = np.tanh(gx[2 * h :] + r * gh[2 * h :])
+                s = out[t] = z * s + (1 - z) * n
+            states[d] = out
+        for t in range(len(part)):
+            q = np.exp(p["V"] @ np.concatenate([states["f"][t], states["b"][t]]) + p["c"][:, 0])
+            total += q / q.sum()
+    return total / len(text)
+
+
+def test_scores_equal_a_plain_network(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lang.train_languages(docs, lang.SampleSize(documents=20, windows=4, steps=30, batch=64))
+    rows = lang.score_languages(docs, model).selectExpr("row.doc_id", "row.text", "lang_pred", "score").filter("lang_pred <> 'und'").orderBy(F.length("text"), "doc_id").collect()
+    for r in [*rows[:10], *rows[90:95]]:
+        want = plain(model, r.text.encode())
+        assert want.max() == pytest.approx(r.score, abs=1e-4) and want[model.languages.index(r.lang_pred)] == pytest.approx(want.max(), abs=1e-4)
+
+
+def test_samples_are_bounded_and_do_not_hang_on_partitions(spark):
+    from trawl.llm.common import sample_ids
+
+    rows = spark.range(6000).selectExpr("id % 5000 AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 50 = 1 THEN 'b' WHEN id % 50 = 2 THEN NULL ELSE 'c' END AS lang")
+    got = sorted(map(tuple, sample_ids(rows, "lang", 100).collect()))
+    assert got == sorted(map(tuple, sample_ids(rows.repartition(7), "lang", 100).collect()))
+    sizes = {x: sum(1 for _, y in got if y == x) for x in "abc"}
+    assert all(50 < n < 150 for n in sizes.values()) and len(got) == len(set(got)) == sum(sizes.values())

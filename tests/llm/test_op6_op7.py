@@ -64,6 +64,15 @@ def test_mix_repeats_rows(spark, odd_docs):
     assert found == {k: v for k, v in copies.items() if v}
 
 
+def test_repeated_rows_take_their_copies_in_order(spark):
+    rows = [(1, "a b c", "s", f"{i:03}") for i in range(300)] + [(None, "x", "s", str(i)) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    found = [sorted(map(repr, mixing.mix(x).collect())) for x in (docs.coalesce(1), docs.coalesce(1))]
+    assert found[0] == found[1] and len(found[0]) > 300
+    got = mixing.copies_of(docs.repartition(5)).collect()
+    assert len(got) == 350 and sum(r.copies for r in got) == len(found[0])
+
+
 def dropped(rows, min_docs, min_chars=1):
     upper = str.maketrans(lines.UPPER, lines.LOWER)
     keys = [[x.strip(SPACE).translate(upper) for x in (t or "").split("\n")] for t in rows]
@@ -83,7 +92,7 @@ def test_lines_equal_brute_force(spark, odd_docs, no_docs, min_docs, batches, fa
     rows = odd_docs.collect()
     want = sorted(((r.doc_id, *x) for r, x in zip(rows, dropped([r.text for r in rows], min_docs), strict=True)), key=repr)
     result = lines.drop_lines(odd_docs, min_docs, batches=batches, fanout=fanout)
-    assert set(result.columns) == {*odd_docs.columns, "n_lines", "n_dropped"}
+    assert result.columns == [*odd_docs.columns, "n_lines", "n_dropped"]
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in result.collect()), key=repr) == want
     assert lines.drop_lines(no_docs, batches=batches).collect() == []
 

@@ -66,3 +66,49 @@ def test_documents(spark, odd_docs, no_docs, capacity):
             want.append((row.doc_id, k, b, e - b, zlib.crc32(np.array(ids[b:e], "<u4").tobytes())))
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=repr) == sorted(want, key=repr)
     assert packing.pack_documents(no_docs, capacity).collect() == []
+
+
+def fewest(lengths, capacity):
+    """The fewest sequences, by trying every place for each piece."""
+    best = len(lengths)
+
+    def place(i, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(lengths):
+            best = len(gaps)
+            return
+        for gap in set(gaps):
+            if gap >= lengths[i]:
+                rest = list(gaps)
+                rest[rest.index(gap)] -= lengths[i]
+                place(i + 1, rest)
+        place(i + 1, [*gaps, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def best_fit(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [g for g in gaps if g >= n]
+        if fitting:
+            gaps[gaps.index(min(fitting))] -= n
+        else:
+            gaps.append(capacity - n)
+    return len(gaps)
+
+
+def test_plans_are_near_the_fewest():
+    rng = random.Random(4)
+    over = 0
+    for _ in range(150):
+        lengths = [rng.randrange(1, 31) for _ in range(rng.randrange(1, 8))]
+        n = check(laid_out(Counter(lengths), 30), 30)
+        over += n - fewest(sorted(lengths, reverse=True), 30)
+        assert n <= best_fit(lengths, 30) + 1
+    assert over <= 3
+    lengths = [min(2048, int(rng.lognormvariate(6.3, 1.1)) + 1) for _ in range(3000)]
+    assert check(laid_out(Counter(lengths), 2048), 2048) <= 1.01 * best_fit(lengths, 2048)

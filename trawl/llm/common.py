@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the separators of words in every contract.
 SPACES = "\\x20\\x09-\\x0D"
@@ -22,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names that folder; where it is unset (tests, one machine) a
-    temporary folder is made once and set for the session.
+    ``spark.checkpoint.dir`` names that folder. Where it is unset a temporary folder is made
+    once and set for the session, but only if all tasks run in this process (``local``):
+    elsewhere a machine's own folder would lose rows without an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.trawl.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="trawl-")
         spark.conf.set("spark.trawl.scratch", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -64,19 +68,70 @@ def bytes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``_id`` and ``_th``, which name a row by its doc_id and text, null or not."""
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_th": F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), F.col("text"))})
+    """Rows as a struct ``row``, with ``_id`` and ``_th``, which name a row by its doc_id and
+    text, null or not. As a struct, columns of any name go through unchanged."""
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), F.col("text")).alias("_th"))
+
+
+#: Rows that share a key are numbered in so many buckets of their contents.
+BUCKETS = 1024
+
+
+def numbered(rows: DataFrame, on: list[str], content: Column) -> DataFrame:
+    """``rows`` with ``_nth``, a number from 0 within ``on`` in an order of their ``content``.
+
+    Rows are numbered within a bucket of contents and a partition, and numbers go on from the
+    counts of such cells, so rows of one key need not meet in one task. Rows of equal content
+    take any order, which cannot be seen; so do, across partitions, those of one bucket.
+    """
+    cells = [*on, "_bucket", "_part"]
+    rows = rows.withColumn("_content", content).withColumns({"_bucket": F.pmod(F.xxhash64("_content"), F.lit(BUCKETS)), "_part": F.spark_partition_id()})
+    rows = stored(rows, "numbered")
+    earlier = Window.partitionBy(on).orderBy("_bucket", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(cells).agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(cells).orderBy("_content")) - 1)
+    return within.join(bases, cells).withColumn("_nth", F.col("_nth") + F.col("_base")).drop("_content", "_bucket", "_part", "_base")
 
 
 def attach(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Joins stored ``decisions`` (_id, _th and more; one row per row of docs, or fewer) to docs.
 
-    Rows that repeat with the same id and text are matched one to one by number; that costs
-    a sort of the documents and is only planned where such rows exist.
+    The result has the document as a struct ``row`` and the decision's further columns. Rows
+    that repeat with the same id and text are matched one to one by number (the greatest
+    decisions to the first in order of their other columns); that writes the documents once
+    more and is only planned where such rows exist.
     """
     on = ["_id", "_th"]
     rows = keyed(docs)
     if decisions.groupBy(on).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
-        nth = F.row_number().over(Window.partitionBy(on).orderBy(F.lit(0)))
-        rows, decisions, on = rows.withColumn("_nth", nth), decisions.withColumn("_nth", nth), [*on, "_nth"]
+        rows = numbered(rows, on, F.to_json("row"))
+        rest = [c for c in decisions.columns if c not in on]
+        decisions = numbered(decisions, on, F.to_json(F.struct(*rest)) if rest else F.lit(""))
+        on = [*on, "_nth"]
     return rows.join(decisions, on).drop(*on)
+
+
+#: Labels that a sample tells apart, the most frequent ones.
+LABELS = 256
+
+
+def sample_ids(rows: DataFrame, label: str, per_label: int, labels: int = LABELS) -> DataFrame:
+    """About ``per_label`` different (doc_id, label) of each of the most frequent ``labels``.
+
+    A pair is chosen if its hash is below the share of its label that is wanted, so no task
+    meets all rows of a label; at most twice the number in all are kept, of least hash.
+    """
+    pairs = stored(rows.select("doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).distinct(), "label-ids")
+    counts = pairs.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(labels).collect()
+    bounds = [(r[label], min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, per_label / r.n)))) for r in counts]
+    spark = rows.sparkSession
+    shares = spark.createDataFrame(bounds, T.StructType([T.StructField(label, pairs.schema[label].dataType), T.StructField("most", T.LongType())]))
+    chosen = pairs.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(shares), label).filter("h <= most")
+    return chosen.orderBy("h", "doc_id", label).limit(2 * per_label * max(1, len(bounds))).select("doc_id", label)
+
+
+def one_text(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label, text) of sampled ids: one text for each, whatever rows share an id."""
+    on = [c for c in ("doc_id", label) if c in docs.columns]
+    texts = docs.select(*on, "text").join(F.broadcast(ids), on)
+    return texts.groupBy("doc_id", label).agg(F.min("text").alias("text"))

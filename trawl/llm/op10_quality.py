@@ -9,7 +9,9 @@ labelled documents (``SampleSize``), whole texts. Documents are scored inside Sp
 
 Defined cases: null and empty texts are scored as a text with no filter response; without
 labels of both kinds every score is 0.5; rows with equal or null doc_id are each scored (null
-ids are not learned from); an empty table gives no rows; other columns are ignored.
+ids are not learned from; of rows that share an id and a label the sample has the least
+text); long texts are scored chunk by chunk to their end; of equal responses the first counts;
+an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm.common import in_fold, table, utf8
-from trawl.llm.op5_rules import sample_ids
+from trawl.llm.op5_rules import labelled
 
 CHUNK = 1 << 15
-OVERLAP = 1 << 10  # more than the filters' width, so repeats at an edge are seen too
+OVERLAP = 1 << 10  # half of it holds a filter's width and the words that may be repeated
 WIDTH = 8
 EMBED = 7
 FILTERS = 16
@@ -86,15 +88,16 @@ class ByteCNN:
         mid[:, EMBED] = repeats(raw)
         return out
 
-    def responses(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The largest response of each filter in a chunk, and where its input begins."""
+    def responses(self, raw: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The largest response of each filter at places ``first`` to ``last`` of a chunk, and
+        where its input begins."""
         c = self.channels(raw)
         n = len(raw) + 1
         step = c.strides[0]
         seen = np.lib.stride_tricks.as_strided(c, (n, WIDTH * (EMBED + 1)), (step, c.strides[1]))
-        r = seen @ self.params["F"]
+        r = seen[first:last] @ self.params["F"]
         at = r.argmax(axis=0)
-        return r[at, np.arange(FILTERS)] + self.params["f"], at
+        return r[at, np.arange(FILTERS)] + self.params["f"], at + first
 
     def pooled(self, text: bytes) -> np.ndarray:
         """Largest responses over the whole text, chunk by chunk (at least 0)."""
@@ -102,7 +105,10 @@ class ByteCNN:
         raw = np.frombuffer(text, np.uint8)
         for at in range(0, max(1, len(raw) - OVERLAP), CHUNK - OVERLAP):
             if len(part := raw[at : at + CHUNK]):
-                np.maximum(best, self.responses(part)[0], out=best)
+                # Each chunk answers for the places up to the middle of what it shares with the
+                # next one, so none sees silence, or a cut word, within the text.
+                last = None if at + CHUNK >= len(raw) else CHUNK - OVERLAP // 2
+                np.maximum(best, self.responses(part, OVERLAP // 2 if at else 0, last)[0], out=best)
         return best
 
     def head(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +169,9 @@ class ByteCNN:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, size: SampleSize = SampleSize()) -> ByteCNN | None:
-    """Learns from ``labels`` (doc_id, quality), per label those of least hash."""
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample_ids(labels, size.per_label)), "doc_id")
-    texts = chosen.select("quality", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= size.chars)
-    rows = texts.limit(4 * size.per_label).collect()
+    """Learns from ``labels`` (doc_id, quality): documents of each label, chosen by hash."""
+    chosen = labelled(docs, labels, size.per_label)
+    rows = chosen.select("quality", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= size.chars).collect()
     rows.sort(key=lambda r: (r.quality, r.text))
     y = np.array([r.quality for r in rows], np.float64)
     if not len(y) or y.min() == y.max():

@@ -9,7 +9,10 @@ by backpropagation through time on windows of a bounded sample of labelled docum
 Defined cases: null text, and text without a letter, is ``und`` with score 0; without any
 labelled text nothing can be learned and every prediction is ``und`` with score 0; rows with
 equal or null doc_id are each scored (null ids are not learned from); an empty table gives no
-rows; extra columns are ignored, or kept by ``keep_recognised``.
+rows; a long text's windows are scored a few thousand at a time and its mean is over all of
+them; of equal probabilities the language that sorts first is taken; extra columns of any
+name are ignored, or kept by ``keep_recognised``. Of rows that share an id and a language
+the sample has one text, the least.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.common import in_fold, table, utf8
+from trawl.llm.common import in_fold, one_text, sample_ids, table, utf8
 
 WINDOW = 64
 HIDDEN = 8
@@ -34,7 +37,7 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class SampleSize:
-    """Bounds of the training sample: documents of a language and windows of a document."""
+    """Bounds of the training sample: documents of a language (about) and windows of one."""
 
     documents: int = 400
     windows: int = 8
@@ -197,11 +200,8 @@ def _sampler(windows: int):
 
 
 def train_languages(docs: DataFrame, size: SampleSize = SampleSize()) -> BiGRU | None:
-    """Learns from ``docs`` (doc_id, text, lang): per language the documents of least hash."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= size.documents)
-    chosen = docs.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").filter(F.col("text").rlike("\\p{L}"))
-    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # rows may share an id
+    """Learns from ``docs`` (doc_id, text, lang): documents of each language, chosen by hash."""
+    chosen = one_text(docs, sample_ids(docs, "lang", size.documents), "lang").filter(F.col("text").rlike("\\p{L}"))
     rows = chosen.select("lang", "text").mapInArrow(_sampler(size.windows), "lang string, part binary").collect()
     if not rows:
         return None
@@ -216,10 +216,10 @@ def train_languages(docs: DataFrame, size: SampleSize = SampleSize()) -> BiGRU |
     return model
 
 
-def _scorer(model: BiGRU | None, at: int):
+def _scorer(model: BiGRU | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, letters = utf8(batch.column(at)), batch.column(batch.num_columns - 1).to_pylist()
+            texts, letters = utf8(batch.column(1)), batch.column(2).to_pylist()
             rows = [i for i, ok in enumerate(letters) if ok] if model else []
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             for i in range(0, len(rows), 1024):
@@ -228,23 +228,22 @@ def _scorer(model: BiGRU | None, at: int):
                 score[part] = mean
                 for r, b in zip(part, best, strict=True):
                     lang[r] = model.languages[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "_lang_pred", "_lang_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
     return run
 
 
 def score_languages(docs: DataFrame, model: BiGRU | None) -> DataFrame:
-    """``docs`` with _lang_pred and _lang_score, from the whole text only."""
-    rows = docs.withColumn("_letter", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
-    return rows.mapInArrow(_scorer(model, docs.columns.index("text")), schema)
+    """Each document as a struct ``row`` with lang_pred and score, from its whole text only."""
+    rows = docs.select(F.struct("*").alias("row"), "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letter"))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_scorer(model), schema)
 
 
 def keep_recognised(docs: DataFrame, least: float = 0.3, size: SampleSize = SampleSize()) -> DataFrame:
     """``docs`` whose language is told with a mean probability of at least ``least``."""
     model = train_languages(docs.select("doc_id", "text", "lang").filter(~in_fold(F.col("doc_id"), 4, 2)), size)
-    kept = score_languages(docs, model).filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least))
-    return kept.drop("_lang_pred", "_lang_score")
+    return score_languages(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,4 +251,4 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = in_fold(F.col("doc_id"), 4, 2)
     model = train_languages(docs.select("doc_id", "text", "lang").filter(~held_out))
     found = score_languages(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    return found.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

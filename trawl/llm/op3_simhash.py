@@ -16,7 +16,9 @@ edges go through alternating large and small stars until nothing changes.
 Defined cases: null and empty texts have fingerprint zero and link to each other; fewer words
 than a shingle form one shingle; a null doc_id takes part and never names a component unless
 all its members are null; rows with equal doc_id are all returned; an empty table gives no
-rows; other columns are ignored.
+rows; a text of any length has all its shingles counted; of equal fingerprints one row stands
+for all until the end; other columns are ignored, whatever their names. A component's root is
+a key of many edges; adaptive execution splits such a partition of a merge join.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import jaccard
-from trawl.llm.common import attach, keyed, stored, table, utf8
+from trawl.llm.common import keyed, stored, table, utf8
 
 SHINGLE = 3
 RADIUS = 2
@@ -169,7 +171,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     linked too, whatever their fingerprints.
     """
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    texts = rows.select("doc_id", "_id", "_th", "text")
+    texts = rows.select("row.doc_id", "_id", "_th", "row.text")
     if similar:
         fps = stored(jaccard.marked(texts, shingle), "fingerprints")
     else:
@@ -187,16 +189,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row of smallest doc_id stays."""
+    """``docs`` without near-duplicates: of each component the row of smallest doc_id stays (of
+    several with that id the one of least text hash, of rows with one text any one: the first
+    in order of their other columns)."""
     found = near_duplicates(docs.select("doc_id", "text"), **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("_id"), F.col("_th")))
     keep = stored(found.groupBy("root").agg(first.alias("x")).select("x._id", "x._th"), "kept")
-    return attach(docs.dropDuplicates(["doc_id", "text"]) if _repeats(found) else docs, keep)
-
-
-def _repeats(found: DataFrame) -> bool:
-    """Whether some row repeats with the same doc_id and text."""
-    return bool(found.groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count())
+    rows = keyed(docs).join(keep, ["_id", "_th"])
+    if rows.select("_id", "_th").groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        rows = rows.groupBy("_id", "_th").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.select("row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """Quality rules: document statistics, base rules, and boosted trees over the statistics.
 
 Statistics are counted over whole texts in Spark tasks. Trees are grown in numpy on the
-driver from a bounded sample of labelled documents (``PER_LABEL`` of each label), with
+driver from a bounded sample of labelled documents (about ``PER_LABEL`` of each label), with
 second-order gradient boosting on histograms; on the features of ``MONOTONE`` a split may
 only lower the score as the feature grows, and bounds passed down keep it so in the whole
 tree. The trees are flattened to node arrays and score all documents of a batch at once.
 
 Defined cases: null and empty texts have all counts 0, fail the base rules and are not kept;
 without labels of both kinds the trees keep every document; rows with equal or null doc_id
-are each judged (null ids are not learned from); an empty table gives no rows; other columns
-are ignored, or kept by ``keep_good``.
+are each judged (null ids are not learned from; of rows that share an id and a label the
+sample has the least text); texts of any length are counted whole; a score of just 0.5 keeps;
+an empty table gives no rows; other columns of any name are ignored, or kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.common import table, utf8
+from trawl.llm.common import one_text, sample_ids, table, utf8
 
 MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of words
@@ -179,15 +180,14 @@ def _featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["quality", "x"])
 
 
-def sample_ids(labels: DataFrame, per_label: int) -> DataFrame:
-    """(doc_id, quality) of at most ``per_label`` labels of each kind, by least hash."""
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
-    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_label).drop("_n")
+def labelled(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
+    """(doc_id, quality, text) of about ``per_label`` documents of each label, by hash."""
+    known = labels.filter("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    return one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sample_ids(known, "quality", per_label), "quality")
 
 
 def train_rules(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Trees | None:
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample_ids(labels, per_label)), "doc_id").limit(4 * per_label)
+    chosen = labelled(docs, labels, per_label)
     rows = chosen.select("quality", "text").mapInArrow(_featured, "quality int, x array<double>").collect()
     rows.sort(key=lambda r: (r.quality, r.x))
     y = np.array([r.quality for r in rows], float)
@@ -196,32 +196,35 @@ def train_rules(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL)
     return grow(np.array([r.x for r in rows]), y, [-1 if f in MONOTONE else 0 for f in FEATURES])
 
 
-def _judge(trees: Trees | None, at: int):
+JUDGED = [*COUNTS, "base_failed", "kept", "score"]
+
+
+def _judge(trees: Trees | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            measured = [measure(t) for t in utf8(batch.column(at))]
+            measured = [measure(t) for t in utf8(batch.column(1))]
             counts = np.array([m[0] for m in measured], np.int64).reshape(-1, len(COUNTS))
             features = np.array([m[1] for m in measured], float).reshape(-1, len(FEATURES))
             failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEATED * counts[:, 0])
             score = trees.score(features) if trees and len(features) else np.ones(len(features))
             columns = [*(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(failed), pa.array(~failed & (score >= 0.5)), pa.array(score)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *(f"_{c}" for c in COUNTS), "_base_failed", "_kept", "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", *JUDGED])
 
     return run
 
 
 def judge(docs: DataFrame, trees: Trees | None) -> DataFrame:
-    """``docs`` with its counts, _base_failed, _kept and _score added."""
-    kinds = [("_base_failed", T.BooleanType()), ("_kept", T.BooleanType()), ("_score", T.DoubleType())]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(f"_{c}", T.LongType()) for c in COUNTS), *(T.StructField(*k) for k in kinds)])
-    return docs.mapInArrow(_judge(trees, docs.columns.index("text")), schema)
+    """Each document as a struct ``row`` with its counts, base_failed, kept and score."""
+    kinds = [*[(c, T.LongType()) for c in COUNTS], ("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("score", T.DoubleType())]
+    schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(*k) for k in kinds)])
+    return docs.select(F.struct("*").alias("row"), "text").mapInArrow(_judge(trees), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
-    return judge(docs, train_rules(docs, labels, per_label)).filter("_kept").select(docs.columns)
+    return judge(docs, train_rules(docs, labels, per_label)).filter("kept").select("row.*")
 
 
 def op5_tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = judge(docs, train_rules(docs, table(spark, sf_dir, "labels")))
-    return judged.select("doc_id", *(F.col(f"_{c}").alias(c) for c in COUNTS), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return judged.select("row.doc_id", *COUNTS, "base_failed", "kept")

@@ -15,7 +15,9 @@ is min(cap, level * weight) with one level for all, found from running sums over
 
 Defined cases: null text has size 0; a source whose documents all have size 0 has target 0
 and emits none of them; a null source is a source of its own; rows with equal doc_id are
-sampled each on its own; an empty table gives no rows; other columns pass through.
+sampled each on its own; sizes are of whole texts; ties of size go by doc_id (null first),
+then by a hash of the text; an empty table gives no rows; other columns of any name pass
+through, and rows that differ in these alone take their copies in order of them.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 SEED = 0
+SALT_DIGITS = 4  # hex digits: up to 65,536 cells of a source and size class
+STRETCH = 4096
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -56,14 +60,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def copies_of(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """A row per document: doc_id, _id, _th, source, size, source_size, target, copies."""
-    rows = keyed(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")))
+    """A row per document: doc_id, _id, _th, source, size, source_size, target, copies.
+
+    Rows alike in all that matters here are one row with a count until they are placed, so
+    neither a repeated document nor a null id makes a large window.
+    """
+    rows = keyed(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))).select("_id", "_th", "row.*")
+    name = F.coalesce(F.concat(F.lit(":"), F.col("doc_id").cast("string")), F.md5(F.coalesce("text", F.lit(""))))
+    salt = F.conv(F.substring(F.md5(F.concat(F.lit(str(seed)), name)), 1, SALT_DIGITS), 16, 10).cast("int")
+    small = rows.select("doc_id", "_id", "_th", "source", n_words(F.col("text")).alias("size"), salt.alias("_salt"))
+    kinds = small.groupBy(small.columns).agg(F.count(F.lit(1)).alias("n"))
     binary = F.bin(F.col("size") + 8)
-    salt = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 2), 16, 10).cast("int")
-    small = rows.select("doc_id", "_id", "_th", "source", n_words(F.col("text")).alias("size"))
-    small = stored(small.withColumns({"_class": F.length(binary) * 8 + F.conv(F.substring(binary, 2, 3), 2, 10).cast("int"), "_salt": salt, "_s": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))}), "sizes")
-    targets = source_targets(small.select("source", "size"), weights, share, cap).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
-    cells = small.groupBy("_s", "_class", "_salt").agg(F.count(F.lit(1)).alias("n"))
+    kinds = stored(kinds.withColumns({"_class": F.length(binary) * 8 + F.conv(F.substring(binary, 2, 3), 2, 10).cast("int"), "_s": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))}), "sizes")
+    targets = source_targets(kinds.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, cap).withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
+    cells = kinds.groupBy("_s", "_class", "_salt").agg(F.sum("n").alias("n"))
     earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("in_class", F.coalesce(F.sum("n").over(earlier("_s", "_class", "_salt")), F.lit(0)))
     classes = cells.groupBy("_s", "_class").agg(F.sum("n").alias("m"))
@@ -71,9 +81,12 @@ def copies_of(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("_s"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     bases = cells.join(classes, ["_s", "_class"]).join(targets, "_s").select("_s", "_class", "_salt", (F.col("in_class") + F.col("in_source")).alias("base"), "source_size", "target", rate.alias("rate"), offset.alias("u"))
-    within = Window.partitionBy("_s", "_class", "_salt").orderBy("size", "doc_id", "_th")
-    rank = F.col("base") + F.col("row") - 1
-    placed = small.withColumn("row", F.row_number().over(within)).join(bases, ["_s", "_class", "_salt"])
+    within = Window.partitionBy("_s", "_class", "_salt").orderBy("size", "doc_id", "_th").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kinds.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(bases, ["_s", "_class", "_salt"])
+    # Rows alike, in stretches of STRETCH: no array holds more.
+    placed = placed.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRETCH).cast("long"))))
+    placed = placed.withColumn("_row", F.explode(F.sequence(F.col("_from"), F.least(F.col("n"), F.col("_from") + STRETCH) - 1)))
+    rank = F.col("base") + F.col("before") + F.col("_row")
     crossed = F.floor((rank + 1) * F.col("rate") + F.col("u")) - F.floor(rank * F.col("rate") + F.col("u"))
     return placed.select("doc_id", "_id", "_th", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
@@ -81,7 +94,7 @@ def copies_of(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it."""
     chosen = stored(copies_of(docs, **options).filter("copies > 0").select("_id", "_th", "copies"), "copies")
-    return attach(docs, chosen).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "_copy")
+    return attach(docs, chosen).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op6_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +102,7 @@ def op6_systematic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^{SPACES}]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^{SPACES}]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, source_size * 2.0::DOUBLE AS most FROM s),
 v AS (SELECT *, most / w AS level,
@@ -100,7 +113,7 @@ f AS (SELECT *, below + level * above <= budget AS is_full FROM v),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN most ELSE
         (budget - sum(CASE WHEN is_full THEN most ELSE 0 END) OVER ()) / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () * w END AS target FROM f),
 o AS (SELECT d.*, t.source_size, t.target, length(bin(size + 8)) * 8 + ('0b' || substr(bin(size + 8), 2, 3))::INT AS class,
-        ('0x' || substr(md5('{SEED}' || coalesce(':' || doc_id, '')), 1, 2))::INT AS salt,
+        ('0x' || substr(md5('{SEED}' || coalesce(':' || doc_id, md5(coalesce(text, '')))), 1, {SALT_DIGITS}))::INT AS salt,
         ('0x' || substr(md5('{SEED}/' || coalesce('s' || d.source, 'n')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,

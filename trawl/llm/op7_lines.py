@@ -11,7 +11,9 @@ Everything is DataFrame functions. Hashes are two XXH64 values of different seed
 
 Defined cases: null or empty text is one empty line, which stays; a key of fewer than
 ``min_chars`` code points is never dropped; each row is a document of its own, with repeated
-or null doc_id too; an empty table gives no rows; other columns pass through unchanged.
+or null doc_id too (a row's hits are those of its id and text, so equal rows lose equal lines);
+texts and lines of any length are hashed whole; an empty table gives no rows; other columns of
+any name pass through unchanged, but for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def _hashes(keys: Column, min_chars: int) -> Column:
 
 def hashed_documents(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
     """A row per document: _id, _th, batch, all line hashes, and the distinct ones if fewer."""
-    rows = keyed(docs.select("doc_id", "text")).select("_id", "_th", F.pmod(F.xxhash64("_th", "_id"), F.lit(batches)).alias("batch"), F.transform(lines_of(F.col("text")), line_key).alias("keys"))
+    rows = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("_id", "_th", F.pmod(F.xxhash64("_th", "_id"), F.lit(batches)).alias("batch"), F.transform(lines_of(F.col("row.text")), line_key).alias("keys"))
     rows = rows.withColumn("distinct_keys", F.array_distinct("keys"))
     some = F.when(F.size("distinct_keys") < F.size("keys"), _hashes(F.col("distinct_keys"), min_chars))
     return rows.select("_id", "_th", "batch", _hashes(F.col("keys"), min_chars).alias("hs"), some.alias("ds"))
@@ -101,13 +103,14 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     frequent = frequent_hashes(hashed, min_docs, batches, fanout)
     lines = hashed.select("_id", "_th", F.posexplode("hs").alias("pos", "h")).filter("h IS NOT NULL").select("_id", "_th", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
     hits = lines.join(frequent, _H).groupBy("_id", "_th").agg(F.sort_array(F.collect_set("pos")).alias("_pos"))
-    rows = keyed(docs).join(hits, ["_id", "_th"], "left").withColumn("_lines", lines_of(F.col("text")))
+    rows = keyed(docs).join(hits, ["_id", "_th"], "left").withColumn("_lines", lines_of(F.col("row.text")))
     # The kept stretches between dropped positions; _lines is used twice, so it is split once.
     cuts = F.zip_with(F.concat(F.array(F.lit(-1)), "_pos"), F.concat("_pos", F.array(F.size("_lines"))), lambda a, b: F.struct((a + 2).alias("at"), (b - a - 1).alias("n")))
     kept = F.flatten(F.transform(F.filter(cuts, lambda g: g.n > 0), lambda g: F.slice(F.col("_lines"), g.at, g.n)))
-    text = F.when(F.col("_pos").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    rows = rows.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_pos"), F.lit(0)).cast("long"), "text": text})
-    return rows.drop("_id", "_th", "_pos", "_lines")
+    text = F.when(F.col("_pos").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    counts = {"n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_pos"), F.lit(0)).cast("long")}
+    others = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in counts]
+    return rows.select(*others, *[v.alias(k) for k, v in counts.items()])
 
 
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

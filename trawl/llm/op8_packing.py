@@ -9,7 +9,10 @@ and open a new sequence where none does. Spark numbers the pieces of each length
 runs, so a frequent length is not one group) and joins them to the plan's runs.
 
 Defined cases: null text counts as empty (one piece of the end id); an empty table gives no
-rows; rows with equal doc_id are packed each on its own; other columns are ignored.
+rows; rows with equal doc_id are packed each on its own; a long text is encoded whole and cut
+into as many pieces as it takes; pieces of equal length may stand in for each other, so which
+goes where follows from their doc_id, piece and place in the stored table; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from trawl.llm.tokens import PieceEncoder, default_path
 
 CAPACITY = 2048
 END_ID = 0
-SALTS = 256
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Pieces of one length that are numbered together, about.
+CELL = 100_000
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 #: Pieces of ``length`` with rank in [rank_from, rank_from + pieces) go to sequences from
 #: ``sequence`` on, ``each`` to a sequence, the first of them at ``offset``.
 PLAN = "length long, rank_from long, pieces long, sequence long, each long, offset long"
@@ -37,9 +41,9 @@ PLAN = "length long, rank_from long, pieces long, sequence long, each long, offs
 
 def _cutter(path: str, capacity: int, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder.of(path), np.array([end_id], "<u4").tobytes()
+        encoder, end, row = PieceEncoder.of(path), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(utf8(batch.column(1))), strict=True):
                 ids += end
                 n = len(ids) // 4
@@ -48,10 +52,11 @@ def _cutter(path: str, capacity: int, end_id: int):
                 start = 0
                 for k in range(pieces):
                     stop = cut + capacity * k
-                    for values, value in zip(rows, (doc_id, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
+                    for values, value in zip(rows, (doc_id, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), row), strict=True):
                         values.append(value)
+                    row += 1
                     start = stop
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     return run
 
@@ -130,18 +135,23 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """Adds sequence_id and offset to a stored table of pieces."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, cell_size: int = CELL) -> DataFrame:
+    """Adds sequence_id and offset to a stored table of pieces.
+
+    Pieces of a length are numbered within a salt; salts are as many as keep the most frequent
+    length's cells at about ``cell_size`` pieces. A piece's salt hangs on its place in the task
+    that cut it, too, so a document that repeats is in many of them.
+    """
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))
-    cell = pieces.withColumn("_salt", salt)
-    sums = cell.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     # At most ``capacity`` rows: lengths are 1 to capacity.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = max(16, -(-max(counts.values(), default=0) // cell_size))
+    cell = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(salts)))
+    sums = cell.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     plan = spark.createDataFrame(plan_packing(counts, capacity), PLAN)
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "row", "start", "ids_crc32")
     ranked = cell.withColumn("_row", F.row_number().over(within) - 1)
     ranked = ranked.join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_row") + F.col("_base"))
     # The plan has a bounded number of rows (see plan_packing), whatever the corpus.
