@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from tests.llm.test_op3 import classes, slow_fingerprint
+from tests.llm.test_op3 import slow_fingerprint
 from tests.llm.test_op6_op7 import dropped
 from trawl.llm.op2_language import SampleSize, keep_recognised
 from trawl.llm.tokens import default_path
@@ -86,14 +86,32 @@ def test_lines(results):
     assert all(r.n_chars == len(r.text) for r in out[1])
 
 
+def linked(texts):
+    """Each text's smallest mate, over links by fingerprint and by shingle sets."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    fps = np.array([slow_fingerprint(t, pipeline.SHINGLE) for t in texts], np.uint64)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        near = set((np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= pipeline.RADIUS) + i + 1).tolist())
+        near |= {j for j in range(i + 1, len(texts)) if sets[i] and len(sets[j]) * 5 >= 4 * len(sets[i]) and len(sets[i]) * 5 >= 4 * len(sets[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+        for j in near:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
 def test_near_duplicates(results):
     _, out = results
-    fps = {r.doc_id: slow_fingerprint(r.text, pipeline.SHINGLE) for r in out[1]}
-    of = classes(set(fps.values()), pipeline.RADIUS)
-    first = {}
-    for d in sorted(fps):
-        first.setdefault(of[fps[d]], d)
-    assert sorted(r.doc_id for r in out[2]) == sorted(first.values())
+    rows = sorted(out[1], key=lambda r: r.doc_id)
+    first = {rows[i].doc_id for i in linked([r.text for r in rows])}
+    assert sorted(r.doc_id for r in out[2]) == sorted(first)
 
 
 def test_mixing(results):
@@ -106,7 +124,6 @@ def test_packing(results):
 
     _, out = results
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     want = Counter()
     for r in out[3]:
         ids = t.encode(r.text, add_special_tokens=False).ids + [0]
@@ -147,7 +164,6 @@ def test_empty_table(spark, no_docs):
 
 def test_near_duplicates_by_shingles(spark, monkeypatch):
     """Every pair of a five-word Jaccard similarity of 0.8 is linked, however far its fingerprints are."""
-    import itertools
     import random
 
     from trawl.llm import jaccard
@@ -162,16 +178,11 @@ def test_near_duplicates_by_shingles(spark, monkeypatch):
                 copy[rng.randrange(len(copy))] = "x" if rng.randrange(2) else f"w{rng.randrange(400)}"
             texts.append(copy)
     texts = [" ".join(t) for t in texts] + ["", "A b", "a  B", None]
-    words = [(t or "").lower().split() for t in texts]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
-    fps = [slow_fingerprint(t, pipeline.SHINGLE) for t in texts]
-    pairs = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (fps[i] ^ fps[j]).bit_count() <= pipeline.RADIUS or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    assert any((fps[i] ^ fps[j]).bit_count() > pipeline.RADIUS for i, j in pairs)
-    root = list(range(len(texts)))
-    for i, j in pairs * 8:
-        root[i] = root[j] = min(root[i], root[j])
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    want = sorted({min(i for i, r in enumerate(root) if r == x) for x in root})
+    root = linked(texts)
+    fps = [slow_fingerprint(t, pipeline.SHINGLE) for t in texts]
+    assert any((fps[i] ^ fps[r]).bit_count() > pipeline.RADIUS for i, r in enumerate(root))
+    want = sorted(set(root))
     for sample, dense in ((64, 8), (1, 0)):  # all pairs at once; common shingles last, and rounds of leaders
         monkeypatch.setattr(jaccard, "SAMPLE", sample)
         monkeypatch.setattr(jaccard, "DENSE", dense)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,28 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), compres
     schema = df.schema
     writer = df.write.option("compression", compression)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for the frames; nothing may be read from them any more."""
+    for df in frames:
+        if path := getattr(df, "stored_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows that a worker holds as Python values at a time.
+AT_ONCE = 512
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm import op3_simhash as simhash
-from trawl.llm.common import stored, utf8
+from trawl.llm.common import forget, slices, stored, utf8
 
 #: One text in SAMPLE is looked at for common shingles; at most COMMON of them are told apart.
 SAMPLE, COMMON, SEEN = 16, 65_536, 2
@@ -42,12 +42,26 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(np.frombuffer(simhash.shingle_hashes(text, shingle), np.int64))
 
 
-def prefix(ids: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set; ``common`` come last, in the order given."""
-    size = prefix_size(len(ids))
-    late = np.isin(ids, common)
-    cold = ids[~late]
-    return cold[:size] if len(cold) >= size else np.concatenate([cold, common[np.isin(common, ids)]])[:size]
+class Order:
+    """The order of shingles: by hash, but ``common`` ones last, in the order given."""
+
+    def __init__(self, common: np.ndarray):
+        at = np.argsort(common)
+        self.common, self.rank = common[at], at + 1
+
+    def prefixes(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        """The first shingles of each of the sorted sets."""
+        sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate([np.empty(0, np.int64), *sets])
+        rank = np.zeros(len(flat), np.int64)
+        if len(self.common):
+            place = np.minimum(np.searchsorted(self.common, flat), len(self.common) - 1)
+            late = self.common[place] == flat
+            rank[late] = self.rank[place[late]]
+        of = np.repeat(np.arange(len(sets)), sizes)
+        order = np.lexsort((rank, of))  # stable, and each set comes in order of hash
+        first = np.cumsum(sizes) - sizes
+        return [flat[order[b : b + prefix_size(n)]] for b, n in zip(first.tolist(), sizes.tolist(), strict=True)]
 
 
 def parities(ids: np.ndarray) -> bytes:
@@ -61,9 +75,9 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _sets(shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in utf8(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle), pa.int64())], names=["token"])
+        for batch in slices(batches):
+            found = np.concatenate([shingle_set(t, shingle) for t in utf8(batch.column(0))])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["token"])
 
     return run
 
@@ -77,20 +91,18 @@ def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
 
 def _marks(shingle: int, common: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, keys, sizes, bits, prefixes = [], [], [], [], []
-            for text in utf8(batch.column(3)):
-                hashes = simhash.shingle_hashes(text, shingle)
-                ids = np.unique(np.frombuffer(hashes, np.int64))
-                found.append(simhash.majority(hashes))
-                keys.append(xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split())))
-                sizes.append(len(ids))
-                bits.append(parities(ids))
-                prefixes.append(prefix(ids, common))
-            signed = [pa.array(np.array(v, np.uint64).view(np.int64), pa.int64()) for v in (found, keys)]
+        order = Order(common)
+        for batch in slices(batches):
+            texts = utf8(batch.column(3))
+            hashes = [simhash.shingle_hashes(t, shingle) for t in texts]
+            sets = [np.unique(np.frombuffer(h, np.int64)) for h in hashes]
+            prefixes = order.prefixes(sets)
+            keys = [xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split())) for t in texts]
+            signed = [pa.array(np.array(v, np.uint64).view(np.int64), pa.int64()) for v in (list(map(simhash.majority, hashes)), keys)]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *signed, pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), lists], names=["doc_id", "_id", "_th", "fp", "tk", "n", "bits", "prefix"])
+            sizes, bits = pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(parities, sets)), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *signed, sizes, bits, lists], names=["doc_id", "_id", "_th", "fp", "tk", "n", "bits", "prefix"])
 
     return run
 
@@ -110,7 +122,7 @@ def _possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pairs = zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True)
             yield batch.filter(pa.array([similar(shingle_set(x, shingle), shingle_set(y, shingle)) for x, y in pairs], pa.bool_())).select(["a", "b"])
 
@@ -131,7 +143,8 @@ def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -
         roots = edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
         rows = members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-        members = stored(rows.join(open_, "token").select("token", "tk", "fp", "n", "root"), "open")
+        members, before = stored(rows.join(open_, "token").select("token", "tk", "fp", "n", "root"), "open"), members
+        forget(before)
         sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
         size = sizes.agg(F.sum("k").alias("texts"), F.sum(F.col("k").cast("double") * (F.col("k") - 1) / 2).alias("pairs")).first()
         if not size.texts:
@@ -153,8 +166,12 @@ def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -
         words = stored(texts.select("_id", "_th", "text").join(wanted, ["_id", "_th"]).select("tk", "text").dropDuplicates(["tk"]), "words")
         both = pairs.join(words.select(F.col("tk").alias("x"), F.col("text").alias("s")), "x").join(words.select(F.col("tk").alias("y"), F.col("text").alias("t")), "y")
         found = both.select("a", "b", "s", "t").mapInArrow(_verify(shingle), "a long, b long")
-        edges = simhash.connected(edges.unionByName(found.distinct()))
+        edges, before = simhash.connected(edges.unionByName(found.distinct())), edges
+        forget(before, pairs, wanted, words)
         if last:
+            forget(members, own)
             return edges
-        members = members.drop("root")
+        root_free = members.drop("root")
+        root_free.stored_at = members.stored_at
+        members = root_free
     return edges

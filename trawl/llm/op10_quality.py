@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import in_fold, table, utf8
+from trawl.llm.common import in_fold, slices, table, utf8
 from trawl.llm.op5_rules import labelled
 
 CHUNK = 1 << 15
@@ -183,7 +183,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, size: SampleSize = SampleS
 
 def _scorer(model: ByteCNN | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in utf8(batch.column(1))]
             score = model.score(texts) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import scratch, table, utf8
+from trawl.llm.common import scratch, slices, table, utf8
 from trawl.llm.tokens import PieceEncoder, default_path
 
 MAGIC = b"RNS1"
@@ -206,7 +206,7 @@ def _encoder(path: str, end_id: int, frame: int):
             ids, docs, first, held, number = [], [], first + held, 0, number + 1
             return row
 
-        for batch in batches:
+        for batch in slices(batches, 4096):
             for doc_id, one in zip(batch.column(0).to_pylist(), encoder.encode_all(utf8(batch.column(1))), strict=True):
                 one += end
                 if docs and held + len(one) // 4 > frame:

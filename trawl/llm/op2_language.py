@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.common import in_fold, one_text, sample_ids, table, utf8
+from trawl.llm.common import in_fold, one_text, sample_ids, slices, table, utf8
 
 WINDOW = 64
 HIDDEN = 8
@@ -218,15 +218,13 @@ def train_languages(docs: DataFrame, size: SampleSize = SampleSize()) -> BiGRU |
 
 def _scorer(model: BiGRU | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, letters = utf8(batch.column(1)), batch.column(2).to_pylist()
+        for batch in slices(batches):
+            texts, letters = utf8(batch.column(0).field("text")), batch.column(1).to_pylist()
             rows = [i for i, ok in enumerate(letters) if ok] if model else []
             lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for i in range(0, len(rows), 1024):
-                part = rows[i : i + 1024]
-                best, mean = predict(model, [texts[r] for r in part])
-                score[part] = mean
-                for r, b in zip(part, best, strict=True):
+            if rows:
+                best, score[rows] = predict(model, [texts[r] for r in rows])
+                for r, b in zip(rows, best, strict=True):
                     lang[r] = model.languages[b]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["row", "lang_pred", "score"])
 
@@ -235,7 +233,7 @@ def _scorer(model: BiGRU | None):
 
 def score_languages(docs: DataFrame, model: BiGRU | None) -> DataFrame:
     """Each document as a struct ``row`` with lang_pred and score, from its whole text only."""
-    rows = docs.select(F.struct("*").alias("row"), "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letter"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letter"))
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_scorer(model), schema)
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import jaccard
-from trawl.llm.common import keyed, stored, table, utf8
+from trawl.llm.common import forget, keyed, slices, stored, table, utf8
 
 SHINGLE = 3
 RADIUS = 2
@@ -71,7 +71,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
 
 def _fingerprints(shingle: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in utf8(batch.column(3))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], names=["doc_id", "_id", "_th", "fp"])
 
@@ -161,7 +161,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        edges, last = stored(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges"), edges
+        forget(last)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, limit: int = LIMIT, similar: bool = False) -> DataFrame:

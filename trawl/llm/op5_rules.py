@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.common import one_text, sample_ids, table, utf8
+from trawl.llm.common import one_text, sample_ids, slices, table, utf8
 
 MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of words
@@ -201,8 +201,8 @@ JUDGED = [*COUNTS, "base_failed", "kept", "score"]
 
 def _judge(trees: Trees | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            measured = [measure(t) for t in utf8(batch.column(1))]
+        for batch in slices(batches):
+            measured = [measure(t) for t in utf8(batch.column(0).field("text"))]
             counts = np.array([m[0] for m in measured], np.int64).reshape(-1, len(COUNTS))
             features = np.array([m[1] for m in measured], float).reshape(-1, len(FEATURES))
             failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEATED * counts[:, 0])
@@ -217,7 +217,7 @@ def judge(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """Each document as a struct ``row`` with its counts, base_failed, kept and score."""
     kinds = [*[(c, T.LongType()) for c in COUNTS], ("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("score", T.DoubleType())]
     schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(*k) for k in kinds)])
-    return docs.select(F.struct("*").alias("row"), "text").mapInArrow(_judge(trees), schema)
+    return docs.select(F.struct("*").alias("row")).mapInArrow(_judge(trees), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:

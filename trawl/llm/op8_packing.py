@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import stored, table, utf8
+from trawl.llm.common import slices, stored, table, utf8
 from trawl.llm.tokens import PieceEncoder, default_path
 
 CAPACITY = 2048
@@ -42,7 +42,7 @@ PLAN = "length long, rank_from long, pieces long, sequence long, each long, offs
 def _cutter(path: str, capacity: int, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, row = PieceEncoder.of(path), np.array([end_id], "<u4").tobytes(), 0
-        for batch in batches:
+        for batch in slices(batches, 4096):
             rows: list[list] = [[], [], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(utf8(batch.column(1))), strict=True):
                 ids += end

@@ -25,9 +25,9 @@ WIDE_SPACES = "\x85\xa0                　"
 #: Longer pieces (in bytes) are encoded each time and not kept.
 _LONGEST = 64
 #: Pieces that a worker keeps.
-KEPT = 1_500_000
+KEPT = 600_000
 #: Bytes of text that are cut and folded together (a longer text alone), and pieces at a time.
-GROUP, SLAB = 1 << 24, 1 << 19
+GROUP, SLAB = 1 << 23, 1 << 18
 #: A group with fewer pieces than one in FEW of those kept is encoded without looking them up.
 FEW = 50
 
