@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import scratch
+from trawl.llm.common import forget, scratch
 from trawl.llm.op2_language import keep_recognised
 from trawl.llm.op3_simhash import keep_one
 from trawl.llm.op6_mixing import mix
@@ -47,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs documents into sequences of 2048 tokens; a row per piece."""
-    return pack_documents(docs, kept=400_000)  # earlier stages' workers hold memory too
+    return pack_documents(docs)
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]
@@ -61,5 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs, before = spark.read.parquet(path), docs
+        docs.stored_at = path
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
