@@ -1,261 +1,176 @@
-"""Chunking against a plain model that is written from the operators' description."""
+"""Chunking: results worked out by hand for small texts, and what must hold for any text."""
 
 import random
-import re
 
 import pytest
 
+from trawl.functions.text import TABLE_LABEL
 from trawl.operators import chunking
 
-MARK = re.compile(r"^\s{0,3}(#{1,6})[ \t]+(.+?)\s*$")
-FENCE = re.compile(r"^\s{0,3}(`{3,}|~{3,})")
-
-
-def head(line):
-    m = MARK.match(line)
-    title = re.sub(r"[ \t]+#+[ \t]*$", "", m[2]).strip() if m else ""
-    return (len(m[1]), title) if title else None
-
-
-def windows(text, size, overlap):
-    text = text.replace("\r\n", "\n").replace("\r", "\n").strip()
-    out, at, n = [], 0, len(text)
-    if n <= size:
-        return [text] if text else []
-    while True:
-        end = target = min(at + size, n)
-        if target < n:
-            cuts = [text.rfind(m, at + 1, target + 1) for m in ("\n\n", "\n", " ")]
-            cuts = [c for c in cuts if c >= at + max(size // 2, 1)]
-            end = max(cuts, default=target)
-        piece = text[at:end].strip()
-        if piece and piece != (out or [None])[-1]:
-            out.append(piece)
-        if end >= n:
-            return out
-        at = max(end - overlap, at + 1)
-
-
-def is_row(line):
-    return line.strip().startswith("|") and "|" in line.strip()[1:]
-
-
-class Model:
-    def __init__(self, size, overlap, rows, deepest):
-        self.size, self.overlap, self.rows, self.deepest = size, overlap, rows, deepest
-
-    def prefixed(self, prefix, body):
-        room = self.size - len(prefix) - 2
-        if room <= 0:
-            return [prefix, *windows(body, self.size, self.overlap)]
-        parts = windows(body, room, min(self.overlap, max(room - 1, 0)))
-        return [f"{prefix}\n\n{parts[0]}", *parts[1:]] if parts else [prefix]
-
-    def long(self, text):
-        first, _, rest = text.partition("\n")
-        if not head(first) or head(first)[0] > 2:
-            return windows(text, self.size, self.overlap)
-        return self.prefixed(first, rest) if rest.strip() else [text]
-
-    def pack(self, lines):
-        units, held, fenced = [], [], False
-        for line in [*lines, None]:
-            mark = line is not None and FENCE.match(line)
-            if line is None or (not fenced and (not line.strip() or mark)):
-                if held:
-                    units.append(("\n".join(held).strip(), fenced))
-                held = [line] if mark else []
-                fenced = bool(mark)
-                continue
-            held.append(line)
-            if fenced and mark:
-                units.append(("\n".join(held).strip(), True))
-                held, fenced = [], False
-        now, out = "", []
-        for text, atomic in [u for u in units if u[0]]:
-            both = f"{now}\n\n{text}" if now else text
-            if atomic:
-                if len(both) <= self.size or not now:
-                    now = both
-                else:
-                    out.append(now)
-                    now = text
-                if len(now) > self.size:
-                    out.append(now)
-                    now = ""
-            elif now and "\n" not in now and head(now) and len(both) > self.size:
-                out += self.prefixed(now, text)
-                now = ""
-            elif len(text) > self.size:
-                out += ([now] if now else []) + self.long(text)
-                now = ""
-            elif len(both) <= self.size:
-                now = both
-            else:
-                out.append(now)
-                room = self.size - len(text) - 2
-                now = f"{now[-min(self.overlap, room):]}\n\n{text}" if self.overlap and room > 0 else text
-        return [c for c in [*out, now] if c.strip()]
-
-    def section(self, lines, path):
-        blocks, i = [], 0
-        fenced = False
-        while i < len(lines):
-            j = i
-            while not fenced and j < len(lines) and is_row(lines[j]):
-                j += 1
-            if j - i >= 2:
-                blocks.append(("table", lines[i:j]))
-                i = j
-                continue
-            if not blocks or blocks[-1][0] == "table":
-                blocks.append(("section", []))
-            blocks[-1][1].append(lines[i])
-            fenced ^= bool(FENCE.match(lines[i]))
-            i += 1
-        for kind, rows in blocks:
-            if kind == "section":
-                yield from ((path, kind, None, t) for t in self.pack(rows))
-                continue
-            rows = [r.strip() for r in rows]
-            rule = all(re.fullmatch(r":?-{3,}:?", c.strip()) for c in rows[1].strip("|").split("|"))
-            data = rows[2 if rule else 1 :]
-            if len("\n".join(rows)) <= self.size or not data:
-                yield path, kind, 1, "\n".join(rows)
-                continue
-            title = "【表头】" + re.sub(r"^\||\|$", "", rows[0]).strip()
-            for k in range(0, len(data), self.rows):
-                yield path, kind, k // self.rows + 1, "\n".join([title, *data[k : k + self.rows]])
-
-    def split(self, text):
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
-        if not text.strip():
-            return
-        open_, lines, fenced = {}, [], False
-        for line in text.split("\n"):
-            h = None if fenced else head(line)
-            if h and h[0] <= self.deepest:
-                yield from self.section(lines, "/".join(open_[k] for k in sorted(open_)) or None)
-                open_ = {k: v for k, v in open_.items() if k < h[0]} | {h[0]: h[1]}
-                lines = [line.rstrip()]
-            elif fenced or line.strip() != "---":
-                lines.append(line.rstrip())
-                fenced ^= bool(FENCE.match(line))
-        yield from self.section(lines, "/".join(open_[k] for k in sorted(open_)) or None)
-
-
-def squeeze(t):
-    return " ".join(t.split())
-
-
-def bare(t):
-    return squeeze(re.sub(r"[*_`~]", "", re.sub(r"^\s{0,3}#{1,6}\s+", "", t.strip())))
-
-
-def low(text, title):
-    lines = [x.strip() for x in text.splitlines() if x.strip()]
-    flat = squeeze(text)
-    if not flat or all(re.fullmatch(r"[-_*~`\s|]+", x) for x in lines) or not re.search(r"[A-Za-z0-9㐀-鿿]", flat):
-        return True
-    if title and bare(flat) == bare(title) or len(lines) == 1 and head(lines[0]):
-        return True
-    return len(lines) == 2 and lines[0].startswith("|") and all(re.fullmatch(r":?-{3,}:?", c.strip()) for c in lines[1].strip("|").split("|"))
-
-
-def contextual(pieces, size):
-    out, seen, held = [], set(), {}
-
-    def kind_of(text, kind):
-        lines = [x.strip() for x in text.splitlines() if x.strip()]
-        if kind == "table" or ("|" in text and "【表头】" in text):
-            return "table"
-        if re.search(r"(?m)^\s*```", text):
-            return "code"
-        return "list" if lines and all(re.match(r"^(?:[-*+] |\d+[.)] )", x) for x in lines) else "prose"
-
-    for path, kind, _, text in pieces:
-        if low(text, path and path.rsplit("/", 1)[-1]) or (path, squeeze(text)) in seen:
-            continue
-        seen.add((path, squeeze(text)))
-        body = [x.strip() for x in text.splitlines() if x.strip() and not head(x.strip())]
-        if body and all(re.match(r"^\s*>?\s*(?:参见|见|关联规则)[：:]", x) for x in body):
-            if out and out[-1][0] == path:
-                out[-1][1] += "\n\n" + text
-            else:
-                held[path] = f"{held[path]}\n\n{text}" if path in held else text
-            continue
-        if path in held:
-            text = f"{text}\n\n{held.pop(path)}"
-        if out and out[-1][0] == path and len(out[-1][1] + "\n\n" + text) <= size:
-            out[-1][1] += "\n\n" + text
-            out[-1][2] = out[-1][2] if out[-1][2] == kind else "prose"
-        else:
-            out.append([path, text, kind_of(text, kind)])
-    return [tuple(x) for x in out]
-
-
-def markdown(rng):
-    word = lambda: rng.choice(["alpha", "be", "Gamma_d", "12", "é", "*x*", "表", "a|b"])
-    text = lambda n: " ".join(word() for _ in range(rng.randrange(1, n)))
-    out = []
-    for _ in range(rng.randrange(1, 22)):
-        out += rng.choice(
-            [
-                lambda: ["#" * rng.randrange(1, 5) + " " + rng.choice(["One", "Two", "T/S", "Three ##"])],
-                lambda: [text(25)],
-                lambda: ["", text(60), ""],
-                lambda: [text(9), text(9) + "  "],
-                lambda: ["```", "# no heading", text(30), "", rng.choice(["```", "still open"])],
-                lambda: ["| a | b |", "| --- | :--: |", *[f"| {text(4)} | {i} |" for i in range(rng.randrange(9))]],
-                lambda: ["| lone | row |"],
-                lambda: ["---"],
-                lambda: ["", "> 参见：Part 3", ""],
-                lambda: ["- a", "- b"],
-                lambda: ["", "again and again", ""],
-                lambda: ["***", ""],
-            ]
-        )()
-    return rng.choice(["\n", "\r\n"]).join(out)
+DOCUMENT = "document_id string, title string, content string, source_type string"
 
 
-@pytest.fixture(scope="module")
-def documents(spark):
-    rng = random.Random(11)
-    rows = [(f"d{i}", "t", markdown(rng), "markdown") for i in range(150)] + [("e", "t", "", "markdown"), ("n", "t", None, "markdown"), ("b", "t", " \n ", "markdown")]
-    return spark.createDataFrame(rows, "document_id string, title string, content string, source_type string").cache()
+def one(spark, text):
+    return spark.createDataFrame([("d", "t", text, "markdown")], DOCUMENT)
 
 
 @pytest.mark.parametrize(("size", "overlap"), [(0, 0), (10, 10), (10, 11), (10, -1)])
-def test_bad_sizes(documents, size, overlap):
+def test_bad_sizes(spark, size, overlap):
     with pytest.raises(ValueError, match="overlap"):
-        chunking.split_plain(documents, size, overlap)
-
-
-@pytest.mark.parametrize(("size", "overlap"), [(40, 10), (9, 3), (800, 100), (5, 4)])
-def test_windows(documents, size, overlap):
-    got = {}
-    for r in sorted(chunking.split_plain(documents, size, overlap).collect(), key=lambda r: r.pos):
-        got.setdefault(r.document_id, []).append(r.piece)
-    for r in documents.collect():
-        assert got.get(r.document_id, []) == windows(r.content or "", size, overlap), r.document_id
-
-
-@pytest.mark.parametrize(("size", "overlap", "rows", "deepest"), [(60, 15, 3, 2), (60, 15, 3, 6), (30, 0, 2, 6), (800, 100, 10, 2)])
-def test_structure(documents, size, overlap, rows, deepest):
-    got = {}
-    for r in sorted(chunking.split_structured(documents, size, overlap, rows, deepest).collect(), key=lambda r: r.ord):
-        got.setdefault(r.document_id, []).append((r.heading_path, r.kind, r.table_part, r.text))
-    for r in documents.collect():
-        assert got.get(r.document_id, []) == list(Model(size, overlap, rows, deepest).split(r.content or "")), r.document_id
-
-
-@pytest.mark.parametrize("size", [60, 200, 800])
-def test_contextual(documents, size):
-    got = {}
-    for r in sorted(chunking.split_contextual(documents, size, 15, 3).collect(), key=lambda r: r.order_index):
-        got.setdefault(r.document_id, []).append((r.heading_path, r.text, r.chunk_type))
-    for r in documents.collect():
-        assert got.get(r.document_id, []) == contextual(Model(size, 15, 3, 6).split(r.content or ""), size), r.document_id
+        chunking.split_plain(one(spark, "text"), size, overlap)
+
+
+def test_windows_by_hand(spark):
+    cases = [
+        ("  \r\n ", 10, 3, []),
+        (None, 10, 3, []),
+        ("short", 10, 3, ["short"]),
+        ("0123456789abcdefghij", 10, 3, ["0123456789", "789abcdefg", "efghij"]),  # nowhere to cut
+        ("aaaa bbbb cccc dddd", 10, 3, ["aaaa bbbb", "bbb cccc", "ccc dddd"]),  # at spaces
+        ("one two\n\nthree four five", 12, 2, ["one two", "o\n\nthree", "ee four five"]),  # at the blank line
+        ("xx xx xx xx xx xx", 5, 2, ["xx xx"]),  # equal neighbours are one
+    ]
+    docs = spark.createDataFrame([(str(i), "t", c[0], "text") for i, c in enumerate(cases)], DOCUMENT)
+    for i, (_, size, overlap, want) in enumerate(cases):
+        rows = chunking.split_plain(docs.filter(f"document_id = '{i}'"), size, overlap).orderBy("pos").collect()
+        assert [r.piece for r in rows] == want, i
+
+
+def structured(spark, text, size=60, overlap=10, rows=2, deepest=2):
+    found = chunking.split_structured(one(spark, text), size, overlap, rows, deepest).orderBy("ord").collect()
+    return [(r.heading_path, r.kind, r.table_part, r.text) for r in found]
+
+
+def test_headings_by_hand(spark):
+    text = "intro line\n# One\nalpha\n## Two\nbeta\n### Three\ngamma\n# Four ##\n---\ndelta"
+    assert structured(spark, text) == [
+        (None, "section", None, "intro line"),
+        ("One", "section", None, "# One\nalpha"),
+        ("One/Two", "section", None, "## Two\nbeta\n### Three\ngamma"),
+        ("Four", "section", None, "# Four ##\ndelta"),
+    ]
+    paths = [p for p, *_ in structured(spark, text, deepest=6)]
+    assert paths == [None, "One", "One/Two", "One/Two/Three", "Four"]
+
+
+def test_a_fence_stays_whole(spark):
+    assert structured(spark, "# One\n```\n# not a heading\n\nx = 1\n```\nafter") == [("One", "section", None, "# One\n\n```\n# not a heading\n\nx = 1\n```\n\nafter")]
+    code = "```\n" + "x = 1\n" * 20 + "```"
+    assert [t for *_, t in structured(spark, f"before\n{code}\nafter", size=40)] == ["before", code, "after"]
+
+
+def test_tables_by_hand(spark):
+    text = "## T\n| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |\n| 5 | 6 |\ntail"
+    assert structured(spark, text, size=30) == [
+        ("T", "section", None, "## T"),
+        ("T", "table", 1, f"{TABLE_LABEL}a | b\n| 1 | 2 |\n| 3 | 4 |"),
+        ("T", "table", 2, f"{TABLE_LABEL}a | b\n| 5 | 6 |"),
+        ("T", "section", None, "tail"),
+    ]
+    whole = "| a | b |\n| --- | --- |\n| 1 | 2 |"
+    assert structured(spark, whole) == [(None, "table", 1, whole)]
+    assert structured(spark, "| only one row |") == [(None, "section", None, "| only one row |")]
+
+
+def test_packing_by_hand(spark):
+    three = "first paragraph here.\n\nsecond paragraph here.\n\nthird paragraph here."
+    assert [t for *_, t in structured(spark, three, size=50)] == ["first paragraph here.\n\nsecond paragraph here.", "raph here.\n\nthird paragraph here."]
+    words = " ".join(f"w{i:03}" for i in range(20))
+    long = [t for *_, t in structured(spark, f"# Long heading\n\n{words}", size=40)]
+    assert long[0] == "# Long heading\n\nw000 w001 w002 w003 w004" and not any("heading" in t for t in long[1:])
+    assert all(len(t) <= 40 for t in long) and set(words.split()) <= set(" ".join(long).split())
+
+
+def contextual(spark, text, size=60):
+    found = chunking.split_contextual(one(spark, text), size, 10, 2).orderBy("order_index").collect()
+    assert [r.order_index for r in found] == list(range(len(found)))
+    return [(r.heading_path, r.text, r.chunk_type, r.reference_texts) for r in found]
+
+
+def test_pointers_by_hand(spark):
+    assert contextual(spark, "# A\nfirst text\n\n> 参见：Part 2\n\n# B\n> 见：[x](y.md)\n\nsecond text") == [
+        ("A", "# A\nfirst text\n\n> 参见：Part 2", "prose", ["参见：Part 2"]),
+        ("B", "# B\n> 见：[x](y.md)\n\nsecond text", "prose", ["见：[x](y.md)"]),
+    ]
+    # A pointer that nothing in its section follows or precedes is dropped.
+    assert contextual(spark, "# A\ntext of A\n# B\n> 参见：Part 2\n# C\ntext of C") == [("A", "# A\ntext of A", "prose", []), ("C", "# C\ntext of C", "prose", [])]
+
+
+def test_kinds_by_hand(spark):
+    assert contextual(spark, "# A\n| h |x|\n| --- | --- |\n| 1 | 2 |\n\nplain") == [("A", "| h |x|\n| --- | --- |\n| 1 | 2 |\n\nplain", "prose", [])]
+    assert [k for _, _, k, _ in contextual(spark, "- a\n- b\n# C\n```\ncode\n```\n# T\n| h |x|\n| --- | --- |\n| 1 | 2 |")] == ["list", "code", "table"]
+    assert contextual(spark, "# Only a heading\n\n---\n\n***") == []
+    # The same text twice in a section counts once, in another section again.
+    assert [(p, t) for p, t, *_ in contextual(spark, "x y\n| a | b |\n| 1 | 2 |\nx  y\n# B\nx y", size=12)] == [(None, "x y"), (None, f"{TABLE_LABEL}a | b\n| 1 | 2 |"), ("B", "# B\nx y")]
+
+
+def random_text(rng):
+    """Numbered words, so that nothing can be lost unseen."""
+    number = iter(range(10**6))
+    words = lambda n: " ".join(f"w{next(number)}" for _ in range(rng.randrange(1, n)))
+    parts = {
+        "heading": lambda: "#" * rng.randrange(1, 5) + " " + words(4),
+        "text": lambda: words(40),
+        "lines": lambda: "\n".join(words(9) for _ in range(rng.randrange(1, 5))),
+        "fence": lambda: "```\n" + "\n".join(rng.choice(["# " + words(3), words(6), ""]) for _ in range(rng.randrange(6))) + "\n```",
+        "table": lambda: "| " + words(3) + " | x |\n| --- | --- |\n" + "\n".join(f"| {words(4)} | y |" for _ in range(rng.randrange(1, 9))),
+        "rule": lambda: "---",
+    }
+    return "\n\n".join(parts[rng.choice(sorted(parts))]() for _ in range(rng.randrange(1, 20)))
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    rng = random.Random(11)
+    return spark.createDataFrame([(f"d{i}", "t", random_text(rng), "markdown") for i in range(60)], DOCUMENT).cache()
+
+
+def numbers(text):
+    return [int(w[1:]) for w in text.replace("|", " ").replace(TABLE_LABEL, " ").split() if w[0] == "w"]
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(40, 10), (800, 100)])
+def test_windows_keep_all_text_in_order(documents, size, overlap):
+    rows = chunking.split_plain(documents, size, overlap).orderBy("pos").collect()
+    for d in documents.collect():
+        pieces = [r.piece for r in rows if r.document_id == d.document_id]
+        at = 0
+        for p in pieces:  # each begins within the one before, or where only white space lies between
+            begin = d.content.index(p, max(0, at - overlap - 1))
+            assert not d.content[at:begin].strip() and 0 < len(p) <= size and p == p.strip()
+            at = begin + len(p)
+        assert not d.content[at:].strip()
+
+
+@pytest.mark.parametrize(("size", "overlap", "rows", "deepest"), [(60, 15, 3, 2), (60, 0, 3, 6), (800, 100, 10, 2)])
+def test_structure_keeps_all_text(documents, size, overlap, rows, deepest):
+    found = chunking.split_structured(documents, size, overlap, rows, deepest).orderBy("ord").collect()
+    for d in documents.collect():
+        pieces = [r for r in found if r.document_id == d.document_id]
+        seen = [n for r in pieces for n in numbers(r.text)]
+        firsts = list(dict.fromkeys(seen))
+        # A window may cut a word only where no space lies in its upper half: not with such words.
+        assert set(numbers(d.content)) <= set(seen) and firsts == sorted(firsts)
+        for r in pieces:
+            assert r.text.strip() and (overlap or r.text.count("```") % 2 == 0)  # an overlap may begin inside a fence
+            if r.kind == "table":
+                assert r.text.startswith(TABLE_LABEL) or (r.table_part == 1 and len(r.text) <= size)
+                assert len(r.text.split("\n")) <= max(rows + 1, 2 if len(r.text) > size else 99)
+            elif "```" not in r.text:
+                assert len(r.text) <= size
+
+
+def test_contextual_pieces_fit_and_keep_order(documents):
+    found = chunking.split_contextual(documents, 200, 15, 3).orderBy("order_index").collect()
+    for d in documents.collect():
+        pieces = [r for r in found if r.document_id == d.document_id]
+        firsts = list(dict.fromkeys(n for r in pieces for n in numbers(r.text)))
+        assert firsts == sorted(firsts)
+        for r in pieces:
+            assert "```" in r.text or r.chunk_type == "table" or TABLE_LABEL in r.text or len(r.text) <= 200
+            assert r.section_id.startswith("section-") and (r.parent_section_id is None) == ("/" not in (r.heading_path or ""))
+            assert (r.heading_path or "").count("/") + 1 == r.heading_level or r.heading_path is None
+        assert len({(r.heading_path, " ".join(r.text.split())) for r in pieces}) == len(pieces)
 
 
 def test_routing(spark, documents):

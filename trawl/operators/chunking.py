@@ -7,12 +7,10 @@ units, which are bounded by the document.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.functions.text import FENCE, TABLE_LABEL, chunk_type, heading_level, heading_title, lines, low_information, parent_path, pointer_only, reference_texts, section_id, squeeze, strip, table_row, table_separator
+from trawl.functions.text import FENCE, TABLE_LABEL, chunk_type, heading_level, heading_title, let, lines, low_information, parent_path, pointer_only, reference_texts, section_id, squeeze, strip, table_row, table_separator
 
 SIZE, OVERLAP, TABLE_ROWS = 800, 100, 10
 _STRINGS = "array<string>"
@@ -23,11 +21,6 @@ def check_sizes(size: int, overlap: int) -> None:
         raise ValueError("size must be positive and overlap between 0 and size - 1")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once: lambdas do not share equal subexpressions."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _last_before(text: Column, mark: str, low: Column, high: Column) -> Column:
     """Start (from 0) of the last ``mark`` that lies in text[low:high], or -1."""
     part = F.substring(text, low + 1, high - low)
