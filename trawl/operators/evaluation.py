@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trawl.functions.text import increase, strip
 
 QUALITY = ["context_recall", "context_precision"]
-SECRET = r"(?i)(api[_-]?key|secret|token|password|authorization|credential)"
+#: Fixed value: names of keys whose values are secret.
+SECRET = r"api[_-]?key|authorization|password|secret|access[_-]?token|refresh[_-]?token"
 REDACTED = "[REDACTED]"
 
 
@@ -250,13 +254,37 @@ def manifest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.countDistinct("config").alias("configs"))
 
 
+@F.pandas_udf(T.StringType())
+def _redacted(texts: pd.Series) -> pd.Series:
+    secret = re.compile(SECRET, re.IGNORECASE)
+
+    def clean(value):
+        todo = [value]  # containers still to be cleaned, in place: depth costs no stack
+        while todo:
+            inner = todo.pop()
+            for key, item in list(inner.items() if isinstance(inner, dict) else enumerate(inner)):
+                if isinstance(inner, dict) and secret.search(key):
+                    inner[key] = REDACTED
+                elif isinstance(item, (dict, list)):
+                    todo.append(item)
+        return value
+
+    def one(text):
+        try:
+            value = json.loads(text) if text is not None else None
+        except (ValueError, RecursionError):
+            return REDACTED if secret.search(text) else text
+        return json.dumps(clean(value), ensure_ascii=False) if isinstance(value, (dict, list)) else text
+
+    return texts.map(one)
+
+
 def redact(text: Column) -> Column:
-    """JSON text with the values of secret-named keys replaced, at any depth.
+    """JSON text in which the values of secret-named keys are replaced, at any depth.
 
-    A value is a string, a number, a literal, or an object or list without nested objects.
+    Other text stays as it is; what is no JSON but names a secret is replaced as a whole.
     """
-    scalar = r'"(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|\{[^{}]*\}|\[[^\[\]]*\]'
-    return F.regexp_replace(text, rf'("[^"]*{SECRET[4:]}[^"]*"\s*:\s*)(?:{scalar})'.replace('("[^"]*', '(?i)("[^"]*', 1), f"$1{json.dumps(REDACTED)}")
+    return _redacted(text)
 
 
 def context_scores(contexts: DataFrame, cases: DataFrame, k: int = 10) -> DataFrame:

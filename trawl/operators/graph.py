@@ -108,10 +108,15 @@ def reference_neighbours(anchors: DataFrame, chunks: DataFrame, edges: DataFrame
 def parents(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     """As-of join: the last chunk of the anchor's parent section that lies before the anchor."""
     a, c = _neighbour(anchors, chunks)
-    rows = a.join(c.withColumnRenamed("document_id", "a_doc").withColumnRenamed("section_id", "a_parent"), [*SCOPE, "a_doc", "a_parent"]).filter("order_index < a_order")
-    rows = rows.withColumnRenamed("a_doc", "document_id").withColumnRenamed("a_parent", "section_id")
-    best = rows.groupBy("anchor_key").agg(F.max_by(F.struct(*[F.col(x) for x in c.columns]), F.struct("order_index", "chunk_id")).alias("x"))
-    return best.select("anchor_key", "x.*").withColumn("relation", F.lit("parent_section"))
+    # Sections' chunks and the anchors that ask for them in one order: the last chunk so far is
+    # the answer, and contents are joined to it afterwards.
+    place = [*SCOPE, "document_id", "section_id"]
+    held = c.select(*place, F.col("order_index").alias("at"), F.lit(1).alias("late"), F.lit(None).cast(a.schema["anchor_key"].dataType).alias("anchor_key"), "chunk_id").filter("at IS NOT NULL AND section_id IS NOT NULL")
+    asked = a.select(*SCOPE, F.col("a_doc").alias("document_id"), F.col("a_parent").alias("section_id"), F.col("a_order").alias("at"), F.lit(0).alias("late"), "anchor_key", F.lit(None).cast("string").alias("chunk_id")).filter("at IS NOT NULL AND section_id IS NOT NULL")
+    order = Window.partitionBy(place).orderBy("at", "late", "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = held.unionByName(asked).withColumn("chunk_id", F.last("chunk_id", ignorenulls=True).over(order)).filter("late = 0 AND chunk_id IS NOT NULL")
+    best = found.select(*SCOPE, "anchor_key", "chunk_id").join(c, [*SCOPE, "chunk_id"])
+    return best.select("anchor_key", *c.columns).withColumn("relation", F.lit("parent_section"))
 
 
 def section_neighbours(anchors: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.operators.vector import in_scope, ranked
+from trawl.operators.vector import ranked
 
 K1, B = 1.2, 0.75
 _CJK = "㐀-鿿"
@@ -20,40 +20,68 @@ def tokens(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def postings(chunks: DataFrame, **fields: str) -> DataFrame:
-    """(kb_id, index_version, chunk_id, field, term, tf, dl) for the named text fields."""
-    out = None
-    for field, column in fields.items():
-        terms = chunks.select("kb_id", "index_version", "chunk_id", F.lit(field).alias("field"), tokens(F.col(column)).alias("t"))
-        terms = terms.select("kb_id", "index_version", "chunk_id", "field", F.size("t").alias("dl"), F.explode("t").alias("term"))
-        out = terms if out is None else out.unionByName(terms)
-    return out.groupBy("kb_id", "index_version", "chunk_id", "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+_CHUNK = ["kb_id", "index_version", "chunk_id"]
 
 
-def bm25_top_k(queries: DataFrame, scope: DataFrame, index: DataFrame, k: int, boosts: dict[str, float] | None = None) -> DataFrame:
+def _fields(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """A row for each chunk and named field, with its tokens ``t``; texts are read once."""
+    each = F.array(*[F.struct(F.lit(name).alias("field"), tokens(F.col(column)).alias("t")) for name, column in fields.items()])
+    return chunks.select(*_CHUNK, F.explode(each).alias("x")).select(*_CHUNK, "x.field", "x.t").filter(F.size("t") > 0)
+
+
+def postings(chunks: DataFrame, terms: DataFrame | None = None, **fields: str) -> DataFrame:
+    """(kb_id, index_version, chunk_id, field, term, tf, dl) for the named text fields.
+
+    With ``terms`` (term) only postings of these are made: what a search without a stored index
+    needs, counted after the other tokens have gone.
+    """
+    rows = _fields(chunks, fields).select(*_CHUNK, "field", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+    return rows.groupBy(*_CHUNK, "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def statistics(chunks: DataFrame, by_base: bool = False, **fields: str) -> DataFrame:
+    """What BM25 must know of the whole index, (field, n, avgdl), in one pass over the chunks;
+    ``by_base`` gives (kb_id, index_version, field, n, total), which is stored beside the
+    postings and summed up by ``whole_index``."""
+    rows = _fields(chunks, fields).groupBy("kb_id", "index_version", "field").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("t")).alias("total"))
+    return rows if by_base else whole_index(rows)
+
+
+def whole_index(by_base: DataFrame) -> DataFrame:
+    """(field, n, avgdl) from statistics by base."""
+    return by_base.groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select("field", "n", (F.col("total") / F.col("n")).alias("avgdl"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
+
+
+def bm25_top_k(queries: DataFrame, scope: DataFrame, index: DataFrame, k: int, boosts: dict[str, float] | None = None, fields: DataFrame | None = None) -> DataFrame:
     """The k best chunks of each query (query_id, query_text) within its scope.
 
-    Statistics are those of the whole index, not of the scope; a chunk's score is that of its
-    best field after boosts; ties go to the smaller kb_id and chunk_id. Only postings of query
-    terms are joined, and term statistics are joined once per term.
+    Statistics are those of the whole index, not of the scope (``fields`` are the stored ones,
+    else they are derived from the postings); a chunk's score is that of its best field after
+    boosts; ties go to the smaller kb_id and chunk_id. A query's terms meet its bases first, so
+    a posting is joined only with the queries that ask for its term in its base.
     """
     if k < 1:
-        return queries.select("query_id").filter("false").crossJoin(index.select("kb_id", "index_version", "chunk_id").limit(0)).withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
-    wanted = terms.select("term").distinct()
-    docs = index.select("kb_id", "index_version", "chunk_id", "field", "dl").distinct()
-    size = docs.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    own = index.join(wanted, "term", "left_semi")
+        return queries.select("query_id").filter("false").crossJoin(index.select(*_CHUNK).limit(0)).withColumns({"score": F.lit(0.0), "rank": F.lit(0)})
+    terms = query_terms(queries)
+    if fields is None:
+        fields = index.select(*_CHUNK, "field", "dl").distinct().groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    own = index.join(terms.select("term").distinct(), "term", "left_semi")
     df = own.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    # One row per field and one per field and query term: a bounded build side.
-    stats = df.join(size, "field").select("field", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
+    # One row per field and query term: a bounded build side.
+    stats = df.join(fields, "field").select("field", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
+    wanted = scope.select("query_id", "kb_id", "index_version").distinct().join(terms, "query_id").join(stats, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = own.join(stats, ["field", "term"]).select("kb_id", "index_version", "chunk_id", "field", "term", part.alias("part"))
-    hits = in_scope(scored, scope).join(terms, ["query_id", "term"])
-    by_field = hits.groupBy("query_id", "kb_id", "index_version", "chunk_id", "field").agg(F.sum("part").alias("part"))
+    hits = own.join(wanted, ["kb_id", "index_version", "field", "term"]).select("query_id", *_CHUNK, "field", part.alias("part"))
+    by_field = hits.groupBy("query_id", *_CHUNK, "field").agg(F.sum("part").alias("part"))
     weight = F.lit(1.0)
     for field, boost in (boosts or {}).items():
         weight = F.when(F.col("field") == field, boost).otherwise(weight)
-    best = by_field.groupBy("query_id", "kb_id", "index_version", "chunk_id").agg(F.max(weight * F.col("part")).alias("score"))
+    best = by_field.groupBy("query_id", *_CHUNK).agg(F.max(weight * F.col("part")).alias("score"))
     best = best.withColumn("score", F.round("score", 9))  # equal terms in another order are a tie
     return ranked(best, k, F.desc("score"), F.asc("kb_id"), F.asc("chunk_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.text import full_lines, normal_query, strip
+from trawl.functions.text import full_lines, let, normal_query, strip
 
 __all__ = ["clean_rewrite", "expand_synonyms", "normal_query", "pipeline", "request_query_problem", "search_query_problem", "settings_violations"]
 
@@ -29,11 +29,36 @@ def settings_violations(settings: DataFrame) -> DataFrame:
     return parsed.filter("pos IS NOT NULL").select("kb_id", "pos", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
 
 
+#: Keys under which a model may give its rewrite, in order.
+REWRITE_KEYS = ["query", "rewritten_query", "text", "content", "rewrite"]
+#: Objects inside each other's text that are unwrapped.
+NESTED = 3
+
+
+def _unfenced(text: Column) -> Column:
+    """Stripped, and without a code fence around it and the word json behind its mark."""
+    inner = strip(F.substring(text, F.lit(4), F.length(text) - 6))
+    inner = F.when(F.lower(F.substring(inner, 1, 4)) == "json", strip(F.substring(inner, F.lit(5), F.length(inner)))).otherwise(inner)
+    return F.when((F.length(text) >= 6) & text.startswith("```") & text.endswith("```"), inner).otherwise(text)
+
+
+def _unwrapped(text: Column, depth: int) -> Column:
+    def opened(bare: Column) -> Column:
+        value = F.try_parse_json(bare)
+        kind = F.schema_of_variant(value)
+        held = lambda key: F.when(F.schema_of_variant(F.try_variant_get(value, f"$.{key}", "variant")) == "STRING", F.try_variant_get(value, f"$.{key}", "string"))
+        found = F.coalesce(*map(held, REWRITE_KEYS), F.lit(""))
+        return F.when(kind.startswith("OBJECT"), _unwrapped(found, depth - 1) if depth else found).when(kind == "STRING", strip(F.try_variant_get(value, "$", "string"))).otherwise(bare)
+
+    return let(_unfenced(strip(text)), opened)
+
+
 def clean_rewrite(output: Column, cut: int = 30) -> Column:
-    """A model's answer without fence or JSON around it, its first line, cut to 30."""
-    bare = strip(F.regexp_replace(F.regexp_replace(strip(output), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
-    inner = F.coalesce(F.get_json_object(bare, "$.query"), F.get_json_object(bare, "$.rewritten_query"), bare)
-    return F.nullif(strip(F.substring(F.try_element_at(full_lines(inner), F.lit(1)), 1, cut)), F.lit(""))
+    """A model's answer out of its fence, JSON object (the first text under one of
+    ``REWRITE_KEYS``; an object with none gives nothing) or JSON string: its first line that is
+    not blank, cut to 30 characters; null where nothing is left."""
+    first = lambda x: F.coalesce(F.when(x.contains("\n"), F.try_element_at(full_lines(x), F.lit(1))).otherwise(x), F.lit(""))
+    return F.nullif(F.substring(let(_unwrapped(output, NESTED), first), 1, cut), F.lit(""))
 
 
 def pipeline(queries: DataFrame, rewrites: DataFrame) -> DataFrame:

@@ -37,14 +37,69 @@ def successful(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(documents.filter("status = 1").select("document_id"), "document_id", "left_semi")
 
 
+#: Chunks and queries of a base that a task multiplies at once.
+CHUNK_BLOCK, QUERY_BLOCK = 8192, 2048
+
+
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of length 1; zero vectors become rows of nan."""
+    x = np.stack([np.asarray(v, np.float64) for v in vectors.to_pylist()])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _block_top_k(k: int):
+    def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": pa.array([], pa.string()), "document_id": pa.array([], pa.string()), "chunk_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        if not queries.num_rows or not chunks.num_rows:
+            return empty
+        scores = np.round(_unit(queries["query_vector"]) @ _unit(chunks["embedding"]).T, 12)  # equal vectors tie
+        scores = np.where(np.isfinite(scores), scores, -np.inf)
+        rows, columns = [], []
+        ids = np.array(chunks["chunk_id"].to_pylist())
+        for i, own in enumerate(scores):
+            at = np.flatnonzero(own >= (np.partition(own, -k)[-k] if len(own) > k else -np.inf))
+            at = at[np.isfinite(own[at])]
+            at = at[np.lexsort((ids[at], -own[at]))][:k]
+            rows += [i] * len(at)
+            columns += at.tolist()
+        return pa.table({"query_id": queries["query_id"].take(pa.array(rows, pa.int64())), "document_id": chunks["document_id"].take(pa.array(columns, pa.int64())), "chunk_id": chunks["chunk_id"].take(pa.array(columns, pa.int64())), "score": pa.array(scores[rows, columns] if rows else [], pa.float64())})
+
+    def named(key: tuple, queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        found = run(queries, chunks)
+        for name, value in zip(_BASE, key, strict=False):
+            found = found.append_column(name, pa.array([value.as_py()] * found.num_rows, pa.string()))
+        return found.select(["query_id", *_BASE, "document_id", "chunk_id", "score"])
+
+    return named
+
+
+_BASE = ["tenant_id", "kb_id", "index_version"]
+
+
 def cosine_top_k(queries: DataFrame, scope: DataFrame, chunks: DataFrame, k: int, documents: DataFrame | None = None) -> DataFrame:
-    """For each query (query_id, tenant_id, query_vector) its k most similar chunks."""
-    rows = chunks.filter("embedding IS NOT NULL")
+    """For each query (query_id, tenant_id, query_vector) its k most similar chunks.
+
+    Chunks and the queries that may see their base meet in blocks: a base is dealt over as many
+    blocks of chunks, and its queries over as many blocks of queries, as their counts ask for,
+    and each pair of blocks is one small matrix product. A block gives its k best, so what is
+    ranked at the end grows with queries and blocks, not with pairs. Chunks of no length and
+    zero vectors are no hits; vectors of a base have one dimension (C2 checks it).
+    """
+    rows = chunks.filter("embedding IS NOT NULL AND size(embedding) > 0")
     if documents is not None:
         rows = successful(rows, documents)
-    pairs = in_scope(rows, scope).join(queries.select("query_id", "tenant_id", "query_vector"), ["query_id", "tenant_id"])
-    hits = pairs.select("query_id", "tenant_id", "kb_id", "index_version", "document_id", "chunk_id", cosine(F.col("query_vector"), F.col("embedding")).alias("score"))
-    return ranked(hits.filter("score IS NOT NULL"), k, F.desc("score"), F.asc("kb_id"), F.asc("chunk_id"))
+    asked = scope.select("query_id", "kb_id", "index_version").distinct().join(queries.filter("size(query_vector) > 0").select("query_id", "tenant_id", "query_vector"), "query_id")
+    count = lambda df, size, name: df.groupBy(_BASE).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    blocks = count(rows, CHUNK_BLOCK, "chunk_blocks").join(count(asked, QUERY_BLOCK, "query_blocks"), _BASE)
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(blocks, _BASE).withColumn("query_block", dealt("query_id", "query_blocks")).select("query_id", "query_vector", *_BASE, "query_block", each("chunk_blocks").alias("chunk_block"))
+    right = rows.join(blocks, _BASE).withColumn("chunk_block", dealt("chunk_id", "chunk_blocks")).select("chunk_id", "document_id", "embedding", *_BASE, "chunk_block", each("query_blocks").alias("query_block"))
+    on = [*_BASE, "query_block", "chunk_block"]
+    schema = "query_id string, tenant_id string, kb_id string, index_version string, document_id string, chunk_id string, score double"
+    hits = left.groupBy(on).cogroup(right.groupBy(on)).applyInArrow(_block_top_k(k), schema)
+    return ranked(hits, k, F.desc("score"), F.asc("kb_id"), F.asc("chunk_id"))
 
 
 def cosine_top_k_blocks(queries: DataFrame, chunks: DataFrame, k: int, wave: int = 4096) -> DataFrame:

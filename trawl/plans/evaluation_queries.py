@@ -119,17 +119,17 @@ def h6_missing(spark, d):
     return research.missing_chunks(selected, chunks).select("query_id", "chunk_id")
 
 
-_PA = ["concat('r', doc_id % 50) AS run_id", "CAST(floor(doc_id / 50) % 4 AS INT) AS aspect_no", "concat('About  ', doc_id % 7 * floor(doc_id / 50)) AS aspect"]
+_PA = ["concat('r', CAST(floor(doc_id / 4) AS BIGINT)) AS run_id", "CAST(doc_id % 4 AS INT) AS aspect_no", "concat('About  ', doc_id % 4 * (CAST(floor(doc_id / 4) AS BIGINT) % 3)) AS aspect"]
+_PQ = ["concat('r', CAST(floor(doc_id / 4) AS BIGINT)) AS run_id", "concat('Query ', doc_id * 3 % 5 % 3, '?') AS query"]
 
 
-@query("h8_plan_problems", f"""WITH a AS (SELECT {', '.join(_PA)} FROM {_D} WHERE floor(doc_id / 50) < 4), q AS (SELECT concat('r', doc_id % 50) AS run_id, concat('Query ', doc_id % 11, '?') AS query, [CAST(doc_id % 5 AS INT)] AS aspect_nos FROM {_D} WHERE floor(doc_id / 50) < 3)
+@query("h8_plan_problems", f"""WITH a AS (SELECT {', '.join(_PA)} FROM {_D}), q AS (SELECT {', '.join(_PQ)}, [CAST(doc_id % 5 AS INT)] AS aspect_nos FROM {_D})
 SELECT DISTINCT * FROM (SELECT run_id, 'duplicate_aspect' AS rule FROM a GROUP BY run_id, aspect HAVING count(*) > 1 UNION ALL SELECT run_id, 'duplicate_query' FROM q GROUP BY run_id, query HAVING count(*) > 1
 UNION ALL SELECT q.run_id, 'aspect_out_of_range' FROM q WHERE aspect_nos[1] NOT IN (SELECT aspect_no FROM a WHERE a.run_id = q.run_id) UNION ALL SELECT a.run_id, 'uncovered_aspect' FROM a WHERE aspect_no NOT IN (SELECT aspect_nos[1] FROM q WHERE q.run_id = a.run_id))""")
 def h8(spark, d):
     rows = t.frame(spark, d, "documents")
-    aspects = rows.filter("floor(doc_id / 50) < 4").selectExpr(*_PA)
-    queries = rows.filter("floor(doc_id / 50) < 3").selectExpr("concat('r', doc_id % 50) AS run_id", "concat('Query ', doc_id % 11, '?') AS query", "array(CAST(doc_id % 5 AS INT)) AS aspect_nos")
-    return research.plan_problems(aspects, queries)
+    queries = rows.selectExpr(*_PQ, "array(CAST(doc_id % 5 AS INT)) AS aspect_nos")
+    return research.plan_problems(rows.selectExpr(*_PA), queries)
 
 
 _PROP = ["concat('r', doc_id % 40) AS run_id", "doc_id AS pos", "concat('More ', CAST(floor(doc_id / 40) AS INT) % 8, '?') AS query"]
@@ -187,9 +187,9 @@ def h14(spark, d):
 # --- I5-I26: two configurations over documents as cases -------------------------------------------------------
 
 _RUN = [
-    "concat('case', doc_id) AS case_id", "CASE g WHEN 0 THEN 'baseline' ELSE 'candidate' END AS \"group\"", "tenant_id AS experiment", "doc_id % 20 = 0 AS warmup", "CASE WHEN doc_id % 170 = 3 THEN 'timeout' END AS error",
-    "CASE WHEN doc_id % 19 <> 0 THEN CAST(length(content) % 300 + g * 20 AS DOUBLE) END AS latency_ms", "1 + g * (doc_id % 2) AS application_model_calls",
-    "CASE WHEN doc_id % 13 <> 0 THEN (doc_id * 7 % 10 + g * (doc_id % 2)) / 10.0D END AS context_recall", "CASE WHEN doc_id % 13 <> 1 THEN (doc_id * 3 % 10) / 10.0D END AS context_precision",
+    "concat('case', doc_id) AS case_id", "CASE g WHEN 0 THEN 'baseline' ELSE 'candidate' END AS \"group\"", "tenant_id AS experiment", "doc_id % 20 = 0 AS warmup", "CASE WHEN doc_id % 170 = 3 AND tenant_id = 'fr' THEN 'timeout' END AS error",
+    "CASE WHEN doc_id % 19 <> 0 OR tenant_id <> 'es' THEN CAST(length(content) % 300 + g * 20 AS DOUBLE) END AS latency_ms", "1 + g * (doc_id % 2) AS application_model_calls",
+    "CASE WHEN doc_id % 13 <> 0 OR tenant_id <> 'none' THEN (doc_id * 7 % 10 + g * (doc_id % 2)) / 10.0D END AS context_recall", "CASE WHEN doc_id % 13 <> 1 OR tenant_id <> 'none' THEN (doc_id * 3 % 10) / 10.0D END AS context_precision",
     "tenant_id AS case_type", "CAST(doc_id * 5 % 7 AS INT) AS evidence_count", "length(content) AS evidence_chars", "CASE doc_id % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'partial' WHEN 2 THEN 'missing' ELSE '' END AS evidence_status",
     "CAST(doc_id % 6 AS INT) AS verified_total", "CAST(doc_id % 3 AS INT) AS verified", "doc_id % 500 AS input_tokens", "concat('m', doc_id % 2) AS model", "concat('cfg', g, doc_id % 3) AS config", "doc_id",
 ]
@@ -199,7 +199,7 @@ _RUNS = "(SELECT " + ", ".join(_RUN).replace("10.0D", "10.0::DOUBLE") + f" FROM
 def runs(spark: SparkSession, d: str) -> DataFrame:
     rows = t.frame(spark, d, "documents").withColumn("g", F.explode(F.array(F.lit(0), F.lit(1))))
     rows = rows.selectExpr(*[e.replace('"group"', "`group`") for e in _RUN], "array(kb_id, tenant_id) AS tags")
-    return rows.withColumns({"mismatches": F.array().cast("array<string>"), "degraded": F.expr("CASE WHEN doc_id % 90 = 5 THEN array('rerank') ELSE CAST(array() AS array<string>) END")})
+    return rows.withColumns({"mismatches": F.array().cast("array<string>"), "degraded": F.expr("CASE WHEN doc_id % 90 = 5 AND experiment = 'de' THEN array('rerank') ELSE CAST(array() AS array<string>) END")})
 
 
 @query("i5_prepare_cases", f"SELECT CASE WHEN doc_id % 3 = 0 THEN concat('case_', doc_id + 1) ELSE concat('k', doc_id) END AS id, coalesce(CASE WHEN doc_id % 4 > 0 THEN kb_id END, 'kb0') AS kb_id FROM {_D} WHERE doc_id % 5 > 0")
@@ -219,7 +219,8 @@ def i6(spark, d):
     return ev.dataset_violations(rows, aliases, spark.createDataFrame([("basic",)], "suite string"), ["fact"])
 
 
-_CTX = ["concat('case', doc_id % 200) AS case_id", "CAST(floor(doc_id / 200) + 1 AS INT) AS rank", "CASE WHEN doc_id % 3 = 0 THEN 'v1' ELSE 'v2' END AS index_version", "concat('text ', doc_id * 3 % 5) AS content", "CASE WHEN doc_id % 4 = 0 THEN concat('wide ', doc_id % 200) ELSE '' END AS expanded", "concat('Doc ', doc_id % 3 + doc_id % 200, '.md') AS document", "concat('Part ', doc_id % 2) AS heading"]
+_N = "CAST(floor(doc_id / 20) AS BIGINT)"
+_CTX = [f"concat('case', {_N}) AS case_id", "CAST(doc_id % 20 + 1 AS INT) AS rank", "CASE WHEN doc_id % 3 = 0 THEN 'v1' ELSE 'v2' END AS index_version", "concat('text ', doc_id * 3 % 5) AS content", f"CASE WHEN doc_id % 4 = 0 THEN concat('wide ', {_N}) ELSE '' END AS expanded", f"concat('Doc ', doc_id % 3 + {_N}, '.md') AS document", "concat('Part ', doc_id % 2) AS heading"]
 _CTXS = f"(SELECT {', '.join(_CTX)} FROM {_D})"
 
 
@@ -247,7 +248,7 @@ def _metrics_sql(keys: str, *groups: str) -> str:
     return f"""SELECT {keys}, count(*) AS case_count, count(*) FILTER (WHERE error IS NULL) AS successful_cases, count(*) FILTER (WHERE error IS NOT NULL) AS failed_cases,
 avg(context_recall) FILTER (WHERE error IS NULL) AS context_recall, count(context_recall) FILTER (WHERE error IS NULL) AS context_recall_coverage, avg(context_precision) FILTER (WHERE error IS NULL) AS context_precision, count(context_precision) FILTER (WHERE error IS NULL) AS context_precision_coverage,
 count(latency_ms) FILTER (WHERE error IS NULL) AS latency_count, avg(latency_ms) FILTER (WHERE error IS NULL) AS mean_latency_ms, quantile_cont(latency_ms, 0.5) FILTER (WHERE error IS NULL) AS p50_latency_ms, quantile_cont(latency_ms, 0.95) FILTER (WHERE error IS NULL) AS p95_latency_ms, max(latency_ms) FILTER (WHERE error IS NULL) AS max_latency_ms,
-count(application_model_calls) FILTER (WHERE error IS NULL) AS calls_count, avg(application_model_calls) FILTER (WHERE error IS NULL) AS mean_calls, 0 AS mismatched, count(*) FILTER (WHERE error IS NULL AND doc_id % 90 = 5) AS degraded FROM {_RUNS} WHERE NOT warmup GROUP BY {keys}"""
+count(application_model_calls) FILTER (WHERE error IS NULL) AS calls_count, avg(application_model_calls) FILTER (WHERE error IS NULL) AS mean_calls, 0 AS mismatched, count(*) FILTER (WHERE error IS NULL AND doc_id % 90 = 5 AND experiment = 'de') AS degraded FROM {_RUNS} WHERE NOT warmup GROUP BY {keys}"""
 
 
 _ROUND = ["context_recall", "context_precision", "mean_latency_ms", "p50_latency_ms", "p95_latency_ms", "max_latency_ms", "mean_calls"]
@@ -274,16 +275,17 @@ def i12_status(spark, d):
 
 
 def _by_experiment(spark, d):
-    rows = runs(spark, d).filter("doc_id % 13 > 1 AND doc_id % 19 > 0 AND doc_id % 170 <> 3 AND (doc_id % 90 <> 5 OR experiment = 'de')")
+    rows = runs(spark, d)
     # Metrics by experiment and group: the group name carries both.
     named = rows.withColumn("group", F.concat_ws("|", "experiment", "group"))
     out = ev.group_metrics(named)
     return out.withColumns({"experiment": F.split("group", r"\|")[0], "group": F.split("group", r"\|")[1]})
 
 
-_VERDICT = f"""WITH m AS ({_metrics_sql('experiment, ' + chr(34) + 'group' + chr(34)).replace('WHERE NOT warmup', "WHERE NOT warmup AND doc_id % 13 > 1 AND doc_id % 19 > 0 AND doc_id % 170 <> 3 AND (doc_id % 90 <> 5 OR experiment = 'de')")}),
+_COVER = " AND ".join(f"{g}.{c} = {g}.successful_cases" for g in "bc" for c in ("context_recall_coverage", "context_precision_coverage", "latency_count", "calls_count"))
+_VERDICT = f"""WITH m AS ({_metrics_sql('experiment, ' + chr(34) + 'group' + chr(34))}),
 j AS (SELECT b.experiment, c.context_recall - b.context_recall AS recall_delta, c.context_precision - b.context_precision AS precision_delta, CASE WHEN b.p95_latency_ms = 0 THEN CASE WHEN c.p95_latency_ms = 0 THEN 0 END ELSE (c.p95_latency_ms - b.p95_latency_ms) / b.p95_latency_ms END AS p95_ratio,
-c.mean_calls - b.mean_calls AS calls_delta, b.degraded + c.degraded = 0 AND b.case_count = c.case_count AS complete FROM m b JOIN m c ON b.experiment = c.experiment AND b."group" = 'baseline' AND c."group" = 'candidate')
+c.mean_calls - b.mean_calls AS calls_delta, b.degraded + c.degraded + b.failed_cases + c.failed_cases = 0 AND b.case_count = c.case_count AND {_COVER} AS complete FROM m b JOIN m c ON b.experiment = c.experiment AND b."group" = 'baseline' AND c."group" = 'candidate')
 SELECT experiment, round(recall_delta, 6) AS recall_delta, round(p95_ratio, 6) AS p95_ratio, CASE WHEN NOT complete THEN 'evaluation_failed' WHEN recall_delta <= -0.02 OR precision_delta < -0.02 THEN 'negative' WHEN recall_delta < 0.02 THEN 'no_clear_benefit' WHEN p95_ratio > 0.3 OR calls_delta > 0.4 THEN 'effective_high_cost' ELSE 'effective' END AS verdict FROM j"""
 
 
@@ -305,12 +307,12 @@ def i14(spark, d):
     return ev.feedback_cases(scores, traces, name="view").select("id", "trace_id")
 
 
-@query("i15_merge_cases", f"""WITH a AS (SELECT concat('old', doc_id) AS id, doc_id % 300 AS q, CASE WHEN doc_id % 2 = 0 THEN 'truth' ELSE '' END AS gt, doc_id FROM {_D} WHERE doc_id < 300), b AS (SELECT concat('new', doc_id) AS id, doc_id AS q FROM {_D} WHERE doc_id BETWEEN 200 AND 450)
+@query("i15_merge_cases", f"""WITH a AS (SELECT concat('old', doc_id) AS id, doc_id AS q, CASE WHEN doc_id % 3 = 0 THEN 'truth' ELSE '' END AS gt, doc_id FROM {_D}), b AS (SELECT concat('new', doc_id) AS id, doc_id * 2 AS q FROM {_D})
 SELECT coalesce(a.id, b.id) AS id, coalesce(gt, '') AS ground_truth, CASE WHEN a.q IS NULL THEN 'b' WHEN b.q IS NULL OR gt <> '' THEN 'a' ELSE 'ab' END AS source FROM a FULL OUTER JOIN b ON a.q = b.q""")
 def i15(spark, d):
     rows = t.frame(spark, d, "documents")
-    old = rows.filter("doc_id < 300").selectExpr("concat('old', doc_id) AS id", "concat(' Question ', doc_id) AS question", "CASE WHEN doc_id % 2 = 0 THEN 'truth' ELSE '' END AS ground_truth", "map('x', 'a') AS source")
-    new = rows.filter("doc_id BETWEEN 200 AND 450").selectExpr("concat('new', doc_id) AS id", "concat('Question ', doc_id, ' ') AS question", "'' AS ground_truth", "map('y', 'b') AS source")
+    old = rows.selectExpr("concat('old', doc_id) AS id", "concat(' Question ', doc_id) AS question", "CASE WHEN doc_id % 3 = 0 THEN 'truth' ELSE '' END AS ground_truth", "map('x', 'a') AS source")
+    new = rows.selectExpr("concat('new', doc_id) AS id", "concat('Question ', doc_id * 2, ' ') AS question", "'' AS ground_truth", "map('y', 'b') AS source")
     return ev.merge_cases(old, new).select("id", "ground_truth", F.array_join(F.array_sort(F.map_values("source")), "").alias("source"))
 
 
@@ -386,9 +388,14 @@ def i24(spark, d):
     return ev.manifest(runs(spark, d))
 
 
-@query("i25_redaction")
+_SECRETS = "concat('{{\"api_key\": {k}, \"a\": {{\"Access-Token\": {v}, \"n\": ', doc_id, ', \"input_tokens\": 5, \"list\": [{{\"secret\": {w}, \"x\": \"y\"}}]}}, \"password\": {z}}}')"
+_SHOWN = _SECRETS.format(k='\\"k\\"', v="[1, 2]", w='{{\\"deep\\": {{\\"hidden\\": 1}}}}'.replace("{{", "{").replace("}}", "}"), z="null").replace('\\"', '"')
+_HIDDEN = _SECRETS.format(k='"[REDACTED]"', v='"[REDACTED]"', w='"[REDACTED]"', z='"[REDACTED]"')
+
+
+@query("i25_redaction", f"SELECT doc_id, {_HIDDEN} AS j FROM {_D}")
 def i25(spark, d):
-    rows = t.frame(spark, d, "documents").selectExpr("doc_id", "concat('{\"api_key\": \"k', doc_id, '\", \"a\": {\"Auth_Token\": [1, 2], \"n\": ', doc_id, '}, \"password\": null}') AS j")
+    rows = t.frame(spark, d, "documents").selectExpr("doc_id", f"{_SHOWN} AS j")
     return rows.select("doc_id", ev.redact(F.col("j")).alias("j"))
 
 

@@ -117,18 +117,14 @@ def e9(spark, d):
     return related(spark, d).select("anchor_key", "chunk_id", "relation", "place")
 
 
-_SEEDS = f"(SELECT concat(tenant_id, kb_id, doc_id % 3) AS query_id, chunk_id, kb_id, row_number() OVER (PARTITION BY tenant_id, kb_id, doc_id % 3 ORDER BY doc_id * 31 % 101, doc_id) AS rank FROM {_C} WHERE doc_id * 31 % 101 < 40)"
-
-
-def seeds(spark: SparkSession, d: str) -> DataFrame:
-    rows = anchors(spark, d).filter("doc_id * 31 % 101 < 40")
-    return rows.selectExpr("*", "concat(tenant_id, kb_id, doc_id % 3) AS query_id", "row_number() OVER (PARTITION BY tenant_id, kb_id, doc_id % 3 ORDER BY doc_id * 31 % 101, doc_id) AS rank")
+#: Every chunk as a seed: a query for each base and 120 documents in turn, so queries grow with
+#: the table and each has few seeds, as retrieval would hand over.
+_QID = "concat_ws(':', tenant_id, kb_id, CAST(floor(doc_id / 120) AS BIGINT))"
+_SEEDS = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id * 31 % 101, doc_id) AS rank FROM (SELECT {_QID} AS query_id, chunk_id, kb_id, doc_id FROM {_C}))"
 
 
 def first_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Every chunk as a seed: a query for each base and 120 documents in turn, so queries grow
-    with the table and each has few seeds, as retrieval would hand over."""
-    rows = anchors(spark, d).withColumn("query_id", F.expr("concat_ws(':', tenant_id, kb_id, CAST(floor(doc_id / 120) AS BIGINT))"))
+    rows = anchors(spark, d).withColumn("query_id", F.expr(_QID))
     return rows.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY doc_id * 31 % 101, doc_id)"))
 
 
@@ -146,14 +142,14 @@ _INJ = f"(SELECT s.query_id, s.kb_id, s.rank, s.chunk_id AS anchor_chunk_id, e.c
 
 
 def _plain_injection(spark, d):
-    rows = seeds(spark, d).filter("rank <= 10").select("query_id", "rank", "anchor_key")
+    rows = first_seeds(spark, d).filter("rank <= 10").select("query_id", "rank", "anchor_key")
     found = rows.join(related(spark, d), "anchor_key")
     return found.select("query_id", "kb_id", "rank", F.col("anchor_key").alias("anchor_chunk_id"), "chunk_id", "relation")
 
 
 @query("e11_merge_injected", f"SELECT query_id, kb_id, chunk_id, 'seed' AS origin FROM {_SEEDS} UNION ALL SELECT i.query_id, i.kb_id, i.chunk_id, 'graph' FROM {_INJ} i LEFT JOIN {_SEEDS} s ON s.query_id = i.query_id AND s.kb_id = i.kb_id AND s.chunk_id = i.chunk_id WHERE s.chunk_id IS NULL")
 def e11(spark, d):
-    return graph.merge_injected(seeds(spark, d), _plain_injection(spark, d))
+    return graph.merge_injected(first_seeds(spark, d), _plain_injection(spark, d))
 
 
 @query("e12_graph_quota", f"""WITH i AS (SELECT i.* FROM {_INJ} i LEFT JOIN {_SEEDS} s ON s.query_id = i.query_id AND s.kb_id = i.kb_id AND s.chunk_id = i.chunk_id WHERE s.chunk_id IS NULL),
@@ -164,7 +160,7 @@ d AS (SELECT s.* FROM {_SEEDS} s LEFT JOIN n ON n.query_id = s.query_id WHERE s.
 l AS (SELECT query_id, max(rank) AS last FROM d GROUP BY query_id)
 SELECT query_id, kb_id, chunk_id, rank, 'seed' AS origin FROM d UNION ALL SELECT q.query_id, q.kb_id, q.chunk_id, coalesce(last, 0) + z, 'graph' FROM q LEFT JOIN l ON l.query_id = q.query_id WHERE z <= 4""")
 def e12(spark, d):
-    return graph.graph_quota(seeds(spark, d), _plain_injection(spark, d), 20).select("query_id", "kb_id", "chunk_id", "rank", "origin")
+    return graph.graph_quota(first_seeds(spark, d), _plain_injection(spark, d), 20).select("query_id", "kb_id", "chunk_id", "rank", "origin")
 
 
 @query("e13_context_expansion")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from trawl.functions.text import retrieval_text
 from trawl.operators.admin import PROCESSING, SUCCESS, next_status
 from trawl.operators.chunking import split_documents
-from trawl.operators.keyword import postings, tokens
+from trawl.operators.keyword import postings, statistics, tokens
 
 DIMENSION = 64
 BATCH = 20
@@ -83,8 +83,13 @@ def rebuild(documents: DataFrame, path: str, version: str, **options) -> DataFra
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """The chunk table, and the postings derived from what was written."""
+    """The chunk table, its postings, and their statistics by base (field, n, total)."""
     save = lambda rows, name: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_id", "index_version").parquet(f"{path}/{name}")
-    save(chunks, "chunks")
-    stored = chunks.sparkSession.read.parquet(f"{path}/chunks").join(chunks.select("kb_id", "index_version").distinct(), ["kb_id", "index_version"], "left_semi")
-    save(postings(stored, retrieval_text="retrieval_text", title="title"), "postings")
+    spark = chunks.sparkSession
+    chunks.write.mode("overwrite").parquet(f"{path}/incoming")  # split and embedded once
+    incoming = spark.read.schema(chunks.schema).parquet(f"{path}/incoming")
+    save(incoming, "chunks")
+    fields = {"retrieval_text": "retrieval_text", "title": "title"}
+    save(postings(incoming, **fields), "postings")
+    by_base = statistics(incoming, by_base=True, **fields)
+    save(by_base, "statistics")

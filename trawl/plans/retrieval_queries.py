@@ -89,8 +89,9 @@ BM25 = _top(_BM25, 20)
 
 
 def bm25_hits(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    index = keyword.postings(t.frame(spark, d, "text_chunks"), content="content", title="title")
-    return keyword.bm25_top_k(t.frame(spark, d, "keyword_queries"), t.keyword_scope(spark, d), index, k, {"title": 2.0})
+    chunks, queries, fields = t.frame(spark, d, "text_chunks"), t.frame(spark, d, "keyword_queries"), {"content": "content", "title": "title"}
+    index = keyword.postings(chunks, keyword.query_terms(queries), **fields)
+    return keyword.bm25_top_k(queries, t.keyword_scope(spark, d), index, k, {"title": 2.0}, keyword.statistics(chunks, **fields))
 
 
 @query("d4_bm25_topk", f"SELECT query_id, kb_id, chunk_id, round(score, 6) AS score, rank FROM {BM25}")
@@ -135,9 +136,77 @@ def d7(spark, d):
     return fusion.normal_branch(branches(spark, d)[1], "bm25").select("query_id", "kb_id", "chunk_id", "bm25_rank", "bm25_score")
 
 
-@query("d8_rrf_fusion", f"SELECT query_id, kb_id, chunk_id, document_id, vector_rank, bm25_rank, retrieval_source, round(score, 9) AS score, rank FROM {_FUSED}")
+# Hybrid search: cosine over the chunks' vectors and BM25 over their texts, in the same bases.
+_SV = f"""(SELECT query_id, kb_id, chunk_id, document_id, rank AS pos, score FROM {_top(f"""SELECT q.query_id, c.kb_id, c.chunk_id, c.document_id, {_COS} AS score FROM {t.SEARCH_CHUNKS} c
+JOIN {t.KEYWORD_SCOPE} s ON c.kb_id = s.kb_id AND c.index_version = s.index_version JOIN {t.SEARCH_QUERIES} q ON q.query_id = s.query_id WHERE c.embedding IS NOT NULL""", 20)})"""
+_SB = f"(SELECT b.query_id, b.kb_id, b.chunk_id, concat('d', substr(b.chunk_id, 2)) AS document_id, rank AS pos, score FROM {BM25} b JOIN {t.SEARCH_QUERIES} q ON q.query_id = b.query_id)"
+
+
+def _fused_sql(a: str, b: str) -> str:
+    return f"""(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retrieval_source = 'hybrid' DESC, least(vector_rank, bm25_rank), kb_id, chunk_id) AS rank FROM (
+  SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.kb_id, b.kb_id) AS kb_id, coalesce(v.chunk_id, b.chunk_id) AS chunk_id,
+    v.pos AS vector_rank, b.pos AS bm25_rank, coalesce(1.0::DOUBLE / (60 + v.pos), 0) + coalesce(1.0::DOUBLE / (60 + b.pos), 0) AS score,
+    CASE WHEN v.pos IS NOT NULL AND b.pos IS NOT NULL THEN 'hybrid' WHEN v.pos IS NOT NULL THEN 'vector' ELSE 'bm25' END AS retrieval_source,
+    coalesce(nullif(v.document_id, ''), nullif(b.document_id, '')) AS document_id
+  FROM {a} v FULL OUTER JOIN {b} b ON v.query_id = b.query_id AND v.kb_id = b.kb_id AND v.chunk_id = b.chunk_id))"""
+
+
+def search_branches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    queries, chunks = t.search_queries(spark, d), t.search_chunks(spark, d)
+    scope, fields = t.keyword_scope(spark, d), {"content": "content", "title": "title"}
+    vectors = vector.cosine_top_k(queries, scope, chunks, 20).select("query_id", "kb_id", "chunk_id", "document_id", F.col("rank").alias("pos"), "score")
+    index = keyword.postings(chunks, keyword.query_terms(queries), **fields)
+    words = keyword.bm25_top_k(queries, scope, index, 20, {"title": 2.0}, keyword.statistics(chunks, **fields))
+    return vectors, words.select("query_id", "kb_id", "chunk_id", F.concat(F.lit("d"), F.substring("chunk_id", 2, 99)).alias("document_id"), F.col("rank").alias("pos"), "score")
+
+
+@query("d8_rrf_fusion", f"SELECT query_id, kb_id, chunk_id, document_id, vector_rank, bm25_rank, retrieval_source, round(score, 9) AS score, rank FROM {_fused_sql(_SV, _SB)}")
 def d8(spark, d):
-    return fusion.fuse(*branches(spark, d)).select("query_id", "kb_id", "chunk_id", "document_id", "vector_rank", "bm25_rank", "retrieval_source", F.round("score", 9).alias("score"), "rank")
+    return fusion.fuse(*search_branches(spark, d)).select("query_id", "kb_id", "chunk_id", "document_id", "vector_rank", "bm25_rank", "retrieval_source", F.round("score", 9).alias("score"), "rank")
+
+
+def _modes(spark, d):
+    return t.search_queries(spark, d).selectExpr("query_id", "mode <> 'bm25' AS vector_ok", "mode <> 'vector' AS bm25_ok")
+
+
+_MODED = f"""(SELECT f.query_id, kb_id, chunk_id, score, rank, 'rrf' AS fusion FROM {_fused_sql(_SV, _SB)} f JOIN {t.SEARCH_QUERIES} q ON q.query_id = f.query_id WHERE mode = 'hybrid'
+UNION ALL SELECT v.query_id, kb_id, chunk_id, score, pos, 'vector' FROM {_SV} v JOIN {t.SEARCH_QUERIES} q ON q.query_id = v.query_id WHERE mode = 'vector'
+UNION ALL SELECT b.query_id, kb_id, chunk_id, score, pos, 'bm25' FROM {_SB} b JOIN {t.SEARCH_QUERIES} q ON q.query_id = b.query_id WHERE mode = 'bm25')"""
+
+
+@query("d11_search_modes", f"SELECT query_id, kb_id, chunk_id, round(score, 6) AS score, rank, fusion FROM {_MODED}")
+def d11(spark, d):
+    return fusion.degrade(*search_branches(spark, d), _modes(spark, d)).withColumn("score", F.round("score", 6))
+
+
+_REASONED = """(WITH h AS ({rows}), o AS (SELECT *, regexp_replace(trim(content, ' ' || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g') AS norm, CASE WHEN index_version = 'v1' THEN NULL WHEN chunk_type = 'reference_pointer' THEN 'reference_pointer'
+  WHEN NOT regexp_matches(content, '[A-Za-z0-9㐀-鿿]') THEN 'low_information' END AS own FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id, chunk_id ORDER BY rank) AS nth_id, row_number() OVER (PARTITION BY query_id, kb_id, norm ORDER BY rank) AS nth_text,
+  first_value(chunk_id) OVER (PARTITION BY query_id, kb_id, norm ORDER BY rank) AS lead_id FROM o WHERE own IS NULL)
+SELECT query_id, rank, kb_id, chunk_id, own AS reason FROM o WHERE own IS NOT NULL UNION ALL
+SELECT query_id, rank, kb_id, chunk_id, CASE WHEN index_version = 'v1' THEN CASE WHEN nth_id > 1 THEN 'duplicate_chunk_id' END WHEN nth_text = 1 THEN NULL
+  WHEN nth_id > 1 AND lead_id = chunk_id THEN 'duplicate_chunk_id' ELSE 'duplicate_content' END FROM n)"""
+
+_QT, _DT = f"list_distinct({_tokens('query_text')})", _tokens("substr(concat(title, chr(10), content), 1, 1024)")
+_COVERED = f"coalesce(len(list_filter({_QT}, lambda x: list_contains({_DT}, x)))::DOUBLE / nullif(len({_QT}), 0), 0)"
+_SEARCHED = f"SELECT m.*, index_version, title, content, 'prose' AS chunk_type, query_text FROM {_MODED} m JOIN {t.SEARCH_CHUNKS} c ON c.chunk_id = m.chunk_id JOIN {t.SEARCH_QUERIES} q ON q.query_id = m.query_id"
+_SEARCH = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rerank_rank FROM (SELECT s.*, {_COVERED} AS rerank_score
+FROM ({_SEARCHED}) s JOIN {_REASONED.format(rows=_SEARCHED)} d ON d.query_id = s.query_id AND d.rank = s.rank WHERE reason IS NULL)) WHERE rerank_rank <= 5"""
+
+
+def search(spark: SparkSession, d: str, top_k: int = 5) -> DataFrame:
+    """By mode, filtered, reranked: what a user of the engine gets for a query."""
+    hits = fusion.degrade(*search_branches(spark, d), _modes(spark, d))
+    texts = t.search_chunks(spark, d).selectExpr("chunk_id", "index_version", "title", "content", "'prose' AS chunk_type", "CAST(NULL AS string) AS retrieval_text")
+    rows = hits.join(texts, "chunk_id")
+    kept = fusion.filter_candidates(rows).filter("reason IS NULL").select("query_id", "rank", "kb_id", "chunk_id")
+    rows = rows.join(kept, ["query_id", "rank", "kb_id", "chunk_id"]).join(t.search_queries(spark, d).select("query_id", "query_text"), "query_id")
+    return rerank.rerank(rows, rerank.term_coverage, top_k)
+
+
+@query("d20_search", f"SELECT query_id, kb_id, chunk_id, fusion, round(rerank_score, 6) AS rerank_score, rerank_rank FROM ({_SEARCH})")
+def d20(spark, d):
+    return search(spark, d).select("query_id", "kb_id", "chunk_id", "fusion", F.round("rerank_score", 6).alias("rerank_score"), "rerank_rank")
 
 
 _STATUS = f"(SELECT query_id, vec_id % 3 <> 0 AS vector_ok, vec_id % 7 <> 0 AS bm25_ok FROM {t.sql('vector_queries')})"
@@ -170,7 +239,12 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
-@query("d14_candidate_filter")
+_CANDIDATES = f"""SELECT query_id, kb_id, chunk_id, CASE WHEN doc_id % 6 = 0 THEN 'v1' ELSE 'v2' END AS index_version, CASE WHEN doc_id % 11 = 0 THEN 'reference_pointer' ELSE 'prose' END AS chunk_type, CASE WHEN doc_id % 13 = 0 THEN '---' ELSE content END AS content, (rank * 2 + z)::INT AS rank
+FROM (SELECT b.query_id, b.kb_id, b.chunk_id, b.rank, c.content, c.doc_id FROM {BM25} b JOIN {t.sql('text_chunks')} c ON c.chunk_id = b.chunk_id) CROSS JOIN (VALUES (0), (1)) AS r(z) WHERE z = 0 OR doc_id % 4 = 0"""
+_DECIDED = _REASONED.format(rows=_CANDIDATES)
+
+
+@query("d14_candidate_filter", f"SELECT * FROM {_DECIDED}")
 def d14(spark, d):
     return fusion.filter_candidates(candidates(spark, d))
 
@@ -248,7 +322,8 @@ def f2(spark, d):
     return rows.select("chunk_id", rerank.rerank_text().alias("document"))
 
 
-@query("f1_rerank_coverage")
+@query("f1_rerank_coverage", f"""SELECT query_id, chunk_id, rerank_score, rerank_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS rerank_rank FROM (
+SELECT b.query_id, b.chunk_id, b.rank, {_COVERED} AS rerank_score FROM {BM25} b JOIN {t.sql('text_chunks')} c ON c.chunk_id = b.chunk_id JOIN {t.sql('keyword_queries')} q ON q.query_id = b.query_id)) WHERE rerank_rank <= 10""")
 def f1(spark, d):
     rows = bm25_hits(spark, d).join(t.frame(spark, d, "text_chunks").select("chunk_id", "title", "content"), "chunk_id").join(t.frame(spark, d, "keyword_queries"), "query_id")
     return rerank.rerank(rows.withColumn("retrieval_text", F.lit(None).cast("string")), rerank.term_coverage, 10).select("query_id", "chunk_id", "rerank_score", "rerank_rank")
@@ -261,23 +336,23 @@ def f4(spark, d):
 
 def _raw_scores(spark, d):
     rows = vector_hits(spark, d).selectExpr("query_id", "chunk_id", "rank", "score", "CAST(substr(chunk_id, 2) AS INT) % 50 AS h")
-    return rows.selectExpr("query_id", "chunk_id", "rank", "score", "h", "h / 40.0D - 0.1D AS value")
+    return rows.selectExpr("query_id", "chunk_id", "rank", "score", "h", "CASE WHEN CAST(substr(query_id, 2) AS INT) % 3 = 0 THEN h / 40.0D - 0.1D ELSE h / 50.0D END AS value")
 
 
-_CHECK = "(SELECT *, h / 40.0::DOUBLE - 0.1::DOUBLE AS value FROM (SELECT *, CAST(substr(chunk_id, 2) AS INT) % 50 AS h FROM " + VECTOR + "))"
-_FAILED = f"(SELECT query_id, count(*) FILTER (WHERE NOT (value BETWEEN 0 AND 1)) > 0 AS failed, count(*) AS n FROM {_CHECK} WHERE rank <= 2 GROUP BY query_id)"
+_CHECK = "(SELECT *, CASE WHEN CAST(substr(query_id, 2) AS INT) % 3 = 0 THEN h / 40.0::DOUBLE - 0.1::DOUBLE ELSE h / 50.0::DOUBLE END AS value FROM (SELECT *, CAST(substr(chunk_id, 2) AS INT) % 50 AS h FROM " + VECTOR + "))"
+_FAILED = f"(SELECT query_id, count(*) FILTER (WHERE NOT (value BETWEEN 0 AND 1)) > 0 AS failed, count(*) AS n FROM {_CHECK} GROUP BY query_id)"
 
 
 @query("f3_score_validation", f"SELECT query_id, failed, n FROM {_FAILED}")
 def f3(spark, d):
-    found = rerank.validate_scores(_raw_scores(spark, d).filter("rank <= 2").withColumnRenamed("rank", "item"))
+    found = rerank.validate_scores(_raw_scores(spark, d).withColumnRenamed("rank", "item"))
     return found.select("query_id", "failed", "n")
 
 
 @query("f5_rerank_fallback", f"""SELECT query_id, chunk_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, rank) AS final_rank
-FROM (SELECT c.query_id, chunk_id, rank, CASE WHEN failed THEN NULL ELSE value END AS rerank_score FROM {_CHECK} c JOIN {_FAILED} f ON c.query_id = f.query_id WHERE rank <= 2)""")
+FROM (SELECT c.query_id, chunk_id, rank, CASE WHEN failed THEN NULL ELSE value END AS rerank_score FROM {_CHECK} c JOIN {_FAILED} f ON c.query_id = f.query_id)""")
 def f5(spark, d):
-    rows = _raw_scores(spark, d).filter("rank <= 2")
+    rows = _raw_scores(spark, d)
     return rerank.with_fallback(rows, rerank.validate_scores(rows.withColumnRenamed("rank", "item"))).select("query_id", "chunk_id", "rerank_score", "final_rank")
 
 
@@ -312,12 +387,17 @@ def g3(spark, d):
     return query_text.pipeline(queries, rewrites).select("query_id", "raw", "effective", "rewritten")
 
 
-_FENCE = "concat('```json', chr(10), '{\"query\": \"', substr(query_text, 1, 10), '\"}', chr(10), '```')"
+_OUTPUTS = {  # what a model may answer: fenced, with more lines, under any key, as a JSON string, with nothing usable
+    0: ("concat('```json', char(10), to_json(named_struct('query', query_text)), char(10), '```')", "query_text"), 1: ("concat(char(10), '  ', query_text, char(10), 'more')", "query_text"),
+    2: ("to_json(named_struct('foo', 1, 'text', query_text))", "query_text"), 3: ("to_json(named_struct('foo', query_text))", "NULL"), 4: ("concat('\"', replace(query_text, char(10), '\\\\n'), '\"')", "query_text"),
+    5: ("to_json(named_struct('query', named_struct('a', 1), 'rewrite', concat('```', query_text, '```')))", "query_text"), 6: ("concat('```JSON  ', query_text, '```')", "query_text"),
+}
+_CASES = " ".join(f"WHEN {k} THEN {{{k}}}" for k in _OUTPUTS)
 
 
-@query("g4_clean_rewrites", f"SELECT query_id, CASE WHEN item_id % 2 = 0 THEN trim(split_part(substr(query_text, 1, 10), chr(10), 1)) ELSE trim(substr(split_part(trim(query_text), chr(10), 1), 1, 30)) END AS rewritten FROM {t.sql('keyword_queries')}")
+@query("g4_clean_rewrites", f"SELECT query_id, nullif(substr(trim(split_part(trim(CASE item_id % 7 {_CASES.format(*[w for _, w in _OUTPUTS.values()])} END, ' ' || chr(10)), chr(10), 1)), 1, 30), '') AS rewritten FROM {t.sql('keyword_queries')}")
 def g4(spark, d):
-    rows = t.frame(spark, d, "keyword_queries").selectExpr("query_id", f"CASE WHEN item_id % 2 = 0 THEN {_FENCE} ELSE concat(chr(10), '  ', query_text, chr(10), 'more') END AS output")
+    rows = t.frame(spark, d, "keyword_queries").selectExpr("query_id", f"CASE item_id % 7 {_CASES.format(*[o for o, _ in _OUTPUTS.values()])} END AS output")
     return rows.select("query_id", query_text.clean_rewrite(F.col("output")).alias("rewritten"))
 
 
@@ -326,7 +406,7 @@ def g5(spark, d):
     return t.frame(spark, d, "turns").select("conv_id", "turn", query_text.normal_query(F.col("content")).alias("normal"))
 
 
-_MADE = "CASE turn % 5 WHEN 0 THEN content WHEN 1 THEN concat('Please drop ', content) WHEN 2 THEN concat('see https://', content) WHEN 3 THEN '  ' ELSE substr(content, 1, 80) END"
+_MADE = "CASE turn % 5 WHEN 0 THEN content WHEN 1 THEN concat('Please drop ', content) WHEN 2 THEN concat('see https://', content) WHEN 3 THEN '  ' ELSE content END"
 
 
 @query("g6_search_query_validation", f"""SELECT conv_id, turn, CASE WHEN trim(q, ' ' || chr(10)) = '' OR length(trim(q, ' ' || chr(10))) > 300 THEN 'length' WHEN regexp_matches(q, '(?i)https?://|\\b(select|insert|update|delete|drop|alter)\\b|(^|\\s)(curl|wget|powershell|cmd|bash|sh)(\\s|$)') THEN 'unsafe' END AS problem FROM (SELECT conv_id, turn, {_MADE} AS q FROM {t.sql('turns')})""")

@@ -26,6 +26,8 @@ TABLES = {
         "concat('c', doc_id) AS chunk_id", "coalesce(lang, 'none') AS tenant_id", "coalesce(source, 'none') AS kb_id", "concat('d', doc_id) AS document_id",
         "'v2' AS index_version", "concat('doc_', doc_id) AS title", "coalesce(text, '') AS content", "doc_id",
     ]),
+    # Chunks with text and a vector: a document's vector is that of its number, where there is one.
+    "search_queries": ("benchmark", ["concat('k', item_id) AS query_id", "text AS query_text", "item_id", "CASE item_id % 3 WHEN 0 THEN 'hybrid' WHEN 1 THEN 'vector' ELSE 'bm25' END AS mode"]),
     # A chunk graph: ten rows to a document, three sections to a document, links between documents.
     "graph_chunks": ("documents", [
         "concat('c', doc_id) AS chunk_id", "concat('t', CAST(floor(doc_id / 50) AS INT) % 2) AS tenant_id", "concat('kb', CAST(floor(doc_id / 10) AS INT) % 5) AS kb_id",
@@ -88,6 +90,20 @@ def vector_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTOR_SCOPE = f"(SELECT query_id, tenant_id, concat('kb', b) AS kb_id, unnest(['v1', 'v2']) AS index_version FROM (SELECT query_id, tenant_id, unnest([label, (label + 2) % 10]) AS b FROM {sql('vector_queries')}))"
 
 
+def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return frame(spark, sf_dir, "text_chunks").withColumn("tenant_id", F.lit("t")).join(vectors, "doc_id", "left")
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") / 7).alias("item_id"), F.col("embedding").alias("query_vector"))
+    return frame(spark, sf_dir, "search_queries").withColumn("tenant_id", F.lit("t")).join(vectors, "item_id")
+
+
+SEARCH_CHUNKS = f"(SELECT c.*, e.embedding FROM {sql('text_chunks')} c LEFT JOIN embeddings e ON e.vec_id = c.doc_id)"
+SEARCH_QUERIES = f"(SELECT q.*, e.embedding AS query_vector FROM {sql('search_queries')} q JOIN embeddings e ON e.vec_id = 7 * q.item_id)"
+
+
 def keyword_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each keyword query may see two of the sources, chosen by its number."""
     pairs = frame(spark, sf_dir, "keyword_queries").selectExpr("query_id", "explode(array(item_id % 20, (item_id + 7) % 20)) AS b")
