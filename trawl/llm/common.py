@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -50,12 +51,19 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), compres
 
 
 def forget(*frames: DataFrame) -> None:
-    """Deletes what ``stored`` wrote for the frames; nothing may be read from them any more."""
+    """Deletes what ``stored`` wrote for the frames; nothing may be read from them any more.
+
+    Shuffle files go when the driver's collector finds their plans unused, so it is asked to.
+    """
+    spark = None
     for df in frames:
         if path := getattr(df, "stored_at", None):
             spark = df.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if spark:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 #: Rows that a worker holds as Python values at a time.
@@ -66,6 +74,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = AT_ONCE) -> Iterator[p
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()  # workers wait for other tasks
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:

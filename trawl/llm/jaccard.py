@@ -135,10 +135,11 @@ def _fits(n: Column, m: Column) -> Column:
 
 def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """``edges`` (a, b), components of fingerprints, after linking those of similar texts."""
-    own = stored(marks.filter("n > 0").select("tk", "_id", "_th", "fp", "n", "bits", "prefix").dropDuplicates(["tk"]), "texts")
-    tokens = own.select("tk", "fp", "n", F.explode("prefix").alias("token"))
-    shared = own.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    members = stored(tokens.join(shared.select("token"), "token"), "prefixes")
+    own = stored(marks.filter("n > 0").select("tk", "_id", "_th", "fp", "n", "bits").dropDuplicates(["tk"]), "texts")
+    # Shingles travel with their text's hash alone until those of one text only have gone.
+    tokens = marks.filter("n > 0").select("tk", "prefix").dropDuplicates(["tk"]).select("tk", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
+    members = stored(tokens.join(shared, "token").join(own.select("tk", "fp", "n"), "tk"), "prefixes")
     for turn in range(ROUNDS + 1):
         roots = edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
         rows = members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -144,12 +144,17 @@ def bucket_edges(fps: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> Da
             own = large.filter(F.col("t") == t).select("fp", "key", _tables(finer, F.col("fp")).alias("x")).select("fp", "key", F.col("x.t").alias("t2"), F.col("x.key").alias("key2"))
             on = ["key", "t2", "key2"]
             edges = edges.unionByName(solved(shared(own, on), on))
-    return edges.distinct()
+    edges = edges.distinct()
+    edges.drawn_from = members
+    return edges
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(a, b): each node that is not its component's smallest, and that smallest node."""
+    source = getattr(edges, "drawn_from", None)
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
+    if source is not None:
+        forget(source)  # the buckets have been solved
     before = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -180,8 +185,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     edges = connected(bucket_edges(classes.select("fp"), radius, limit))
     if similar:
-        edges = jaccard.linked(edges, fps, texts, shingle)
-        fps = fps.select("doc_id", "_id", "_th", "fp")
+        whole, edges = fps, jaccard.linked(edges, fps, texts, shingle)
+        fps = stored(fps.select("doc_id", "_id", "_th", "fp"), "fingerprints")
+        forget(whole)
     links = edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = classes.join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
