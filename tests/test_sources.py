@@ -88,8 +88,15 @@ def test_index_stream_replays_and_updates(spark, tmp_path):
     stream()
     documents(spark, [("a", "k", "text", "older", 3, 2), ("a", "k", "text", "newest", 3, 3)]).write.mode("append").parquet(source)
     stream()
-    got = jobs.current_chunks(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/documents"))
-    assert sorted(r.content for r in got.collect()) == ["newest", "stays"]
+    # A row that comes late, one that deletes, and one that yields nothing.
+    documents(spark, [("a", "k", "text", "too late", 3, 2), ("b", "k", "text", None, 3, 5), ("c", "k", "text", " ", 3, 1), ("d", "k", "text", "more", 3, 1)]).write.mode("append").parquet(source)
+    stream()
+    current = lambda at: sorted(r.content for r in jobs.current_chunks(spark.read.parquet(f"{at}/chunks"), spark.read.parquet(f"{at}/documents")).collect())
+    assert current(path) == ["more", "newest"]
+    statuses = {(r.document_id, r.status, r.message) for r in spark.read.parquet(f"{path}/documents/batch=2").collect()}
+    assert statuses == {("a", "INDEXED", None), ("b", "DELETED", None), ("c", "FAILED", "no chunks"), ("d", "INDEXED", None)}
+    jobs.compact_index(spark, path, f"{path}-2")
+    assert current(f"{path}-2") == ["more", "newest"]
 
 
 def test_late_events_are_dropped(spark, tmp_path):

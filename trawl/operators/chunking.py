@@ -1,14 +1,20 @@
 """Splitting of documents into chunks.
 
-Line structure comes from windows over a document's lines; what depends on its own history
+Plain text goes through windows in Arrow batches. Line structure comes from windows over a document's lines; what depends on its own history
 (the character window, packing, coalescing) is a fold over one section's or one document's
 units, which are bounded by the document.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trawl.functions.text import FENCE, TABLE_LABEL, chunk_type, heading_level, heading_title, let, lines, low_information, parent_path, pointer_only, reference_texts, section_id, squeeze, strip, table_row, table_separator
 
@@ -66,11 +72,37 @@ def normal_text(text: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"))
 
 
+def windows(text: str, size: int, overlap: int) -> list[str]:
+    """B1 for one text, in time linear in it: a window goes as far as a space or line end within
+    its upper half lets it, or its whole size."""
+    fit = re.compile(rf"(?s).{{{max(size // 2, 1)},{size}}}(?=[\n ])")
+    pieces, at = [], 0
+    while at + size < len(text):
+        found = fit.match(text, at)
+        end = found.end() if found else at + size
+        pieces.append(text[at:end].strip())
+        at = max(end - overlap, at + 1)
+    pieces.append(text[at:].strip())
+    return [p for p in pieces if p]
+
+
 def split_plain(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """B1 over a table: (document_id, pos, piece)."""
+    """B1 over a table: (document_id, pos, piece). Equal neighbours are one piece."""
     check_sizes(size, overlap)
-    rows = documents.select("document_id", normal_text(F.col("content")).alias("t"))
-    return rows.select("document_id", F.posexplode(window_pieces(F.col("t"), size, overlap)).alias("pos", "piece"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # texts in a worker's memory together
+                ids, rows = batch.column(0).slice(at, 256), []
+                for i, text in enumerate(batch.column(1).slice(at, 256).to_pylist()):
+                    whole = text.replace("\r\n", "\n").replace("\r", "\n").strip() if text else ""
+                    kept = [p for p, _ in groupby(windows(whole, size, overlap))]
+                    rows += [(i, pos, piece) for pos, piece in enumerate(kept)]
+                of, pos, piece = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), pa.array(pos, pa.int32()), pa.array(piece, pa.string())], names=["document_id", "pos", "piece"])
+
+    schema = T.StructType([documents.schema["document_id"], T.StructField("pos", T.IntegerType()), T.StructField("piece", T.StringType())])
+    return documents.select("document_id", F.col("content").cast("string")).mapInArrow(run, schema)
 
 
 def scan_lines(documents: DataFrame, deepest: int = 6) -> DataFrame:

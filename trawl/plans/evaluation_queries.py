@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.operators import evaluation as ev
-from trawl.operators import research
+from trawl.operators import extensions, research
 from trawl.plans import tables as t
 
 QUERIES: dict = {}
@@ -406,3 +406,11 @@ def i26(spark, d):
     contexts = t.frame(spark, d, "documents").selectExpr(*_CTX)
     cases = contexts.select("case_id").distinct().selectExpr("case_id", "CAST(substr(case_id, 5) AS INT) AS n").selectExpr("case_id", "array(concat('Doc ', n, '.md'), concat('Doc ', n + 2, '.md')) AS expected_documents")
     return _rounded(ev.context_scores(contexts, cases), ["recall", "precision"])
+
+
+@query("l5_quality_scorer", SQL["i26_context_scores"].replace("SELECT case_id, count(DISTINCT document) FILTER (WHERE hit) AS n, ", "SELECT case_id, "))
+def l5(spark, d):
+    contexts = t.frame(spark, d, "documents").selectExpr(*_CTX)
+    cases = contexts.select("case_id").distinct().selectExpr("case_id", "CAST(substr(case_id, 5) AS INT) AS n").selectExpr("case_id", "array(concat('Doc ', n, '.md'), concat('Doc ', n + 2, '.md')) AS expected_documents")
+    found = extensions.score_quality(cases, lambda rows: ev.context_scores(contexts, rows), ["recall", "precision"])
+    return _rounded(found.select("case_id", "recall", "precision"), ["recall", "precision"])

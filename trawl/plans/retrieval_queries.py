@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.operators import fusion, keyword, query_text, rerank, vector
+from trawl.operators import extensions, fusion, keyword, query_text, rerank, vector
 from trawl.plans import tables as t
 
 QUERIES: dict = {}
@@ -424,3 +424,21 @@ def g7(spark, d):
 def g2(spark, d):
     rows = t.frame(spark, d, "keyword_queries").selectExpr("query_id AS kb_id", "CASE item_id % 3 WHEN 0 THEN '{\"synonyms\": [{\"terms\": [\"a\"], \"expand\": [\"b\"]}]}' WHEN 1 THEN '{\"synonyms\": [{\"terms\": [], \"expand\": [\"b\"]}]}' ELSE '{\"synonyms\": [{\"terms\": [\"a\", \" \"], \"expand\": null}]}' END AS settings")
     return query_text.settings_violations(rows)
+
+
+# --- L: a user's own functions ----------------------------------------------------------------------------
+
+
+@query("l3_query_stages", f"SELECT query_id, concat_ws(' ', regexp_replace(regexp_replace(lower(trim(query_text, ' ' || chr(9) || chr(10) || chr(13))), '\\s+', ' ', 'g'), '[?？.。]+$', ''), CASE WHEN contains(lower(query_text), 'of the') THEN 'alpha' END) AS search_query FROM {t.sql('keyword_queries')}")
+def l3(spark, d):
+    normal = lambda q: q.withColumn("effective_query", query_text.normal_query(F.col("query_text")))
+    wider = lambda q: q.withColumn("search_query", F.concat_ws(" ", "effective_query", F.when(F.lower("query_text").contains("of the"), "alpha")))
+    return extensions.process_queries(t.frame(spark, d, "keyword_queries"), normal, wider).select("query_id", "search_query")
+
+
+@query("l6_search_stores", f"SELECT query_id, kb_id, chunk_id, round(score, 9) AS score, rank FROM {_fused_sql(f'(SELECT * FROM {_SV} WHERE pos <= 5)', f'(SELECT * FROM {_SB} WHERE pos <= 5)')}")
+def l6(spark, d):
+    vectors, words = search_branches(spark, d)
+    stores = [lambda q, s, k, rows=rows: rows.join(q.select("query_id"), "query_id", "left_semi") for rows in (vectors, words)]
+    found = extensions.search_with(t.search_queries(spark, d), t.keyword_scope(spark, d), 5, *stores)
+    return fusion.fuse(*found).select("query_id", "kb_id", "chunk_id", F.round("score", 9).alias("score"), "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.plans.indexing import index_documents
@@ -13,28 +13,44 @@ SCORES = (1, 5)
 def index_stream(documents: DataFrame, path: str, checkpoint: str, **options):
     """Keeps the chunk table under ``path`` current with a stream of documents.
 
-    A micro-batch replaces all chunks of its documents in the folders of their bases, so its
-    replay is harmless; the newest row of a document wins. Task failures are Spark's retries; a
-    document that yields nothing only loses its old chunks. Chunks live in one folder a batch
-    (``batch=<id>``), and readers take a document's chunks from its newest batch.
+    A micro-batch writes all chunks of its documents to a folder of its own (``batch=<id>``), so
+    its replay writes the same again; readers take a document's chunks from the batch of its
+    newest row (``updated_at``, then a hash of the row, so the order of batches does not matter).
+    A row with null content deletes its document. Documents that yield no chunk are FAILED with
+    a message, the others INDEXED; a failing task is Spark's to retry, up to
+    ``spark.task.maxFailures``, and a batch that still fails stops the stream before anything of
+    it is seen.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = Window.partitionBy("document_id").orderBy(F.desc("updated_at"))
-        rows = batch.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
-        chunks = index_documents(rows, **options)
+        version = F.struct("updated_at", F.xxhash64(*batch.columns).alias("h"))
+        newest = Window.partitionBy("document_id").orderBy(version.desc())
+        rows = batch.withColumn("version", version).withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+        chunks = index_documents(rows.filter("content IS NOT NULL").drop("version"), **options)
         chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
-        rows.select("document_id").write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
+        made = batch.sparkSession.read.schema(chunks.schema).parquet(f"{path}/chunks/batch={number}").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+        status = F.when(F.col("content").isNull(), "DELETED").when(F.col("chunks").isNull(), "FAILED").otherwise("INDEXED")
+        done = rows.join(made, "document_id", "left").select("document_id", "version", F.coalesce("chunks", F.lit(0)).alias("chunks"), status.alias("status"), F.when(status == "FAILED", "no chunks").alias("message"))
+        done.write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks of each document's newest batch; compacting the table is writing this."""
-    newest = documents.groupBy("document_id").agg(F.max("batch").alias("batch"))
+    """The chunks of each document's newest row."""
+    newest = documents.groupBy("document_id").agg(F.max_by("batch", F.struct("version", "batch")).alias("batch"))
     return chunks.join(newest, ["document_id", "batch"], "left_semi")
 
 
+def compact_index(spark: SparkSession, path: str, into: str) -> None:
+    """Writes the current chunks and the newest row of each document of the index under
+    ``path`` as batch 0 of a new index under ``into``, for a stream that goes on from there."""
+    chunks, documents = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/documents")
+    current_chunks(chunks, documents).drop("batch").write.parquet(f"{into}/chunks/batch=0")
+    newest = F.max_by(F.struct("version", "chunks", "status", "message"), F.struct("version", "batch"))
+    documents.groupBy("document_id").agg(newest.alias("x")).select("document_id", "x.*").write.parquet(f"{into}/documents/batch=0")
+
+
 def request_counts(requests: DataFrame, unit: str = "1 second", late: str = "2 seconds") -> DataFrame:
     """A tenant's requests per window; what comes later than ``late`` is dropped."""
     return requests.withWatermark("ts", late).groupBy("tenant_id", F.window("ts", unit).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("tenant_id", F.col("w.start").alias("start"), "n")
