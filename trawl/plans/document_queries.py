@@ -172,7 +172,10 @@ def _name() -> str:
 
 
 def _folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{_name()}" if base else "file://" + tempfile.mkdtemp(prefix="trawl-")
 
 
