@@ -66,6 +66,20 @@ def forget(*frames: DataFrame) -> None:
         spark._jvm.System.gc()
 
 
+#: Texts that Spark hands over to a worker at a time, at most: its default of 10,000 whole texts
+#: is tens of megabytes on both sides.
+BATCH_ROWS = 2000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after lowering the session's Arrow batches to ``BATCH_ROWS`` rows."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return docs
+
+
 #: Rows that a worker holds as Python values at a time.
 AT_ONCE = 512
 

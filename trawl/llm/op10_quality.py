@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import in_fold, slices, table, utf8
+from trawl.llm.common import in_fold, slices, small_batches, table, utf8
 from trawl.llm.op5_rules import labelled
 
 CHUNK = 1 << 15
@@ -192,7 +192,7 @@ def _scorer(model: ByteCNN | None):
 
 
 def score_quality(docs: DataFrame, model: ByteCNN | None) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scorer(model), SCORES)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scorer(model), SCORES)
 
 
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.common import in_fold, one_text, sample_ids, slices, table, utf8
+from trawl.llm.common import in_fold, one_text, sample_ids, slices, small_batches, table, utf8
 
 WINDOW = 64
 HIDDEN = 8
@@ -233,7 +233,7 @@ def _scorer(model: BiGRU | None):
 
 def score_languages(docs: DataFrame, model: BiGRU | None) -> DataFrame:
     """Each document as a struct ``row`` with lang_pred and score, from its whole text only."""
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letter"))
+    rows = small_batches(docs).select(F.struct("*").alias("row"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letter"))
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_scorer(model), schema)
 

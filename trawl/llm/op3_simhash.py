@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import jaccard
-from trawl.llm.common import forget, keyed, slices, stored, table, utf8
+from trawl.llm.common import forget, keyed, slices, small_batches, stored, table, utf8
 
 SHINGLE = 3
 RADIUS = 2
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     With ``similar``, texts whose shingle sets have a Jaccard similarity of 0.8 or more are
     linked too, whatever their fingerprints.
     """
-    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = keyed(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     texts = rows.select("row.doc_id", "_id", "_th", "row.text")
     if similar:
         fps = stored(jaccard.marked(texts, shingle), "fingerprints")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.common import one_text, sample_ids, slices, table, utf8
+from trawl.llm.common import one_text, sample_ids, slices, small_batches, table, utf8
 
 MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of words
@@ -217,7 +217,7 @@ def judge(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """Each document as a struct ``row`` with its counts, base_failed, kept and score."""
     kinds = [*[(c, T.LongType()) for c in COUNTS], ("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("score", T.DoubleType())]
     schema = T.StructType([T.StructField("row", docs.schema), *(T.StructField(*k) for k in kinds)])
-    return docs.select(F.struct("*").alias("row")).mapInArrow(_judge(trees), schema)
+    return small_batches(docs).select(F.struct("*").alias("row")).mapInArrow(_judge(trees), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.common import slices, stored, table, utf8
+from trawl.llm.common import slices, small_batches, stored, table, utf8
 from trawl.llm.tokens import PieceEncoder, default_path
 
 CAPACITY = 2048
@@ -62,7 +62,7 @@ def _cutter(path: str, capacity: int, end_id: int):
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_cutter(tokenizer_path or default_path(), capacity, end_id), PIECES)
 
 
