@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -48,94 +46,63 @@ def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+_BASE = ["tenant_id", "kb_id", "index_version"]
+_HIT = ["query_id", *_BASE, "document_id", "chunk_id"]
+
+
 def _block_top_k(k: int):
     def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.string()), "document_id": pa.array([], pa.string()), "chunk_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
         if not queries.num_rows or not chunks.num_rows:
-            return empty
+            return pa.table({**{c: pa.array([], pa.string()) for c in _HIT}, "score": pa.array([], pa.float64())})
         scores = np.round(_unit(queries["query_vector"]) @ _unit(chunks["embedding"]).T, 12)  # equal vectors tie
         scores = np.where(np.isfinite(scores), scores, -np.inf)
+        ids, kbs = (np.array(chunks[c].to_pylist()) for c in ("chunk_id", "kb_id"))
         rows, columns = [], []
-        ids = np.array(chunks["chunk_id"].to_pylist())
         for i, own in enumerate(scores):
             at = np.flatnonzero(own >= (np.partition(own, -k)[-k] if len(own) > k else -np.inf))
             at = at[np.isfinite(own[at])]
-            at = at[np.lexsort((ids[at], -own[at]))][:k]
+            at = at[np.lexsort((ids[at], kbs[at], -own[at]))][:k]
             rows += [i] * len(at)
             columns += at.tolist()
-        return pa.table({"query_id": queries["query_id"].take(pa.array(rows, pa.int64())), "document_id": chunks["document_id"].take(pa.array(columns, pa.int64())), "chunk_id": chunks["chunk_id"].take(pa.array(columns, pa.int64())), "score": pa.array(scores[rows, columns] if rows else [], pa.float64())})
+        of = pa.array(columns, pa.int64())
+        found = {"query_id": queries["query_id"].take(pa.array(rows, pa.int64())), **{c: chunks[c].take(of) for c in _HIT[1:]}}
+        return pa.table({**found, "score": pa.array(scores[rows, columns] if rows else [], pa.float64())})
 
-    def named(key: tuple, queries: pa.Table, chunks: pa.Table) -> pa.Table:
-        found = run(queries, chunks)
-        for name, value in zip(_BASE, key, strict=False):
-            found = found.append_column(name, pa.array([value.as_py()] * found.num_rows, pa.string()))
-        return found.select(["query_id", *_BASE, "document_id", "chunk_id", "score"])
+    return run
 
-    return named
 
+def _in_blocks(asked: DataFrame, rows: DataFrame, base: list[str], k: int) -> DataFrame:
+    """The k best chunks of ``rows`` for each query of ``asked``, of those that share ``base``.
 
-_BASE = ["tenant_id", "kb_id", "index_version"]
+    The chunks of a base are dealt over as many blocks as their count asks for, its queries
+    likewise, and each pair of blocks is one small matrix product that gives its k best: what
+    is ranked at the end grows with queries and blocks, not with pairs.
+    """
+    count = lambda df, size, name: df.groupBy(base).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    blocks = count(rows, CHUNK_BLOCK, "chunk_blocks").join(count(asked, QUERY_BLOCK, "query_blocks"), base)
+    dealt = lambda n, *key: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(blocks, base).withColumn("query_block", dealt("query_blocks", "query_id")).select("query_id", "query_vector", *base, "query_block", each("chunk_blocks").alias("chunk_block"))
+    kept = list(dict.fromkeys([*_HIT[1:], "embedding", *base]))
+    right = rows.join(blocks, base).withColumn("chunk_block", dealt("chunk_blocks", "chunk_id", "kb_id")).select(*kept, "chunk_block", each("query_blocks").alias("query_block"))
+    on = [*base, "query_block", "chunk_block"]
+    hits = left.groupBy(on).cogroup(right.groupBy(on)).applyInArrow(_block_top_k(k), ", ".join(f"{c} string" for c in _HIT) + ", score double")
+    return ranked(hits, k, F.desc("score"), F.asc("kb_id"), F.asc("chunk_id"))
 
 
 def cosine_top_k(queries: DataFrame, scope: DataFrame, chunks: DataFrame, k: int, documents: DataFrame | None = None) -> DataFrame:
-    """For each query (query_id, tenant_id, query_vector) its k most similar chunks.
-
-    Chunks and the queries that may see their base meet in blocks: a base is dealt over as many
-    blocks of chunks, and its queries over as many blocks of queries, as their counts ask for,
-    and each pair of blocks is one small matrix product. A block gives its k best, so what is
-    ranked at the end grows with queries and blocks, not with pairs. Chunks of no length and
-    zero vectors are no hits; vectors of a base have one dimension (C2 checks it).
-    """
+    """For each query (query_id, tenant_id, query_vector) its k most similar chunks, of the
+    bases in its scope. Chunks without a vector and zero vectors are no hits; vectors of a base
+    have one dimension (C2 checks it)."""
     rows = chunks.filter("embedding IS NOT NULL AND size(embedding) > 0")
     if documents is not None:
         rows = successful(rows, documents)
     asked = scope.select("query_id", "kb_id", "index_version").distinct().join(queries.filter("size(query_vector) > 0").select("query_id", "tenant_id", "query_vector"), "query_id")
-    count = lambda df, size, name: df.groupBy(_BASE).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    blocks = count(rows, CHUNK_BLOCK, "chunk_blocks").join(count(asked, QUERY_BLOCK, "query_blocks"), _BASE)
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(blocks, _BASE).withColumn("query_block", dealt("query_id", "query_blocks")).select("query_id", "query_vector", *_BASE, "query_block", each("chunk_blocks").alias("chunk_block"))
-    right = rows.join(blocks, _BASE).withColumn("chunk_block", dealt("chunk_id", "chunk_blocks")).select("chunk_id", "document_id", "embedding", *_BASE, "chunk_block", each("query_blocks").alias("query_block"))
-    on = [*_BASE, "query_block", "chunk_block"]
-    schema = "query_id string, tenant_id string, kb_id string, index_version string, document_id string, chunk_id string, score double"
-    hits = left.groupBy(on).cogroup(right.groupBy(on)).applyInArrow(_block_top_k(k), schema)
-    return ranked(hits, k, F.desc("score"), F.asc("kb_id"), F.asc("chunk_id"))
-
+    return _in_blocks(asked, rows, _BASE, k)
 
-def cosine_top_k_blocks(queries: DataFrame, chunks: DataFrame, k: int, wave: int = 4096) -> DataFrame:
-    """D1 in NumPy blocks, for large batches of queries over one open scope.
 
-    Queries come in waves of at most about ``wave``, each broadcast; a task keeps its own k best,
-    so what is shuffled does not grow with the number of chunks in a task.
-    """
-    spark = chunks.sparkSession
-    waves = max(1, -(-queries.count() // wave))
-    out = None
-    for w in range(waves):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(waves)) == w).select("query_id", "query_vector").orderBy("query_id").collect()
-        ids = [r.query_id for r in rows]
-        q = np.array([r.query_vector for r in rows], np.float64).reshape(len(ids), -1)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best: list[list] = [[] for _ in ids]
-            for batch in batches:
-                vectors = batch.column(2)
-                if not len(ids) or not batch.num_rows:
-                    continue
-                x = np.asarray(vectors.flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-                norm = np.linalg.norm(x, axis=1)
-                s = np.where(norm > 0, q @ x.T / np.where(norm > 0, norm, 1), -np.inf)
-                kb, chunk = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for i in range(len(ids)):
-                    at = np.argpartition(-s[i], k - 1)[:k] if len(kb) > k else np.arange(len(kb))
-                    at = np.flatnonzero(s[i] >= s[i][at].min())
-                    best[i] = sorted([*best[i], *((-s[i][j], kb[j], chunk[j]) for j in at if np.isfinite(s[i][j]))])[:k]
-            flat = [(i, kb, chunk, -s) for i, found in zip(ids, best, strict=True) for s, kb, chunk in found]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in flat], pa.string()), pa.array([r[1] for r in flat], pa.string()), pa.array([r[2] for r in flat], pa.string()), pa.array([r[3] for r in flat], pa.float64())], names=["query_id", "kb_id", "chunk_id", "score"])
-
-        found = chunks.filter("embedding IS NOT NULL").select("kb_id", "chunk_id", "embedding").mapInArrow(search, "query_id string, kb_id string, chunk_id string, score double")
-        out = found if out is None else out.unionByName(found)
-    return ranked(out, k, F.desc("score"), F.asc("kb_id"), F.asc("chunk_id"))
+def cosine_top_k_blocks(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """D1 over one open scope: every query may see every chunk."""
+    rows = chunks.filter("embedding IS NOT NULL AND size(embedding) > 0").withColumn("_all", F.lit(0))
+    asked = queries.filter("size(query_vector) > 0").select("query_id", "query_vector", F.lit(0).alias("_all"))
+    return _in_blocks(asked, rows, ["_all"], k).select("query_id", "kb_id", "chunk_id", "score", "rank")
