@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.functions.text import reference_texts
+from trawl.functions.text import reference_texts, text_list
 from trawl.operators import chunking
 from trawl.plans import indexing
 from trawl.plans import tables as t
@@ -106,7 +106,12 @@ def b4(spark, d):
     return chunking.mark_blocks(chunking.scan_lines(t.markdown(spark, d))).filter("is_table").select("document_id", "pos")
 
 
-@query("b5_tables")
+_T5 = f"""SELECT a.document_id, a.section, a.pos, nullif(a.path, '') AS heading_path, 'table' AS kind, 0 AS part,
+CASE WHEN length(concat_ws(chr(10), trim(a.line), trim(b.line), trim(c.line))) <= 40 THEN concat_ws(chr(10), trim(a.line), trim(b.line), trim(c.line)) ELSE concat('【表头】who | what', chr(10), trim(c.line)) END AS text
+FROM {_SCAN} a JOIN {_SCAN} b ON b.document_id = a.document_id AND b.pos = a.pos + 1 JOIN {_SCAN} c ON c.document_id = a.document_id AND c.pos = a.pos + 2 WHERE a.line = '| who | what |' AND NOT a.in_fence"""
+
+
+@query("b5_tables", _T5)
 def b5(spark, d):
     return chunking.split_tables(chunking.mark_blocks(chunking.scan_lines(t.markdown(spark, d))), 40, 2)
 
@@ -144,6 +149,22 @@ def b18(spark, d):
     return chunking.split_documents(pages_as_documents(spark, d)).select("document_id", "order_index", "heading_path", "chunk_type", "text")
 
 
+@query("a9_json_lines", f"SELECT doc_id, title, content FROM {t.sql('documents')}")
+def a9(spark, d):
+    folder = _folder(spark)
+    files.write_lines(t.frame(spark, d, "documents").select("doc_id", "title", "content"), folder)
+    return files.read_lines(spark, folder, "doc_id long, title string, content string")
+
+
+_LISTS = "CASE doc_id % 4 WHEN 0 THEN concat('[\"', title, ' \", \"\", \"x\", \"', title, '\"]') WHEN 1 THEN concat('  ', title, ' ') WHEN 2 THEN '[]' END"
+
+
+@query("k7_text_lists", f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat(title, ',x') WHEN 1 THEN title ELSE '' END AS items FROM {t.sql('documents')}")
+def k7(spark, d):
+    rows = t.frame(spark, d, "documents").selectExpr("doc_id", f"{_LISTS} AS value")
+    return rows.select("doc_id", F.array_join(text_list(F.col("value")), ",").alias("items"))
+
+
 # --- C -----------------------------------------------------------------------------------------------------
 
 
