@@ -187,3 +187,20 @@ def test_near_duplicates_by_shingles(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "SAMPLE", sample)
         monkeypatch.setattr(jaccard, "DENSE", dense)
         assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, SF).collect()) == want
+
+
+def test_parities_never_part_similar_sets():
+    from trawl.llm import jaccard
+
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 500, 513, 3000, 20_000):
+        for cut in (0, n // 9, n // 5):
+            x = np.unique(rng.integers(-(2**62), 2**62, n))
+            y = np.unique(np.concatenate([x[cut:], rng.integers(-(2**62), 2**62, n // 12)]))
+            apart = len(np.setxor1d(x, y))
+            assert jaccard.differing([jaccard.parities(x)], [jaccard.parities(y)])[0] <= apart
+            if jaccard.similar(x, y):
+                assert 9 * apart <= len(x) + len(y)
+        other = np.unique(rng.integers(-(2**62), 2**62, n))
+        if n >= 500:  # sets without a shingle in common are told apart at any size
+            assert 9 * jaccard.differing([jaccard.parities(x)], [jaccard.parities(other)])[0] > len(x) + len(other)

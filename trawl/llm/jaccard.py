@@ -5,7 +5,7 @@ within the first n - ceil(0.8 n) + 1 of each. Any order is right; here shingles
 texts of a sample hold come last, the others go by their hash. Texts that share such a shingle
 and are of fitting sizes are candidates. A set's parities (of the number of its shingles in each of BITMAP
 places) differ in at most as many places as two sets differ in shingles, so most candidates go
-by these alone; the sets of the others are compared whole.
+by these alone; the sets of the others are compared whole. Larger sets have more places.
 
 Candidates already in one component are passed over. While the pairs are many more than the
 texts in them, a round compares the texts of each shingle with one of them only, which folds
@@ -65,7 +65,32 @@ class Order:
 
 
 def parities(ids: np.ndarray) -> bytes:
-    return np.packbits(np.bincount(ids.view(np.uint64) % BITMAP, minlength=BITMAP) % 2 == 1).tobytes()
+    """Whether the number of shingles is odd in each of as many places as there are shingles
+    (a power of two, at least BITMAP): one bit for each place."""
+    places = max(BITMAP, 1 << max(0, len(ids) - 1).bit_length())
+    return np.packbits(np.bincount(ids.view(np.uint64) % places, minlength=places) % 2 == 1).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parities in fewer places: those of a place and of the one half the places further on."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def differing(s: list[bytes], t: list[bytes]) -> np.ndarray:
+    """In how many places the parities of each pair differ, in the smaller one's places."""
+    out = np.zeros(len(s), np.int64)
+    least = BITMAP // 8
+    small = np.array([len(x) == len(y) == least for x, y in zip(s, t, strict=True)], bool)
+    if small.any():
+        x, y = (np.frombuffer(b"".join([v[i] for i in np.flatnonzero(small)]), np.uint64).reshape(-1, BITMAP // 64) for v in (s, t))
+        out[small] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    for i in np.flatnonzero(~small).tolist():
+        x, y = np.frombuffer(s[i], np.uint8), np.frombuffer(t[i], np.uint8)
+        size = min(len(x), len(y))
+        out[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)
+    return out
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -114,9 +139,8 @@ def marked(texts: DataFrame, shingle: int) -> DataFrame:
 
 def _possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose parities differ in no more places than similar sets of their sizes may."""
-    for batch in batches:
-        s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITMAP // 64) for i in (5, 6))
-        differ = np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64)
+    for batch in slices(batches):
+        differ = differing(batch.column(5).to_pylist(), batch.column(6).to_pylist())
         yield batch.filter(pa.array(9 * differ <= batch.column(4).to_numpy())).select(["x", "y", "a", "b"])
 
 
