@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -66,18 +67,23 @@ def forget(*frames: DataFrame) -> None:
         spark._jvm.System.gc()
 
 
-#: Texts that Spark hands over to a worker at a time, at most: its default of 10,000 whole texts
-#: is tens of megabytes on both sides.
+#: Texts that Spark hands over to a worker at a time, at most, where workers hold much else: its
+#: default of 10,000 whole texts is tens of megabytes on both sides.
 BATCH_ROWS = 2000
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, after lowering the session's Arrow batches to ``BATCH_ROWS`` rows."""
-    conf = docs.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH_KEY)) <= BATCH_ROWS:
-        conf.set(_BATCH_KEY, str(BATCH_ROWS))
-    return docs
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is written inside; the session's own
+    setting holds again afterwards."""
+    before = spark.conf.get(_BATCH_KEY)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(_BATCH_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
 
 
 #: Rows that a worker holds as Python values at a time.

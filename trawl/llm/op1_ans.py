@@ -222,11 +222,12 @@ def _encoder(path: str, end_id: int, frame: int):
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str | None = None, end_id: int = END_ID, frame: int = FRAME) -> None:
     """Writes the ids of ``docs`` (doc_id, text) as frames under ``path`` in doc_id order."""
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Rows of one doc_id are dealt by their texts and, where these are equal, by where they were read.
     rows = rows.withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()})
     ordered = rows.repartitionByRange("doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    ordered.mapInArrow(_encoder(tokenizer_path or default_path(), end_id, frame), FRAMES).write.option("compression", "none").parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(_encoder(tokenizer_path or default_path(), end_id, frame), FRAMES).write.option("compression", "none").parquet(path)
 
 
 def _decoder(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,12 +176,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     With ``similar``, texts whose shingle sets have a Jaccard similarity of 0.8 or more are
     linked too, whatever their fingerprints.
     """
-    rows = keyed(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     texts = rows.select("row.doc_id", "_id", "_th", "row.text")
-    if similar:
-        fps = stored(jaccard.marked(texts, shingle), "fingerprints")
-    else:
-        fps = stored(texts.mapInArrow(_fingerprints(shingle), "doc_id long, _id long, _th long, fp long"), "fingerprints")
+    found = jaccard.marked(texts, shingle) if similar else texts.mapInArrow(_fingerprints(shingle), "doc_id long, _id long, _th long, fp long")
+    with small_batches(docs.sparkSession):
+        fps = stored(found, "fingerprints")
     classes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     edges = connected(bucket_edges(classes.select("fp"), radius, limit))
     if similar:

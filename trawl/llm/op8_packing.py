@@ -62,7 +62,7 @@ def _cutter(path: str, capacity: int, end_id: int):
 
 
 def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None) -> DataFrame:
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_cutter(tokenizer_path or default_path(), capacity, end_id), PIECES)
 
 
@@ -167,7 +167,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, cell_size: int = CELL) ->
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_path: str | None = None) -> DataFrame:
     """Encodes, cuts and packs ``docs`` (doc_id, text); a row per piece."""
-    return pack(stored(cut_pieces(docs, capacity, end_id, tokenizer_path), "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        pieces = stored(cut_pieces(docs, capacity, end_id, tokenizer_path), "pieces")
+    return pack(pieces, capacity)
 
 
 def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
