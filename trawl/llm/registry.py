@@ -16,10 +16,11 @@ from trawl.llm.op8_packing import op8_best_fit
 from trawl.llm.op9_topk import ORACLE as TOPK_SQL
 from trawl.llm.op9_topk import op9_segment_topk
 from trawl.llm.op10_quality import op10_byte_cnn
+from trawl.llm.op11_repeats import op11_suffix_repeats
 
 
 def queries() -> dict:
-    found = [op1_token_ids, op2_language, op3_simhash, op4_html_text, op5_tree_rules, op6_systematic, op7_line_runs, op8_best_fit, op9_segment_topk, op10_byte_cnn]
+    found = [op1_token_ids, op2_language, op3_simhash, op4_html_text, op5_tree_rules, op6_systematic, op7_line_runs, op8_best_fit, op9_segment_topk, op10_byte_cnn, op11_suffix_repeats]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
