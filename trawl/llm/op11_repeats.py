@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.llm.common import forget, stored, table
+from trawl.llm.common import forget, small_batches, stored, table
 from trawl.llm.spans import SPACE, gathered, groups, owners, run_hashes, sizes_of, spans, word_hashes
 
 WINDOW = 35
@@ -49,6 +49,8 @@ WINDOW = 35
 ANCHOR = 8
 #: Bytes of pieces in a group, about; an anchor with more is overfull.
 GROUP_BYTES = 8 << 20
+#: Texts that are cut into pieces at a time, at most, and their bytes (pieces have several times as many).
+PIECE_ROWS, PIECE_BYTES = 500, 1 << 19
 #: Windows whose anchors are looked for at a time.
 SEGMENT = 1 << 19
 RUN = "array<struct<g:long,s:int,n:int>>"
@@ -108,7 +110,7 @@ def _pieces(window: int):
     """The words of each run's windows, joined by single spaces."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches, 0):
+        for batch in groups(batches, 0, PIECE_BYTES):
             raw, begins = sizes_of(batch.column(0))
             starts, ends = spans(raw, begins, SPACE)
             bases = np.searchsorted(owners(begins, starts), np.arange(batch.num_rows))
@@ -224,7 +226,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTE
     keyed = docs.select(*_text_key(F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     runs = keyed.mapInArrow(_runs(window), f"t1 long, t2 long, n_words long, runs {RUN}")
     texts = runs.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.first("runs").alias("runs"))
-    texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
+    with small_batches(docs.sparkSession):
+        texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
     anchors = texts.select("tid", F.explode("runs").alias("x")).select("tid", "x.g", "x.s", "x.n")
     # Bytes of an anchor's pieces, from their words.
     sizes = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") + window - 1).alias("words")).filter("k > 1")
@@ -232,7 +235,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTE
     found = anchors.join(sizes, "g").groupBy("tid").agg(F.collect_list(F.struct("g", "s", "n", "over")).alias("wanted"))
     wanted = texts.select("tid", "t1", "t2").join(found, "tid")
     once = keyed.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"])
-    pieces = stored(once.select("text", "tid", "wanted").mapInArrow(_pieces(window), "tid long, g long, s int, n int, over boolean, piece binary"), "pieces")
+    with small_batches(docs.sparkSession, PIECE_ROWS):
+        pieces = stored(once.select("text", "tid", "wanted").mapInArrow(_pieces(window), "tid long, g long, s int, n int, over boolean, piece binary"), "pieces")
     held = pieces.filter("NOT over").agg(F.sum(F.length("piece")).alias("bytes")).first().bytes or 0
     own = pieces.filter("NOT over").withColumn("group", F.pmod(F.xxhash64("g"), F.lit(1 + held // group_bytes)))
     shallow = own.select("group", "tid", "s", "n", "piece").groupBy("group").applyInArrow(_tree(window), "tid long, low long, high long")
