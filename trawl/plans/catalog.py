@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trawl.plans import admin_queries, document_queries, evaluation_queries, graph_queries, retrieval_queries
+from trawl.plans import admin_queries, document_queries, evaluation_queries, graph_queries, retrieval_queries, stream_queries
 
-_PARTS = [retrieval_queries, graph_queries, admin_queries, evaluation_queries, document_queries]
+_PARTS = [retrieval_queries, graph_queries, admin_queries, evaluation_queries, document_queries, stream_queries]
 
 
 def queries() -> dict:
