@@ -82,3 +82,13 @@ def test_own_functions_are_checked(spark):
     assert [r.chunk_id for r in extensions.search_with(queries, scope, 5, lambda q, s, k: hits)[0].collect()] == ["c"]
     with pytest.raises(ValueError, match="pos is bigint"):
         extensions.search_with(queries, scope, 5, lambda q, s, k: hits.withColumn("pos", F.col("pos").cast("long")))
+
+
+def test_synonyms_walk_each_query_once():
+    from trawl.operators.query_text import Synonyms
+
+    rules = Synonyms([{"terms": [" Strasse ", "", None], "expand": [" road", "ROAD", " ", None]}, {"terms": ["  "], "expand": ["never"]}, {"terms": ["as"], "expand": ["Road ", "way"]}, {"terms": None, "expand": ["x"]}, {"terms": ["q"], "expand": None}])
+    assert rules.added("Eine STRAßE") == (True, ["road", "way"])
+    assert rules.added("was") == (True, ["Road", "way"])
+    assert rules.added("zzz q") == (False, []) and rules.added(None) == (False, [])
+    assert Synonyms([]).added("a") == (False, []) and Synonyms([{"terms": ["a"], "expand": []}]).added("a") == (True, [])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trawl.functions.text import full_lines, let, normal_query, strip
 
@@ -13,13 +17,76 @@ __all__ = ["clean_rewrite", "expand_synonyms", "normal_query", "pipeline", "requ
 UNSAFE = r"(?i)(?:https?://|\b(?:select|insert|update|delete|drop|alter)\b|(?:^|\s)(?:curl|wget|powershell|cmd|bash|sh)(?:\s|$)|(?:调用|使用).{0,8}(?:浏览器|工具|shell|终端))"
 
 
+class Synonyms:
+    """The synonym groups of one base as an automaton: a query's matching groups come from one
+    walk over its text, however many terms there are."""
+
+    def __init__(self, groups: list[dict]):
+        import ahocorasick
+
+        self.expand = []
+        by_term: dict[str, list[int]] = {}
+        for group in groups:
+            terms, expand = group["terms"], group["expand"]
+            if terms is None or expand is None:
+                continue
+            for term in {t.strip().casefold() for t in terms if t is not None} - {""}:
+                by_term.setdefault(term, []).append(len(self.expand))
+            self.expand.append([x.strip() for x in expand if x is not None and x.strip()])
+        self.automaton = ahocorasick.Automaton()
+        for term, numbers in by_term.items():
+            self.automaton.add_word(term, numbers)
+        if by_term:
+            self.automaton.make_automaton()
+        self.empty = not by_term
+
+    def added(self, query: str | None) -> tuple[bool, list[str]]:
+        """Whether a group matches, and the expansions of all that do, in order of groups and
+        without repeats."""
+        if query is None or self.empty:
+            return False, []
+        hit = sorted({n for _, numbers in self.automaton.iter(query.casefold()) for n in numbers})
+        first: dict[str, str] = {}
+        for n in hit:
+            for value in self.expand[n]:
+                first.setdefault(value.casefold(), value)
+        return bool(hit), list(first.values())
+
+
+#: Automata that a worker keeps.
+KEPT = 64
+
+
+def _expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: dict[str, Synonyms] = {}
+    for batch in batches:
+        base, ids, texts, groups = batch.columns
+        applied, added = [], []
+        for i, (kb, text) in enumerate(zip(base.to_pylist(), texts.to_pylist(), strict=True)):
+            if kb not in kept:
+                if len(kept) >= KEPT:
+                    kept.pop(next(iter(kept)))
+                kept[kb] = Synonyms(groups[i].as_py())
+            found = kept[kb].added(text)
+            applied.append(found[0])
+            added.append(found[1])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(applied, pa.bool_()), pa.array(added, pa.list_(pa.string()))], names=["query_id", "applied", "added"])
+
+
 def expand_synonyms(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """G1: adds the expansions of each matching synonym group (kb_id, pos, terms, expand), in
-    order and without repeats, to the query text."""
-    hit = F.exists("terms", lambda x: F.lower("query_text").contains(F.lower(x)))
-    found = queries.select("query_id", "query_text", "kb_id").join(synonyms, "kb_id").filter(hit)
-    added = found.groupBy("query_id").agg(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "expand"))), lambda x: x.expand))).alias("added"))
-    return queries.join(added, "query_id", "left").withColumn("search_text", F.concat_ws(" ", "query_text", "added"))
+    order and without repeats, to the query text.
+
+    Terms are stripped and compared without case anywhere in the query; blank terms match
+    nothing, blank expansions add nothing. ``applied`` tells whether a group matched. A base's
+    groups are its settings, so few enough to travel with its queries.
+    """
+    groups = synonyms.groupBy("kb_id").agg(F.sort_array(F.collect_list(F.struct("pos", "terms", "expand"))).alias("groups"))
+    rows = queries.select("kb_id", F.col("query_id"), "query_text").join(groups, "kb_id").sortWithinPartitions("kb_id")
+    kind = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("applied", T.BooleanType()), T.StructField("added", T.ArrayType(T.StringType()))])
+    found = rows.mapInArrow(_expand, kind)
+    out = queries.join(found, "query_id", "left").withColumn("applied", F.coalesce("applied", F.lit(False)))
+    return out.withColumn("search_text", F.when(F.size("added") > 0, F.concat_ws(" ", "query_text", "added")).otherwise(F.col("query_text")))
 
 
 def settings_violations(settings: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from trawl.operators import chunking
 from trawl.plans import indexing
 from trawl.plans import tables as t
 from trawl.sources import files, html
+from trawl.sources.shared import folder
 from trawl.streaming import jobs
 
 QUERIES: dict = {}
@@ -151,9 +150,9 @@ def b18(spark, d):
 
 @query("a9_json_lines", f"SELECT doc_id, title, content FROM {t.sql('documents')}")
 def a9(spark, d):
-    folder = _folder(spark)
-    files.write_lines(t.frame(spark, d, "documents").select("doc_id", "title", "content"), folder)
-    return files.read_lines(spark, folder, "doc_id long, title string, content string")
+    path = folder(spark)
+    files.write_lines(t.frame(spark, d, "documents").select("doc_id", "title", "content"), path)
+    return files.read_lines(spark, path, "doc_id long, title string, content string")
 
 
 _LISTS = "CASE doc_id % 4 WHEN 0 THEN concat('[\"', title, ' \", \"\", \"x\", \"', title, '\"]') WHEN 1 THEN concat('  ', title, ' ') WHEN 2 THEN '[]' END"
@@ -182,24 +181,12 @@ def c3(spark, d):
 @query("c5_rebuild")
 def c5(spark, d):
     rows = t.frame(spark, d, "documents").withColumn("source_type", F.lit("text"))
-    return indexing.rebuild(rows, _folder(spark) + "/index", "v2")
+    return indexing.rebuild(rows, folder(spark) + "/index", "v2")
 
 
 # --- J: the events table as a stream -----------------------------------------------------------------------
 
 
-def _name() -> str:
-    return uuid.uuid4().hex
-
-
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{_name()}" if base else "file://" + tempfile.mkdtemp(prefix="trawl-")
-
-
 def _events(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
@@ -208,12 +195,12 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j5_hourly_counts", f"SELECT tenant_id, date_trunc('hour', ts) AS start, count(*) AS n FROM {t.sql('requests')} GROUP BY ALL")
 def j5(spark, d):
-    return jobs.to_parquet(jobs.request_counts(_events(spark, d), "1 hour", "60 days"), _folder(spark))
+    return jobs.to_parquet(jobs.request_counts(_events(spark, d), "1 hour", "60 days"), folder(spark))
 
 
 @query("j4_daily_successes", f"SELECT tenant_id, date_trunc('day', ts) AS start, count(*) AS n FROM {t.sql('requests')} WHERE success GROUP BY ALL")
 def j4(spark, d):
-    return jobs.to_parquet(jobs.daily_successes(_events(spark, d), "60 days"), _folder(spark))
+    return jobs.to_parquet(jobs.daily_successes(_events(spark, d), "60 days"), folder(spark))
 
 
 @query("j6_latest_feedback", f"""SELECT trace_id, score, event_id FROM (SELECT event_id % 400 AS trace_id, event_id, CAST(floor(value) AS INT) % 7 AS score, row_number() OVER (PARTITION BY event_id % 400 ORDER BY ts DESC, CAST(floor(value) AS INT) % 7 DESC) AS n FROM {t.sql('requests')} WHERE CAST(floor(value) AS INT) % 7 BETWEEN 1 AND 5 AND event_id % 11 > 0) WHERE n = 1""")
@@ -232,8 +219,8 @@ def j7(spark, d):
 
 @query("j1_incremental_index")
 def j1(spark, d):
-    folder = _folder(spark)
-    t.frame(spark, d, "documents").selectExpr("document_id", "tenant_id", "kb_id", "title", "'text' AS source_type", "content", "created_at AS updated_at").write.parquet(f"{folder}/in")
-    schema = spark.read.parquet(f"{folder}/in").schema
-    jobs.index_stream(spark.readStream.schema(schema).parquet(f"{folder}/in"), folder, f"{folder}/checkpoint").awaitTermination()
-    return jobs.current_chunks(spark.read.parquet(f"{folder}/chunks"), spark.read.parquet(f"{folder}/documents")).select("chunk_id", "document_id", "order_index", "content")
+    path = folder(spark)
+    t.frame(spark, d, "documents").selectExpr("document_id", "tenant_id", "kb_id", "title", "'text' AS source_type", "content", "created_at AS updated_at").write.parquet(f"{path}/in")
+    schema = spark.read.parquet(f"{path}/in").schema
+    jobs.index_stream(spark.readStream.schema(schema).parquet(f"{path}/in"), path, f"{path}/checkpoint").awaitTermination()
+    return jobs.current_chunks(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/documents")).select("chunk_id", "document_id", "order_index", "content")

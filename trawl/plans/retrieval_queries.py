@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.operators import extensions, fusion, keyword, query_text, rerank, vector
+from trawl.operators import blocks, extensions, fusion, keyword, query_text, rerank, vector
 from trawl.plans import tables as t
 
 QUERIES: dict = {}
@@ -89,9 +89,7 @@ BM25 = _top(_BM25, 20)
 
 
 def bm25_hits(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    chunks, queries, fields = t.frame(spark, d, "text_chunks"), t.frame(spark, d, "keyword_queries"), {"content": "content", "title": "title"}
-    index = keyword.postings(chunks, keyword.query_terms(queries), **fields)
-    return keyword.bm25_top_k(queries, t.keyword_scope(spark, d), index, k, {"title": 2.0}, keyword.statistics(chunks, **fields))
+    return blocks.block_top_k(t.frame(spark, d, "keyword_queries"), t.keyword_scope(spark, d), t.text_index(spark, d), k, {"title": 2.0})
 
 
 @query("d4_bm25_topk", f"SELECT query_id, kb_id, chunk_id, round(score, 6) AS score, rank FROM {BM25}")
@@ -153,10 +151,9 @@ def _fused_sql(a: str, b: str) -> str:
 
 def search_branches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     queries, chunks = t.search_queries(spark, d), t.search_chunks(spark, d)
-    scope, fields = t.keyword_scope(spark, d), {"content": "content", "title": "title"}
+    scope = t.keyword_scope(spark, d)
     vectors = vector.cosine_top_k(queries, scope, chunks, 20).select("query_id", "kb_id", "chunk_id", "document_id", F.col("rank").alias("pos"), "score")
-    index = keyword.postings(chunks, keyword.query_terms(queries), **fields)
-    words = keyword.bm25_top_k(queries, scope, index, 20, {"title": 2.0}, keyword.statistics(chunks, **fields))
+    words = blocks.block_top_k(queries, scope, t.text_index(spark, d), 20, {"title": 2.0})
     return vectors, words.select("query_id", "kb_id", "chunk_id", F.concat(F.lit("d"), F.substring("chunk_id", 2, 99)).alias("document_id"), F.col("rank").alias("pos"), "score")
 
 
@@ -380,6 +377,19 @@ def g1(spark, d):
     return query_text.expand_synonyms(queries, _synonyms(spark)).select("query_id", "search_text")
 
 
+# Settings as users write them: untrimmed, blank, in any case, repeated.
+_ROUGH = [("doc", 0, [" Of The ", ""], [" Alpha", "ALPHA ", " ", "beta "]), ("doc", 1, ["   "], ["never"]), ("doc", 2, ["THAN", None], ["Beta", None, "gamma"]), ("doc", 3, ["ED"], None), ("doc", 4, ["ing"], ["  "]), ("other", 0, ["e"], ["none"])]
+_HAS = {term: f"contains(lower(query_text), '{term}')" for term in ("of the", "than", "ing")}
+
+
+@query("g1_rough_settings", f"""SELECT query_id, {_HAS['of the']} OR {_HAS['than']} OR {_HAS['ing']} AS applied,
+CASE WHEN {_HAS['of the']} AND {_HAS['than']} THEN concat(query_text, ' Alpha beta gamma') WHEN {_HAS['of the']} THEN concat(query_text, ' Alpha beta') WHEN {_HAS['than']} THEN concat(query_text, ' Beta gamma') ELSE query_text END AS search_text FROM {t.sql('keyword_queries')}""")
+def g1_rough(spark, d):
+    queries = t.frame(spark, d, "keyword_queries").withColumn("kb_id", F.lit("doc"))
+    settings = spark.createDataFrame(_ROUGH, "kb_id string, pos int, terms array<string>, expand array<string>")
+    return query_text.expand_synonyms(queries, settings).select("query_id", "applied", "search_text")
+
+
 @query("g3_query_pipeline", f"SELECT query_id, query_text AS raw, CASE WHEN item_id % 3 = 0 THEN concat('rewritten ', item_id) ELSE query_text END AS effective, item_id % 3 = 0 AS rewritten FROM {t.sql('keyword_queries')}")
 def g3(spark, d):
     queries = t.frame(spark, d, "keyword_queries")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.plans import tables as t
 from trawl.plans.admin_queries import SQL as ADMIN_SQL
-from trawl.plans.document_queries import _folder
+from trawl.sources.shared import folder
 from trawl.streaming import admission, retries
 
 QUERIES: dict = {}
@@ -46,10 +46,10 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j3_j5_stream_admission", ADMIN_SQL["j3_j4_admission"])
 def stream_admission(spark, d):
-    folder = _folder(spark)
-    run = lambda stream: admission.run_admission(stream, f"{folder}/decisions", f"{folder}/checkpoint", rate=3, daily=5, unit_seconds=3600)
-    replayed(requests(spark, d), f"{folder}/requests", run)
-    return spark.read.schema(admission.DECISIONS).parquet(f"{folder}/decisions").select("event_id", "decision")
+    path = folder(spark)
+    run = lambda stream: admission.run_admission(stream, f"{path}/decisions", f"{path}/checkpoint", rate=3, daily=5, unit_seconds=3600)
+    replayed(requests(spark, d), f"{path}/requests", run)
+    return spark.read.schema(admission.DECISIONS).parquet(f"{path}/decisions").select("event_id", "decision")
 
 
 #: How often indexing a document fails before it succeeds; -1 fails for good.
@@ -68,9 +68,9 @@ def _faulty(row: dict) -> str:
 @query("j2_attempts", f"""SELECT document_id, CASE WHEN f < 0 THEN 1 ELSE least(f, 2) + 1 END AS attempts, CASE WHEN f < 0 OR f > 2 OR blank THEN 'FAILED' ELSE 'INDEXED' END AS status,
 CASE WHEN f < 0 THEN 'not a document' WHEN f > 2 THEN 'fetch failed' WHEN blank THEN 'no chunks' END AS message FROM (SELECT document_id, {_FAILS} AS f, NOT regexp_matches(content, '[^\\x09-\\x0D\\x20]') AS blank FROM {t.sql('documents')})""")
 def j2_attempts(spark, d):
-    folder = _folder(spark)
+    path = folder(spark)
     rows = t.frame(spark, d, "documents").selectExpr("document_id", "tenant_id", "kb_id", "title", "'text' AS source_type", f"concat({_FAILS}, '|', content) AS content", "created_at AS updated_at")
-    rows.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-    retries.index_with_retries(stream, folder, f"{folder}/checkpoint", _faulty, wait_seconds=0)
-    return retries.attempts(spark.read.parquet(f"{folder}/documents")).select("document_id", "attempts", "status", "message")
+    rows.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+    retries.index_with_retries(stream, path, f"{path}/checkpoint", _faulty, wait_seconds=0)
+    return retries.attempts(spark.read.parquet(f"{path}/documents")).select("document_id", "attempts", "status", "message")

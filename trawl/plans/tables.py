@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trawl.operators import blocks
+from trawl.sources import shared
+
 TABLES = {
     "documents": ("documents", [
         "concat('d', doc_id) AS document_id", "coalesce(lang, 'none') AS tenant_id", "coalesce(source, 'none') AS kb_id",
@@ -104,6 +107,20 @@ SEARCH_CHUNKS = f"(SELECT c.*, e.embedding FROM {sql('text_chunks')} c LEFT JOIN
 SEARCH_QUERIES = f"(SELECT q.*, e.embedding AS query_vector FROM {sql('search_queries')} q JOIN embeddings e ON e.vec_id = 7 * q.item_id)"
 
 
+#: Indexes written by this driver: application and tables -> path.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> blocks.BlockIndex:
+    """The stored keyword index of ``text_chunks``: written by the first search, read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _INDEXES.get(key)
+    if path is None or not shared.exists(spark, f"{path}/terms/_SUCCESS"):
+        path = _INDEXES[key] = shared.folder(spark, "text-index")
+        return blocks.write_index(frame(spark, sf_dir, "text_chunks"), path, content="content", title="title")
+    return blocks.BlockIndex(spark, path)
+
+
 def keyword_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each keyword query may see two of the sources, chosen by its number."""
     pairs = frame(spark, sf_dir, "keyword_queries").selectExpr("query_id", "explode(array(item_id % 20, (item_id + 7) % 20)) AS b")
