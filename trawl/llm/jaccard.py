@@ -7,11 +7,14 @@ and are of fitting sizes are candidates. A set's parities (of the number of its
 places) differ in at most as many places as two sets differ in shingles, so most candidates go
 by these alone; the sets of the others are compared whole. Larger sets have more places.
 
-Candidates already in one component are passed over. While the pairs are many more than the
-texts in them, a round compares the texts of each shingle with one of them only, which folds
-large groups of copies; the last round takes all pairs that are left, so none is missed.
-
-Shingles are known by 64-bit hashes. Texts without words have no shingles and no pairs here.
+Candidates already in one component are passed over. While there are more pairs than texts in
+them, a round takes one pair for each text: of the texts that lead its shingles' groups, the
+one that leads most of them. That folds large groups of copies with as many comparisons as
+texts. Rounds go on as long as they fold; the last one takes all pairs that are left, so none
+is missed.
+
+Shingles and the words of a whole text are known by 64-bit hashes. Texts without words have no
+shingles and no pairs here.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from trawl.llm.common import forget, slices, stored, utf8
 
 #: One text in SAMPLE is looked at for common shingles; at most COMMON of them are told apart.
 SAMPLE, COMMON, SEEN = 16, 65_536, 2
-#: Rounds against one text a shingle, at most, and pairs for each text that need no such round.
-ROUNDS, DENSE = 3, 8
+#: Pairs for each text that need no further round, and the part of the rows that a round must
+#: leave behind to be followed by another.
+DENSE, FOLDS = 1, 16
 BITMAP = 512
 
 
@@ -164,7 +168,8 @@ def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -
     tokens = marks.filter("n > 0").select("tk", "prefix").dropDuplicates(["tk"]).select("tk", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
     members = stored(tokens.join(shared, "token").join(own.select("tk", "fp", "n"), "tk"), "prefixes")
-    for turn in range(ROUNDS + 1):
+    turn, rows_before = 0, None
+    while True:
         roots = edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
         rows = members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
@@ -174,7 +179,8 @@ def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -
         size = sizes.agg(F.sum("k").alias("texts"), F.sum(F.col("k").cast("double") * (F.col("k") - 1) / 2).alias("pairs")).first()
         if not size.texts:
             return edges
-        last = turn == ROUNDS or size.pairs <= DENSE * size.texts
+        last = size.pairs <= DENSE * size.texts or (rows_before is not None and size.texts > rows_before - rows_before // FOLDS)
+        rows_before = size.texts
         other = members.select("token", *[F.col(c).alias(f"{c}2") for c in ("tk", "fp", "n", "root")])
         if not last:  # the same text leads in most of the shingles that it is in
             lead = F.struct(F.xxhash64("tk2", F.lit(turn)).alias("h"), "tk2", "fp2", "n2", "root2")
@@ -182,6 +188,10 @@ def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -
         near = members.join(other, "token").filter(F.col("root") != F.col("root2")).filter(_fits(F.col("n"), F.col("n2")))
         if last:
             near = near.filter("tk < tk2")
+        else:
+            by = ["tk", "fp", "n", "tk2", "fp2", "n2"]
+            most = near.groupBy(by).agg(F.count(F.lit(1)).alias("shared")).groupBy("tk", "fp", "n").agg(F.max(F.struct("shared", "tk2", "fp2", "n2")).alias("x"))
+            near = most.select("tk", "fp", "n", "x.tk2", "x.fp2", "x.n2")
         pairs = near.select(F.least("tk", "tk2").alias("x"), F.greatest("tk", "tk2").alias("y"), F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"), (F.col("n") + F.col("n2")).alias("n")).distinct()
         bits = lambda key, name: own.select(F.col("tk").alias(key), F.col("bits").alias(name))
         rows = pairs.join(bits("x", "s"), "x").join(bits("y", "t"), "y").select("x", "y", "a", "b", "n", "s", "t")
@@ -199,4 +209,4 @@ def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -
         root_free = members.drop("root")
         root_free.stored_at = members.stored_at
         members = root_free
-    return edges
+        turn += 1
