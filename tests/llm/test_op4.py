@@ -2,6 +2,7 @@ import html
 import re
 
 import numpy as np
+import pytest
 
 from trawl.llm import op4_html as ex
 
@@ -93,3 +94,24 @@ def test_time_is_linear_in_nesting():
         assert ex.main_text(page)
         took.append(time.process_time() - began)
     assert took[1] < 12 * took[0] + 0.5
+
+
+_ARTICLE = "<html><body><div><article><h1>Title of it</h1><p>" + "Some words of prose here. " * 12 + "</p>{}<p>" + "And more words of prose there. " * 12 + "</p></article></div></body></html>"
+
+
+@pytest.mark.parametrize(
+    "part,kept",
+    [
+        ('<ul><li><a href="x">Short ref A</a></li><li><a>Short ref B</a></li></ul>', "Short ref A\nShort ref B"),
+        ("<p>Let <math><mi>x</mi></math> be given.</p>", "Let x be given."),
+        ('<section id="search-algorithms"><p>' + "Algorithms of search are old. " * 12 + "</p></section>", ("Algorithms of search are old. " * 12).strip()),
+        ('<div class="related-work"><h2>Others</h2><p>' + "It was done before by many. " * 12 + "</p></div>", "Others\n" + ("It was done before by many. " * 12).strip()),
+        ('<div class="share"><a>Share</a> this page now</div>', None),
+        ('<div class="ad"><p>Buy this thing of ours today.</p></div>', None),
+        ('<div class="comments"><p>' + "I like this very much, thanks. " * 12 + "</p></div>", None),
+    ],
+)
+def test_long_prose_outvotes_words_of_a_class(part, kept):
+    lines = ex.main_text(_ARTICLE.format(part)).split("\n")
+    want = [] if kept is None else kept.split("\n")
+    assert lines == ["Title of it", ("Some words of prose here. " * 12).strip(), *want, ("And more words of prose there. " * 12).strip()]

@@ -2,9 +2,10 @@
 
 The standard library's parser reports tags and text in page order; nothing is built but a
 list of lines, one for each block of text, and the parent of each element. A line's
-text-to-tag ratio is its characters over the tags met in it. What is known of tags only
-weighs the ratio: 0 in menus, footers, forms and the like and for lists of links, more inside
-an article. Ratios are smoothed with a Gaussian over neighbouring lines. Lines whose own and
+text-to-tag ratio is its characters over the tags met in it. What is known of tags weighs
+the ratio: 0 in menus, footers, forms, comments and the like and for lists of links outside an
+article, more inside an article. Words in a class or id weigh it to 0, too, unless the element
+they stand on holds long prose, which outvotes them. Ratios are smoothed with a Gaussian over neighbouring lines. Lines whose own and
 smoothed ratio are above a threshold (a share of the smoothed ratios' standard deviation)
 cluster into regions, and the regions of most mass give the text: their lines of any positive
 ratio, and such lines beside them in the same innermost element that holds the whole region
@@ -34,12 +35,13 @@ from trawl.llm.common import slices, table
 SIGMA = 1.0
 RADIUS = 2
 THRESHOLD = 0.5  # of the standard deviation of the smoothed ratios
+LONG_LINE, PROSE = 140, 280  # characters of a line of prose, and of such lines that outvote a hint
 LEAST_MASS = 0.25  # of the largest region's mass
 IN_ARTICLE = 4.0  # weight of a line inside an article
 PAGE_DEPTH = 2  # of the body element, below html
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video select option datalist textarea button".split())
+SILENT = frozenset("script style noscript template svg head title iframe object canvas audio video select option datalist textarea button".split())
 PAGE = frozenset("nav footer aside form menu dialog fieldset".split())
 BLOCKS = frozenset("html body article main section div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 header hgroup footer nav aside form fieldset table caption thead tbody tfoot tr td th blockquote pre figure figcaption address details summary hr menu dialog center noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,6 +68,7 @@ class Line(NamedTuple):
     ratio: float
     element: int
     shared: int
+    hint: int  # the outermost element around it that class or id words mark, or -1
 
 
 class Lines(HTMLParser):
@@ -78,7 +81,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.depth, self.parent, self.name = [0], [-1], [""]  # element 0 is the page
-        self.beside, self.comment, self.article = [False], [False], [False]
+        self.beside, self.comment, self.article, self.hint = [False], [False], [False], [-1]
         self.stack = [0]
         self.places: dict[str, list[int]] = {}  # depths of the open elements of a name
         self.blocks = [0]  # depths of the open blocks
@@ -92,10 +95,9 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.pieces).split())
         if text:
             e = self.home
-            in_list = len(text) < 25 and (self.name[e] == "li" or self.name[self.parent[e]] == "li")
-            links = self.linked > 0.6 * self.size and (not self.article[e] or in_list)
+            links = self.linked > 0.6 * self.size and not self.article[e]
             weight = 0.0 if self.beside[e] or links else IN_ARTICLE if self.article[e] else 1.0
-            self.lines.append(Line(text, weight * len(text) / max(1, self.tags), e, self._shared(e)))
+            self.lines.append(Line(text, weight * len(text) / max(1, self.tags), e, self._shared(e), self.hint[e]))
         self.tags = 0 if text else min(self.tags, 4)
         self.pieces, self.linked, self.size = [], 0, 0
 
@@ -128,14 +130,14 @@ class Lines(HTMLParser):
         self.tags += 1
         top = self.stack[-1]
         inside = self.article[top]
-        off, comment = tag in PAGE or (tag == "header" and not inside), False
+        off, comment, hinted = tag in PAGE or (tag == "header" and not inside), False, False
         for name, value in attrs:
             value = value or ""
             if name in ("class", "id"):
                 if tag not in ("html", "body", "main"):
                     words = {w.lower() for w in _WORD.findall(value)}
                     comment |= bool(words & COMMENTS)
-                    off |= bool(words & HINTS)
+                    hinted |= bool(words & HINTS)
             elif name == "role":
                 off |= value.strip().lower() in ROLES
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
@@ -147,6 +149,7 @@ class Lines(HTMLParser):
             article = True
             # The first one cannot lie in a part beside the text: that was left open.
             off &= bool(self.articles) and not inside
+            hinted &= bool(self.articles) and not inside
             self.articles += 1
         me = len(self.parent)
         self.parent.append(top)
@@ -155,6 +158,7 @@ class Lines(HTMLParser):
         self.beside.append(off)
         self.comment.append(comment)
         self.article.append(article)
+        self.hint.append(self.hint[top] if self.hint[top] >= 0 and (self.articles > 1 or article == inside) else me if hinted else -1)
         self.places.setdefault(tag, []).append(len(self.stack))
         if tag in BLOCKS:
             self.blocks.append(len(self.stack))
@@ -198,6 +202,15 @@ class Lines(HTMLParser):
         self.linked += linked * len(data)
 
 
+def weighed(lines: list[Line]) -> list[Line]:
+    """Lines of marked elements without long prose have ratio 0."""
+    prose: dict[int, int] = {}
+    for x in lines:
+        if x.hint >= 0 and x.ratio > 0 and len(x.text) >= LONG_LINE:
+            prose[x.hint] = prose.get(x.hint, 0) + len(x.text)
+    return [x._replace(ratio=0.0) if x.hint >= 0 and prose.get(x.hint, 0) < PROSE else x for x in lines]
+
+
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
     weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     mass = np.convolve(np.ones(len(ratios)), weights, "full")[radius:-radius]
@@ -250,7 +263,8 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return "\n".join(line.text for line, yes in zip(parser.lines, regions(parser.lines), strict=True) if yes)
+    lines = weighed(parser.lines)
+    return "\n".join(line.text for line, yes in zip(lines, regions(lines), strict=True) if yes)
 
 
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
