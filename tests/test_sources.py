@@ -60,17 +60,6 @@ def test_index_with_status(spark):
     assert {(r.document_id, r.status, len(r.error_message or "")) for r in status.collect()} == {("a", 1, 0), ("b", 2, 32), ("d", 2, 2000)}
 
 
-def test_rebuild_replaces_only_its_version(spark, tmp_path):
-    path = f"file://{tmp_path}/i"
-    rows = documents(spark, [("a", "k", "text", "one", 1, 1), ("b", "m", "text", "two", 1, 1), ("c", "k", "text", "three", 2, 1)])
-    indexing.rebuild(rows, path, "v2")
-    indexing.rebuild(rows.filter("kb_id = 'k'").withColumn("content", F.lit("new")), path, "v2")
-    indexing.rebuild(rows, path, "v1")
-    got = {(r.kb_id, r.index_version, r.content) for r in spark.read.parquet(f"{path}/chunks").collect()}
-    assert got == {("k", "v2", "new"), ("m", "v2", "two"), ("k", "v1", "one"), ("m", "v1", "two")}
-    assert {r.term for r in spark.read.parquet(f"{path}/postings").filter("kb_id = 'k' AND index_version = 'v2' AND field = 'retrieval_text'").collect()} >= {"new"}
-
-
 def test_embedder_is_checked(spark):
     import pytest
 

@@ -44,7 +44,7 @@ def references(chunks: DataFrame) -> DataFrame:
 
 
 def match_targets(refs: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Candidate chunks of each reference.
+    """How many candidate chunks each reference has, and the least of them.
 
     References are matched once per distinct (title, heading). With a title the join is an equi
     join; a bare heading is looked up among the suffixes of heading paths, an equi join too.
@@ -60,21 +60,27 @@ def match_targets(refs: DataFrame, chunks: DataFrame, documents: DataFrame) -> D
     many = wanted.filter(has_t & ~has_h).join(firsts.select(*SCOPE, "t"), [*SCOPE, "t"], "left_anti").join(heads.select(*SCOPE, "t", "chunk_id"), [*SCOPE, "t"])
     # The first chunk of a section whose path ends with the heading; all its chunks share the path.
     both = wanted.filter(has_t & has_h).join(heads.select(*SCOPE, "t", "path", "chunk_id"), [*SCOPE, "t"]).filter(F.col("path").endswith(F.col("h")))
-    tails = heads.select(*SCOPE, "chunk_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("path"), F.lit(1))), lambda i: F.substring(F.col("path"), i, F.lit(1 << 30)))).alias("h"))
-    only_h = wanted.filter(~has_t & has_h).join(tails.join(wanted.select("h").distinct(), "h", "left_semi"), [*SCOPE, "h"])
-    free = wanted.filter(~has_t & ~has_h).join(heads.select(*SCOPE, "chunk_id"), SCOPE)
+    # A bare heading meets only the ends of paths that are as long as some wanted heading of its
+    # scope: a path gives as many keys as there are such lengths.
+    bare = wanted.filter(~has_t & has_h)
+    sizes = bare.select(*SCOPE, F.length("h").alias("size")).groupBy(SCOPE).agg(F.collect_set("size").alias("sizes"))
+    ends = heads.join(sizes, SCOPE).select(*SCOPE, "chunk_id", "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("size"))
+    only_h = bare.join(ends.select(*SCOPE, "chunk_id", F.expr("right(path, size)").alias("h")), [*SCOPE, "h"])
     cols = [*SCOPE, "t", "h", "chunk_id"]
     out = one.select(cols)
-    for part in (many, both, only_h, free):
+    for part in (many, both, only_h):
         out = out.unionByName(part.select(cols))
-    return out
+    found = out.groupBy(*SCOPE, "t", "h").agg(F.count(F.lit(1)).alias("candidates"), F.min("chunk_id").alias("target_chunk_id"))
+    # A reference that names nothing has all heads of its scope as candidates: only counted.
+    free = wanted.filter(~has_t & ~has_h).join(heads.groupBy(SCOPE).agg(F.count(F.lit(1)).alias("candidates"), F.min("chunk_id").alias("target_chunk_id")), SCOPE)
+    return found.unionByName(free.select(found.columns))
 
 
 def resolve_references(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Each reference with the number of its candidates and one of them."""
     refs = references(chunks.join(documents.filter("status = 1").select("document_id"), "document_id", "left_semi"))
     key = [*SCOPE, "t", "h"]
-    found = match_targets(refs, chunks, documents).groupBy(*key).agg(F.count(F.lit(1)).alias("candidates"), F.min("chunk_id").alias("target_chunk_id"))
+    found = match_targets(refs, chunks, documents)
     return refs.join(found, key, "left").select(*refs.columns, F.coalesce("candidates", F.lit(0)).alias("candidates"), "target_chunk_id")
 
 
@@ -136,6 +142,23 @@ def relations(anchors: DataFrame, chunks: DataFrame, edges: DataFrame, limit: in
     return rows.withColumn("place", F.row_number().over(order))
 
 
+def adjacency(chunks: DataFrame, edges: DataFrame, limit: int = PER_SEED) -> DataFrame:
+    """E9 for every chunk, to be stored with a version: a row for each neighbour of ``anchor``."""
+    anchors = chunks.withColumn("anchor_key", F.struct(*SCOPE, "chunk_id", "document_id"))
+    rows = relations(anchors, chunks, edges, limit)
+    return rows.select(*[F.col(f"anchor_key.{c}").alias(c) for c in SCOPE], F.col("anchor_key.chunk_id").alias("anchor"), F.col("anchor_key.document_id").alias("anchor_document"), "chunk_id", "document_id", "relation", "order_index", "place")
+
+
+def stored_relations(anchors: DataFrame, chunks: DataFrame, adjacent: DataFrame) -> DataFrame:
+    """E9 from a stored ``adjacency``: as ``relations``, by one join to the anchors' neighbours
+    and one to these neighbours' rows."""
+    a = anchors.select("anchor_key", *SCOPE, F.col("chunk_id").alias("anchor"))
+    found = a.join(adjacent.select(*SCOPE, "anchor", "chunk_id", "relation", "place"), [*SCOPE, "anchor"]).drop("anchor")
+    c = chunks.select(*SCOPE, "document_id", "chunk_id", "section_id", "order_index", "content", "title", "heading_path", "chunk_type")
+    priority = F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("relation"))
+    return found.join(c, [*SCOPE, "chunk_id"]).select("anchor_key", *c.columns, "relation", priority.alias("priority"), "place")
+
+
 def inject(seeds: DataFrame, related: DataFrame, cap: int | None = None) -> DataFrame:
     """Graph candidates of each query from its first 10 seeds.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.text import reference_texts, text_list
 from trawl.operators import chunking
-from trawl.plans import indexing
+from trawl.plans import indexing, snapshots
 from trawl.plans import tables as t
 from trawl.sources import files, html
 from trawl.sources.shared import folder
@@ -181,7 +181,24 @@ def c3(spark, d):
 @query("c5_rebuild")
 def c5(spark, d):
     rows = t.frame(spark, d, "documents").withColumn("source_type", F.lit("text"))
-    return indexing.rebuild(rows, folder(spark) + "/index", "v2")
+    return snapshots.rebuild(rows, folder(spark, "index"), "v2").select("kb_id", "documents", "chunks", "relations", "status")
+
+
+# A first rebuild of everything; then bases of an even name length fail wholly, some documents of
+# the others are deleted, and the former are rebuilt: nothing of them may be left to read.
+_EVEN, _GONE, _SOLID = "length(kb_id) % 2 = 0", "doc_id % 9 = 0", "trim(content, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''"
+
+
+@query("c5_snapshots", f"""SELECT kb_id, 'ready' AS status, count(*) FILTER (WHERE status = 1 AND NOT ({_EVEN})) AS documents, count(*) FILTER (WHERE status = 1 AND NOT ({_EVEN}) AND NOT ({_GONE}) AND {_SOLID}) AS seen
+FROM {t.sql('documents')} GROUP BY kb_id""")
+def c5_snapshots(spark, d):
+    rows, path = t.frame(spark, d, "documents").withColumn("source_type", F.lit("text")), folder(spark, "index")
+    snapshots.rebuild(rows, path, "v2")
+    store = snapshots.Store(spark, path)
+    store.delete(rows.filter(_GONE).select("kb_id", "document_id"))
+    snapshots.rebuild(rows.filter(_EVEN).withColumn("status", F.lit(2)), path, "v2")
+    seen = store.table("chunks").groupBy("kb_id").agg(F.countDistinct("document_id").alias("seen"))
+    return store.versions().join(seen, "kb_id", "left").select("kb_id", "status", "documents", F.coalesce("seen", F.lit(0)).alias("seen"))
 
 
 # --- J: the events table as a stream -----------------------------------------------------------------------

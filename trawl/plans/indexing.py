@@ -1,4 +1,4 @@
-"""Indexing jobs: split, embed, write by version."""
+"""Indexing jobs: split and embed."""
 
 from __future__ import annotations
 
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.functions.text import retrieval_text
-from trawl.operators.admin import PROCESSING, SUCCESS, next_status
+from trawl.operators.admin import PROCESSING, next_status
 from trawl.operators.chunking import split_documents
-from trawl.operators.keyword import postings, statistics, tokens
+from trawl.operators.keyword import tokens
 
 DIMENSION = 64
 BATCH = 20
@@ -70,26 +70,3 @@ def index_with_status(documents: DataFrame, errors: DataFrame, **options) -> tup
     chunks = index_documents(todo, **options)
     produced = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
     return chunks, next_status(documents, produced, errors)
-
-
-def rebuild(documents: DataFrame, path: str, version: str, **options) -> DataFrame:
-    """Writes a base's successful documents as a new version: chunks by (kb_id,
-    index_version) and their postings. Only that version's folders are replaced; it is published
-    by activating it afterwards, so readers never see half of it. Returns counts per base."""
-    chunks = index_documents(documents.filter(F.col("status") == SUCCESS), version, **options)
-    write_chunks(chunks, path)
-    own = chunks.sparkSession.read.parquet(f"{path}/chunks").filter(F.col("index_version") == version)
-    return own.groupBy("kb_id").agg(F.countDistinct("document_id").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.lit("ready").alias("status"))
-
-
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """The chunk table, its postings, and their statistics by base (field, n, total)."""
-    save = lambda rows, name: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb_id", "index_version").parquet(f"{path}/{name}")
-    spark = chunks.sparkSession
-    chunks.write.mode("overwrite").parquet(f"{path}/incoming")  # split and embedded once
-    incoming = spark.read.schema(chunks.schema).parquet(f"{path}/incoming")
-    save(incoming, "chunks")
-    fields = {"retrieval_text": "retrieval_text", "title": "title"}
-    save(postings(incoming, **fields), "postings")
-    by_base = statistics(incoming, by_base=True, **fields)
-    save(by_base, "statistics")

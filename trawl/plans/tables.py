@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.operators import blocks
+from trawl.operators import graph as relations
 from trawl.sources import shared
 
 TABLES = {
@@ -66,6 +67,21 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return chunks, documents
 
 
+#: Indexes written by this driver: application and tables -> path.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored adjacency of the chunk graph: written by the first query, read by all."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} graph")
+    path = _INDEXES.get(key)
+    if path is None or not shared.exists(spark, f"{path}/_SUCCESS"):
+        path = _INDEXES[key] = shared.folder(spark, "adjacency")
+        chunks, documents = graph(spark, sf_dir)
+        relations.adjacency(chunks, relations.build_relations(relations.resolve_references(chunks, documents))).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 # Markdown text from conversations: a heading, then text, a table, a fence or a rule to each turn.
 _LINE = (
     "CASE WHEN turn % 5 = 3 THEN concat('| who | what |', {nl}, '| --- | --- |', {nl}, '| ', role, ' | ', conv_id, ' |', {nl}, {nl}, content) "
@@ -107,10 +123,6 @@ SEARCH_CHUNKS = f"(SELECT c.*, e.embedding FROM {sql('text_chunks')} c LEFT JOIN
 SEARCH_QUERIES = f"(SELECT q.*, e.embedding AS query_vector FROM {sql('search_queries')} q JOIN embeddings e ON e.vec_id = 7 * q.item_id)"
 
 
-#: Indexes written by this driver: application and tables -> path.
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
 def text_index(spark: SparkSession, sf_dir: str) -> blocks.BlockIndex:
     """The stored keyword index of ``text_chunks``: written by the first search, read by all."""
     key = (spark.sparkContext.applicationId, sf_dir)
