@@ -94,9 +94,13 @@ def c6(spark, d):
     return admin.activate(versions(spark, d), version_requests(spark, d)).select("kb_id", "version", "status")
 
 
-@query("c6_version_conflicts", f"SELECT kb_id, count(*) AS n FROM {_V} WHERE status IN ('active') GROUP BY kb_id HAVING count(*) > 1")
+# Some bases have one active version too many.
+_TWICE = "CASE WHEN (length(kb_id) + ascii(substr(version, 2))) % 2 = 0 THEN 'active' ELSE status END"
+
+
+@query("c6_version_conflicts", f"SELECT kb_id, count(*) AS n FROM (SELECT kb_id, {_TWICE} AS status FROM {_V}) WHERE status = 'active' GROUP BY kb_id HAVING count(*) > 1")
 def c6_conflicts(spark, d):
-    return admin.version_conflicts(versions(spark, d))
+    return admin.version_conflicts(versions(spark, d).selectExpr("kb_id", f"{_TWICE} AS status"))
 
 
 @query("c7_list_versions", f"""SELECT v.kb_id, v.version, coalesce(documents, 0) AS documents, coalesce(chunks, 0) AS chunks, row_number() OVER (PARTITION BY v.kb_id ORDER BY created_at DESC, v.version DESC) AS place

@@ -354,10 +354,14 @@ def i20(spark, d):
     return _rounded(ev.low_recall(runs(spark, d)), ["mean_context_recall", "mean_context_precision"])
 
 
-@query("i21_pending_scores", f"SELECT case_id FROM {_RUNS} WHERE \"group\" = 'baseline' AND error IS NULL AND (context_recall IS NULL OR context_precision IS NULL)")
+# An earlier attempt scored cases in part: of every third one a metric is missing.
+_PARTLY = "CASE WHEN doc_id % 3 > 0 THEN context_recall END"
+
+
+@query("i21_pending_scores", f"SELECT case_id FROM (SELECT *, {_PARTLY} AS scored FROM {_RUNS}) WHERE \"group\" = 'baseline' AND error IS NULL AND (scored IS NULL OR context_precision IS NULL)")
 def i21(spark, d):
     rows = runs(spark, d).filter("`group` = 'baseline'")
-    return ev.pending_scores(rows, rows).select("case_id")
+    return ev.pending_scores(rows, rows.withColumn("context_recall", F.expr(_PARTLY))).select("case_id")
 
 
 @query("i21_resume_scores", f"SELECT case_id, CASE WHEN doc_id % 2 = 0 THEN 1.0::DOUBLE ELSE context_recall END AS context_recall, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE context_precision END AS context_precision FROM {_RUNS} WHERE \"group\" = 'baseline'")
@@ -376,7 +380,9 @@ def i22(spark, d):
     return ev.diff_paths(left, right, rows.filter("doc_id % 4 > 0").selectExpr("run_id", "'search.top_k' AS path"))
 
 
-@query("i23_fingerprints")
+# Equal fingerprints are those of equal lists, so the lists themselves can be counted.
+@query("i23_fingerprints", f"""SELECT case_id, count(DISTINCT listed) AS different FROM (SELECT concat('case', CAST(floor(doc_id / 20) AS BIGINT)) AS case_id, string_agg(concat(doc_id, ' ', CASE WHEN doc_id % 50 = 7 THEN config ELSE 'same' END), ',' ORDER BY doc_id) AS listed
+FROM {_RUNS} GROUP BY "group", CAST(floor(doc_id / 20) AS BIGINT)) GROUP BY case_id""")
 def i23(spark, d):
     rows = runs(spark, d).selectExpr("`group`", "concat('case', CAST(floor(doc_id / 20) AS BIGINT)) AS case_id", "doc_id AS pos", "concat('c', doc_id) AS chunk_id", "CASE WHEN doc_id % 50 = 7 THEN config ELSE 'same' END AS content")
     found = ev.fingerprints(rows)

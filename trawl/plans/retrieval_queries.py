@@ -246,7 +246,9 @@ def d14(spark, d):
     return fusion.filter_candidates(candidates(spark, d))
 
 
-@query("d14_filter_reasons")
+@query("d14_filter_reasons", f"""WITH n AS (SELECT query_id, reason, count(*) AS n FROM {_DECIDED} GROUP BY ALL)
+SELECT query_id, sum(n)::BIGINT AS before, coalesce(sum(n) FILTER (WHERE reason IS NULL), 0)::BIGINT AS after,
+concat('{{', coalesce(string_agg(concat('"', reason, '":', n), ',' ORDER BY reason) FILTER (WHERE reason IS NOT NULL), ''), '}}') AS reasons FROM n GROUP BY query_id""")
 def d14_reasons(spark, d):
     found = fusion.filter_reasons(fusion.filter_candidates(candidates(spark, d)))
     return found.select("query_id", "before", "after", F.to_json("reasons").alias("reasons"))
@@ -430,7 +432,7 @@ def g7(spark, d):
     return t.frame(spark, d, "turns").select("conv_id", "turn", query_text.request_query_problem(F.col("content")).alias("problem"))
 
 
-@query("g2_synonym_settings")
+@query("g2_synonym_settings", f"SELECT query_id AS kb_id, 0 AS pos, unnest(CASE item_id % 3 WHEN 1 THEN ['terms'] WHEN 2 THEN ['terms', 'expand'] ELSE [] END) AS rule FROM {t.sql('keyword_queries')}")
 def g2(spark, d):
     rows = t.frame(spark, d, "keyword_queries").selectExpr("query_id AS kb_id", "CASE item_id % 3 WHEN 0 THEN '{\"synonyms\": [{\"terms\": [\"a\"], \"expand\": [\"b\"]}]}' WHEN 1 THEN '{\"synonyms\": [{\"terms\": [], \"expand\": [\"b\"]}]}' ELSE '{\"synonyms\": [{\"terms\": [\"a\", \" \"], \"expand\": null}]}' END AS settings")
     return query_text.settings_violations(rows)
