@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.operators import blocks, extensions, fusion, keyword, query_text, rerank, vector
+from trawl.operators import blocks, extensions, fusion, keyword, pivots, query_text, rerank, vector
 from trawl.plans import tables as t
 
 QUERIES: dict = {}
@@ -47,6 +47,12 @@ def d1(spark, d):
     return vector_hits(spark, d).select("query_id", "kb_id", "index_version", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("d1_cosine_pivots", f"SELECT query_id, kb_id, index_version, chunk_id, round(score, 6) AS score, rank FROM {VECTOR}")
+def d1_pivots(spark, d):
+    found = pivots.pivot_top_k(t.frame(spark, d, "vector_queries"), t.vector_scope(spark, d).drop("tenant_id"), t.vector_index(spark, d), 20)
+    return found.select("query_id", "kb_id", "index_version", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("d1_cosine_topk_blocks", f"""SELECT query_id, kb_id, chunk_id, round(score, 6) AS score, rank FROM {_top(f"SELECT q.query_id, c.kb_id, c.chunk_id, {_COS} AS score FROM {t.sql('chunks')} c, {t.sql('vector_queries')} q", 10)}""")
 def d1_blocks(spark, d):
     found = vector.cosine_top_k_blocks(t.frame(spark, d, "vector_queries"), t.frame(spark, d, "chunks"), 10)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.operators import blocks
+from trawl.operators import blocks, pivots
 from trawl.operators import graph as relations
 from trawl.sources import shared
 
@@ -133,6 +133,16 @@ def text_index(spark: SparkSession, sf_dir: str) -> blocks.BlockIndex:
     return blocks.BlockIndex(spark, path)
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> pivots.VectorIndex:
+    """The stored vector index of ``chunks``: written by the first search, read by all."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} vectors")
+    path = _INDEXES.get(key)
+    if path is None or not shared.exists(spark, f"{path}/blocks/_SUCCESS"):
+        path = _INDEXES[key] = shared.folder(spark, "vector-index")
+        return pivots.write_vectors(frame(spark, sf_dir, "chunks"), path)
+    return pivots.VectorIndex(spark, path)
+
+
 def keyword_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each keyword query may see two of the sources, chosen by its number."""
     pairs = frame(spark, sf_dir, "keyword_queries").selectExpr("query_id", "explode(array(item_id % 20, (item_id + 7) % 20)) AS b")
