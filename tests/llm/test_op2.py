@@ -119,3 +119,12 @@ def test_samples_are_bounded_and_do_not_hang_on_partitions(spark):
     assert got == sorted(map(tuple, sample_ids(rows.repartition(7), "lang", 100).collect()))
     sizes = {x: sum(1 for _, y in got if y == x) for x in "abc"}
     assert all(50 < n < 150 for n in sizes.values()) and len(got) == len(set(got)) == sum(sizes.values())
+
+
+def test_sample_knows_no_most_frequent_labels(spark):
+    from trawl.llm.common import sample_ids
+
+    rows = spark.range(0, 4000).selectExpr("id AS doc_id", "concat('l', id % 400) AS lang")
+    assert sample_ids(rows, "lang", 8).select("lang").distinct().count() > 390
+    few = sample_ids(rows, "lang", 8, in_all=800).collect()
+    assert len({r.lang for r in few}) > 300 and len(few) < 1200

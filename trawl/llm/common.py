@@ -162,18 +162,21 @@ def attach(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.join(decisions, on).drop(*on)
 
 
-#: Labels that a sample tells apart, the most frequent ones.
-LABELS = 256
+#: Documents that a sample wants in all, whatever the number of labels.
+IN_ALL = 100_000
 
 
-def sample_ids(rows: DataFrame, label: str, per_label: int, labels: int = LABELS) -> DataFrame:
-    """About ``per_label`` different (doc_id, label) of each of the most frequent ``labels``.
+def sample_ids(rows: DataFrame, label: str, per_label: int, in_all: int = IN_ALL) -> DataFrame:
+    """About ``per_label`` different (doc_id, label) of each label, or fewer of each where there
+    are so many labels that ``in_all`` would be passed.
 
     A pair is chosen if its hash is below the share of its label that is wanted, so no task
-    meets all rows of a label; at most twice the number in all are kept, of least hash.
+    meets all rows of a label; at most twice the number in all are kept, of least hash. The
+    driver holds a row for each label.
     """
     pairs = stored(rows.select("doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).distinct(), "label-ids")
-    counts = pairs.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(labels).collect()
+    counts = pairs.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
+    per_label = max(1, min(per_label, in_all // max(1, len(counts))))
     bounds = [(r[label], min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, per_label / r.n)))) for r in counts]
     spark = rows.sparkSession
     shares = spark.createDataFrame(bounds, T.StructType([T.StructField(label, pairs.schema[label].dataType), T.StructField("most", T.LongType())]))
