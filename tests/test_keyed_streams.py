@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trawl.streaming import admission, limits, retries
+from trawl.streaming import admission, limits, records, retries
 
 _REQUESTS = "event_id long, ts timestamp, tenant_id long, success boolean"
 _START = dt.datetime(2024, 3, 1, 23, 59, 40, tzinfo=dt.UTC)
@@ -133,3 +133,23 @@ def test_attempts_are_counted_apart_from_their_batch(spark, tmp_path):
     assert state()["d"] == (2, "INDEXED", None) and state()["a"] == (1, "INDEXED", None)
     kept = spark.read.parquet(f"{tmp_path}/documents").filter("status = 'INDEXED'").groupBy("document_id").agg(F.max("version.updated_at").alias("v"))
     assert {r.document_id: r.v for r in kept.collect()}["d"] == 2
+
+
+_EVENTS = "log_id long, stage string, payload string, ts timestamp, last boolean"
+
+
+def test_one_record_for_each_request(spark, tmp_path):
+    def feed_events(rows):
+        spark.createDataFrame(rows, _EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(_EVENTS).parquet(f"{tmp_path}/in")
+        records.run_records(stream, f"{tmp_path}/out", f"{tmp_path}/cp", late="10 seconds", idle_ms=60_000, remember_ms=600_000).awaitTermination()
+        return sorted((r.log_id, tuple(r.stages), tuple(r.payloads), r.finished) for r in spark.read.schema(records.RECORDS).parquet(f"{tmp_path}/out").collect())
+
+    assert feed_events([(1, "search", "a", at(0), False), (1, "search", "b", at(2), False), (2, "search", "x", at(1), False), (3, "search", "y", at(1), False)]) == []
+    # 1 ends, with a repeated event behind it; 2 goes on; 3 says nothing more.
+    first = [(1, ("end", "search"), ("ok", "b"), True)]
+    assert feed_events([(1, "end", "ok", at(5), True), (1, "search", "late", at(6), False), (2, "rank", "z", at(40), False)]) == first
+    third = (3, ("search",), ("y",), False)
+    assert feed_events([(1, "search", "again", at(50), False), (4, "search", "w", at(90), False)]) == [*first, third]
+    assert feed_events([(5, "search", "v", at(95), False)]) == [*first, third]
+    assert feed_events([(2, "end", "ok", at(98), True), (3, "end", "too late", at(98), True)]) == [first[0], (2, ("end", "rank", "search"), ("ok", "z", "x"), True), third]

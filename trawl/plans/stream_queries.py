@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trawl.plans import tables as t
 from trawl.plans.admin_queries import SQL as ADMIN_SQL
 from trawl.sources.shared import folder
-from trawl.streaming import admission, retries
+from trawl.streaming import admission, records, retries
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,19 @@ def j2_attempts(spark, d):
     stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
     retries.index_with_retries(stream, path, f"{path}/checkpoint", _faulty, wait_seconds=0)
     return retries.attempts(spark.read.parquet(f"{path}/documents")).select("document_id", "attempts", "status", "message")
+
+
+# The last event of every four ends its request; what comes later than it is left out.
+_STAGES = f"(SELECT event_id, floor(event_id / 4)::BIGINT AS log_id, event_type AS stage, ts, event_id % 4 = 3 AS last FROM {t.sql('requests')})"
+
+
+@query("j7_stream_records", f"""SELECT s.log_id, count(DISTINCT s.stage) AS stages, min(s.ts) AS began, max(s.ts) AS ended
+FROM {_STAGES} s JOIN (SELECT log_id, ts FROM {_STAGES} WHERE last) e ON e.log_id = s.log_id WHERE s.ts <= e.ts GROUP BY s.log_id""")
+def j7_stream_records(spark, d):
+    path = folder(spark)
+    events = requests(spark, d).selectExpr("CAST(floor(event_id / 4) AS BIGINT) AS log_id", "event_type AS stage", "'ok' AS payload", "ts", "event_id % 4 = 3 AS last")
+    # A request's events lie anywhere in the month, so none counts as idle before its last one.
+    run = lambda stream: records.run_records(stream, f"{path}/records", f"{path}/checkpoint", idle_ms=400 * 86_400_000)
+    replayed(events, f"{path}/events", run)
+    found = spark.read.schema(records.RECORDS).parquet(f"{path}/records")
+    return found.select("log_id", F.size("stages").cast("long").alias("stages"), F.col("began").cast("timestamp_ntz").alias("began"), F.col("ended").cast("timestamp_ntz").alias("ended"))
