@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline as pipeline
 from tests.llm.test_op3 import slow_fingerprint
 from tests.llm.test_op6_op7 import dropped
+from trawl.llm import jaccard
 from trawl.llm.op2_language import SampleSize, keep_recognised
 from trawl.llm.tokens import default_path
 
@@ -204,3 +205,18 @@ def test_parities_never_part_similar_sets():
         other = np.unique(rng.integers(-(2**62), 2**62, n))
         if n >= 500:  # sets without a shingle in common are told apart at any size
             assert 9 * jaccard.differing([jaccard.parities(x)], [jaccard.parities(other)])[0] > len(x) + len(other)
+
+
+def test_prefixes_of_similar_sets_share_enough(spark):
+    rng = np.random.default_rng(8)
+    order, rows = jaccard.Order(np.empty(0, np.int64)), []
+    for _ in range(400):
+        n = int(rng.integers(1, 120))
+        x = np.unique(rng.integers(0, 10**6, n))
+        gone, new = rng.integers(0, 1 + len(x) // 8), rng.integers(0, 1 + len(x) // 8)
+        y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(10**6, 2 * 10**6, new)]))
+        if len(y) and jaccard.similar(x, y):
+            p, q = order.prefixes([x, y])
+            rows.append((len(x), len(y), len(np.intersect1d(p, q))))
+    df = spark.createDataFrame(rows, "n long, m long, shared long")
+    assert len(rows) > 200 and df.filter(~jaccard._enough(df.n, df.m, df.shared)).count() == 0

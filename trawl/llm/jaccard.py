@@ -1,7 +1,7 @@
 """Exact joins of texts by the Jaccard similarity of their shingle sets, 0.8 or more.
 
 Prefix filter: with all shingles in one total order, two sets of that similarity share one
-within the first n - ceil(0.8 n) + 1 of each. Any order is right; here shingles that many
+within the first n - ceil(0.8 n) + 1 of each, and large sets share several there. Any order is right; here shingles that many
 texts of a sample hold come last, the others go by their hash. Texts that share such a shingle
 and are of fitting sizes are candidates. A set's parities (of the number of its shingles in each of BITMAP
 places) differ in at most as many places as two sets differ in shingles, so most candidates go
@@ -161,6 +161,16 @@ def _fits(n: Column, m: Column) -> Column:
     return 5 * F.least(n, m) >= 4 * F.greatest(n, m)
 
 
+def _enough(n: Column, m: Column, shared: Column) -> Column:
+    """Whether prefixes of sets of these sizes share as many shingles as those of similar sets.
+
+    Similar sets have 4 (n + m) / 9 shingles in common, and of these no more lie behind either
+    prefix than the larger rest has, since both sets are in one order.
+    """
+    rest = F.greatest(F.ceil(4 * n / 5), F.ceil(4 * m / 5)) - 1
+    return 9 * (shared + rest) >= 4 * (n + m)
+
+
 def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """``edges`` (a, b), components of fingerprints, after linking those of similar texts."""
     own = stored(marks.filter("n > 0").select("tk", "_id", "_th", "fp", "n", "bits").dropDuplicates(["tk"]), "texts")
@@ -186,10 +196,10 @@ def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -
             lead = F.struct(F.xxhash64("tk2", F.lit(turn)).alias("h"), "tk2", "fp2", "n2", "root2")
             other = other.groupBy("token").agg(F.min(lead).alias("x")).select("token", "x.tk2", "x.fp2", "x.n2", "x.root2")
         near = members.join(other, "token").filter(F.col("root") != F.col("root2")).filter(_fits(F.col("n"), F.col("n2")))
-        if last:
-            near = near.filter("tk < tk2")
+        by = ["tk", "fp", "n", "tk2", "fp2", "n2"]
+        if last:  # here a pair meets in all shingles that both prefixes hold
+            near = near.filter("tk < tk2").groupBy(by).agg(F.count(F.lit(1)).alias("shared")).filter(_enough(F.col("n"), F.col("n2"), F.col("shared")))
         else:
-            by = ["tk", "fp", "n", "tk2", "fp2", "n2"]
             most = near.groupBy(by).agg(F.count(F.lit(1)).alias("shared")).groupBy("tk", "fp", "n").agg(F.max(F.struct("shared", "tk2", "fp2", "n2")).alias("x"))
             near = most.select("tk", "fp", "n", "x.tk2", "x.fp2", "x.n2")
         pairs = near.select(F.least("tk", "tk2").alias("x"), F.greatest("tk", "tk2").alias("y"), F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"), (F.col("n") + F.col("n2")).alias("n")).distinct()
