@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tests.llm.test_op3 import slow_fingerprint
@@ -184,8 +185,10 @@ def test_near_duplicates_by_shingles(spark, monkeypatch):
     fps = [slow_fingerprint(t, pipeline.SHINGLE) for t in texts]
     assert any((fps[i] ^ fps[r]).bit_count() > pipeline.RADIUS for i, r in enumerate(root))
     want = sorted(set(root))
-    for sample, dense in ((64, 8), (1, 0)):  # all pairs at once; common shingles last, and rounds of leaders
+    # all pairs at once; common shingles last, and rounds of leaders; groups in many small blocks
+    for sample, dense, block in ((64, 8, 256), (1, 0, 256), (64, 1000, 2)):
         monkeypatch.setattr(jaccard, "SAMPLE", sample)
+        monkeypatch.setattr(jaccard, "BLOCK", block)
         monkeypatch.setattr(jaccard, "DENSE", dense)
         assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, SF).collect()) == want
 
@@ -220,3 +223,22 @@ def test_prefixes_of_similar_sets_share_enough(spark):
             rows.append((len(x), len(y), len(np.intersect1d(p, q))))
     df = spark.createDataFrame(rows, "n long, m long, shared long")
     assert len(rows) > 200 and df.filter(~jaccard._enough(df.n, df.m, df.shared)).count() == 0
+
+
+def test_each_pair_of_a_group_meets_once(spark, monkeypatch):
+    """Pairs of blocks, over batches that cut them: all pairs of equal parities and unlike roots."""
+    rows = [(token, tk, tk % 7, 100, tk % 5) for token, k in ((1, 2), (2, 37), (3, 150)) for tk in range(k)]
+    members = spark.createDataFrame(rows, "token long, tk long, fp long, n long, root long")
+    own = spark.range(150).selectExpr("id AS tk", f"cast(repeat('a', {jaccard.BITMAP // 8}) AS binary) AS least")
+    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    want = sorted((x, y) for k in (2, 37, 150) for y in range(k) for x in range(y) if x % 5 != y % 5)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    for size in ("7", "10000"):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found = jaccard.close_pairs(members, sizes, own).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert sorted((r.tk, r.tk2) for r in found) == want
+        assert all(r.fp == r.tk % 7 and r.fp2 == r.tk2 % 7 and r.n == r.n2 == 100 for r in found)

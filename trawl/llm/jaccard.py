@@ -10,8 +10,10 @@ by these alone; the sets of the others are compared whole. Larger sets have more
 Candidates already in one component are passed over. While there are more pairs than texts in
 them, a round takes one pair for each text: of the texts that lead its shingles' groups, the
 one that leads most of them. That folds large groups of copies with as many comparisons as
-texts. Rounds go on as long as they fold; the last one takes all pairs that are left, so none
-is missed.
+texts. Rounds go on as long as they fold; the last one looks at all pairs that are left, so none
+is missed. Many texts can be left in one shingle's group that are almost similar enough, each to
+each. So the group is cut into blocks by hash, and tasks compare two blocks at a time by their
+parities; only pairs that these let through become rows.
 
 Shingles and the words of a whole text are known by 64-bit hashes. Texts without words have no
 shingles and no pairs here.
@@ -36,6 +38,8 @@ SAMPLE, COMMON, SEEN = 16, 65_536, 2
 #: leave behind to be followed by another.
 DENSE, FOLDS = 1, 16
 BITMAP = 512
+#: About as many texts of one shingle's group are held against as many others at a time.
+BLOCK = 256
 
 
 def prefix_size(n: int) -> int:
@@ -130,15 +134,74 @@ def _marks(shingle: int, common: np.ndarray):
             signed = [pa.array(np.array(v, np.uint64).view(np.int64), pa.int64()) for v in (list(map(simhash.majority, hashes)), keys)]
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes]), pa.int64()))
-            sizes, bits = pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(parities, sets)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *signed, sizes, bits, lists], names=["doc_id", "_id", "_th", "fp", "tk", "n", "bits", "prefix"])
+            bits = list(map(parities, sets))
+            least = [folded(np.frombuffer(b, np.uint8), BITMAP // 8).tobytes() for b in bits]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary()), pa.array(least, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *signed, *columns], names=["doc_id", "_id", "_th", "fp", "tk", "n", "bits", "least", "prefix"])
 
     return run
 
 
 def marked(texts: DataFrame, shingle: int) -> DataFrame:
     """Rows (doc_id, _id, _th, text) with fingerprint, hash of the words, set size and prefix."""
-    return texts.mapInArrow(_marks(shingle, common_shingles(texts, shingle)), "doc_id long, _id long, _th long, fp long, tk long, n long, bits binary, prefix array<long>")
+    return texts.mapInArrow(_marks(shingle, common_shingles(texts, shingle)), "doc_id long, _id long, _th long, fp long, tk long, n long, bits binary, least binary, prefix array<long>")
+
+
+def _close(rows: pa.Table) -> pa.Table:
+    """Pairs of rows of one cell, of unlike sides where it has two, that parities in BITMAP places let through."""
+    cell, side, n, root = (rows.column(c).to_numpy() for c in ("cell", "side", "n", "root"))
+    token, bits = rows.column("token").to_numpy(), np.frombuffer(b"".join(rows.column("least").to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
+    ends = np.flatnonzero(np.append((token[1:] != token[:-1]) | (cell[1:] != cell[:-1]), True)) + 1
+    end = np.repeat(ends, np.diff(ends, prepend=0))
+    first, second, at, step = [], [], np.arange(len(token)), 0
+    while True:  # each row with the one a step further on
+        step += 1
+        at = at[at + step < end[at]]
+        if not len(at):
+            break
+        to = at + step
+        total = n[at] + n[to]
+        fits = (root[at] != root[to]) & ((side[at] < 0) | (side[at] != side[to])) & (5 * np.minimum(n[at], n[to]) >= 4 * np.maximum(n[at], n[to]))
+        x, y, total = at[fits], to[fits], total[fits]
+        near = 9 * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= total
+        first.append(x[near])
+        second.append(y[near])
+    key, empty = rows.column("tk").to_numpy(), np.empty(0, np.int64)
+    x, y = np.concatenate([empty, *first]), np.concatenate([empty, *second])
+    x, y = np.where(key[x] < key[y], x, y), np.where(key[x] < key[y], y, x)
+    columns = [rows.column(c).to_numpy()[of] for of in (x, y) for c in ("tk", "fp", "n")]
+    return pa.table(columns, names=["tk", "fp", "n", "tk2", "fp2", "n2"])
+
+
+def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_close`` for rows in order of token and cell; a cell may go on in the next batch."""
+    kept = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if kept is None else pa.concat_tables([kept, rows])
+        token, cell = (rows.column(c).to_numpy() for c in ("token", "cell"))
+        other = np.flatnonzero((token != token[-1:]) | (cell != cell[-1:]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        kept = rows.slice(cut)
+        if cut:
+            yield from _close(rows.slice(0, cut)).to_batches()
+    if kept is not None and len(kept):
+        yield from _close(kept).to_batches()
+
+
+def close_pairs(members: DataFrame, sizes: DataFrame, own: DataFrame) -> DataFrame:
+    """A row for each shingle and each pair of its texts, of unlike roots, that may be similar.
+
+    A text of a group of k goes to ceil(k / BLOCK) cells, one for each block that its own is
+    compared with.
+    """
+    blocks = F.ceil(F.col("k") / BLOCK)
+    rows = members.join(own.select("tk", "least"), "tk").join(sizes, "token").withColumn("b", blocks).withColumn("i", F.pmod(F.xxhash64("tk"), F.col("b")))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
+    cell = F.least("i", "j") * F.col("b") + F.greatest("i", "j")
+    side = F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("i"))  # in a block's own cell all are compared
+    rows = rows.select("token", cell.alias("cell"), side.alias("side"), "tk", "fp", "n", "root", "least")
+    return rows.repartition("token", "cell").sortWithinPartitions("token", "cell").mapInArrow(_cells, "tk long, fp long, n long, tk2 long, fp2 long, n2 long")
 
 
 def _possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +236,7 @@ def _enough(n: Column, m: Column, shared: Column) -> Column:
 
 def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """``edges`` (a, b), components of fingerprints, after linking those of similar texts."""
-    own = stored(marks.filter("n > 0").select("tk", "_id", "_th", "fp", "n", "bits").dropDuplicates(["tk"]), "texts")
+    own = stored(marks.filter("n > 0").select("tk", "_id", "_th", "fp", "n", "bits", "least").dropDuplicates(["tk"]), "texts")
     # Shingles travel with their text's hash alone until those of one text only have gone.
     tokens = marks.filter("n > 0").select("tk", "prefix").dropDuplicates(["tk"]).select("tk", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
@@ -191,15 +254,13 @@ def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -
             return edges
         last = size.pairs <= DENSE * size.texts or (rows_before is not None and size.texts > rows_before - rows_before // FOLDS)
         rows_before = size.texts
-        other = members.select("token", *[F.col(c).alias(f"{c}2") for c in ("tk", "fp", "n", "root")])
-        if not last:  # the same text leads in most of the shingles that it is in
-            lead = F.struct(F.xxhash64("tk2", F.lit(turn)).alias("h"), "tk2", "fp2", "n2", "root2")
-            other = other.groupBy("token").agg(F.min(lead).alias("x")).select("token", "x.tk2", "x.fp2", "x.n2", "x.root2")
-        near = members.join(other, "token").filter(F.col("root") != F.col("root2")).filter(_fits(F.col("n"), F.col("n2")))
         by = ["tk", "fp", "n", "tk2", "fp2", "n2"]
         if last:  # here a pair meets in all shingles that both prefixes hold
-            near = near.filter("tk < tk2").groupBy(by).agg(F.count(F.lit(1)).alias("shared")).filter(_enough(F.col("n"), F.col("n2"), F.col("shared")))
-        else:
+            near = close_pairs(members, sizes, own).groupBy(by).agg(F.count(F.lit(1)).alias("shared")).filter(_enough(F.col("n"), F.col("n2"), F.col("shared")))
+        else:  # the same text leads in most of the shingles that it is in
+            lead = F.struct(F.xxhash64("tk", F.lit(turn)).alias("h"), *[F.col(c).alias(f"{c}2") for c in ("tk", "fp", "n", "root")])
+            other = members.groupBy("token").agg(F.min(lead).alias("x")).select("token", "x.tk2", "x.fp2", "x.n2", "x.root2")
+            near = members.join(other, "token").filter(F.col("root") != F.col("root2")).filter(_fits(F.col("n"), F.col("n2")))
             most = near.groupBy(by).agg(F.count(F.lit(1)).alias("shared")).groupBy("tk", "fp", "n").agg(F.max(F.struct("shared", "tk2", "fp2", "n2")).alias("x"))
             near = most.select("tk", "fp", "n", "x.tk2", "x.fp2", "x.n2")
         pairs = near.select(F.least("tk", "tk2").alias("x"), F.greatest("tk", "tk2").alias("y"), F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"), (F.col("n") + F.col("n2")).alias("n")).distinct()
