@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -33,8 +32,10 @@ class Admission(StatefulProcessor):
     """J3-J5 for one tenant: the day's quota is asked first; what it refuses is not counted for
     the rate. Accepted requests that succeed count for the day.
 
-    A counter lives for a time after its first request (a timer removes it), so an idle tenant
-    keeps no state and a late request still meets the counters of its own day and time unit.
+    A counter lives for a time after its first request, so an idle tenant keeps no state and a
+    late request still meets the counters of its own day and time unit. A tenant has one timer,
+    of the counter that ends first; it removes all that have ended by then. Counters are read
+    in one go, since each call to the state store costs more than many rows.
     """
 
     def __init__(self, unit_ms: int):
@@ -45,52 +46,53 @@ class Admission(StatefulProcessor):
         self.days = handle.getMapState("days", "start long", "n long, until long")
         self.units = handle.getMapState("units", "start long", "n long, until long")
 
-    def _counter(self, state, start: int, now: int, keep: int) -> tuple[int, int]:
-        if state.containsKey((start,)):
-            n, until = state.getValue((start,))
-            return n, until
-        return 0, now + keep
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         # A tenant's requests of one micro-batch, which the source's rate bounds.
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        now = batch["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
-        days, units, timers, out = {}, {}, set(), []
-        for event, ms, ok, rate, daily in zip(batch["event_id"].tolist(), now.tolist(), batch["success"].tolist(), batch["rate"].tolist(), batch["daily"].tolist(), strict=True):
-            day, unit = ms - ms % DAY_MS, ms - ms % self.unit_ms
-            if day not in days:
-                days[day] = self._counter(self.days, day, ms, KEEP_DAY_MS)
-            used, until = days[day]
-            if used >= daily:
-                out.append((event, "quota", used, None))
-                continue
-            if unit not in units:
-                units[unit] = self._counter(self.units, unit, ms, KEEP_UNITS * self.unit_ms)
-            place = units[unit][0] + 1
-            units[unit] = (place, units[unit][1])
-            if place > rate:
-                out.append((event, "rate", used, place))
-                continue
-            out.append((event, "accepted", used, place))
-            if ok:
-                days[day] = (used + 1, until)
-        for state, counters in ((self.days, days), (self.units, units)):
-            for start, (n, until) in counters.items():
-                if n:
-                    state.updateValue((start,), (n, until))
-                    timers.add(until)
-        for until in timers:
-            self.handle.registerTimer(until)
-        events, decisions, used, places = zip(*out, strict=True)
-        yield pd.DataFrame({"event_id": events, "tenant_id": key[0], "ts": batch["ts"].to_numpy(), "decision": decisions, "used": used, "place": pd.array(places, "Int64")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
+        batch = sorted(rows, key=lambda r: (r.us, r.event_id is None, r.event_id or 0))
+        held = [{k[0]: tuple(v) for k, v in state.iterator()} for state in (self.days, self.units)]
+        days, units = (dict(counters) for counters in held)
+        for row in batch:
+            ms = row.us // 1000
+            day, unit = row.local - row.local % DAY_MS, row.local - row.local % self.unit_ms
+            used, until = days.setdefault(day, (0, ms + KEEP_DAY_MS))
+            place = None
+            if used >= row.daily:
+                decision = "quota"
+            else:
+                n, end = units.get(unit, (0, ms + KEEP_UNITS * self.unit_ms))
+                place = n + 1
+                units[unit] = (place, end)
+                decision = "rate" if place > row.rate else "accepted"
+                if decision == "accepted" and row.success:
+                    days[day] = (used + 1, until)
+            yield Row(event_id=row.event_id, tenant_id=key[0], ts=row.ts, decision=decision, used=used, place=place)
+        for state, before, counters in ((self.days, held[0], days), (self.units, held[1], units)):
+            for start, counter in counters.items():
+                if counter[0] and counter != before.get(start):
+                    state.updateValue((start,), counter)
+        first = lambda counters: min((until for part in counters for n, until in part.values() if n), default=None)
+        wanted = first((days, units))
+        if wanted is not None and wanted != first(held):
+            self.handle.registerTimer(wanted)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        at, left = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()), []
         for state in (self.days, self.units):
-            for start, (_, until) in [(k[0], v) for k, v in state.iterator()]:
-                if until <= at:
-                    state.removeKey((start,))
-        yield pd.DataFrame()
+            held = [(k, v) for k, v in state.iterator()]
+            kept = [(k, v) for k, v in held if v[1] > at]
+            left += [v[1] for _, v in kept]
+            if len(kept) < len(held):
+                if 2 * len(kept) < len(held):
+                    state.clear()
+                    for k, v in kept:
+                        state.updateValue(k, v)
+                else:
+                    for k, v in held:
+                        if v[1] <= at:
+                            state.removeKey(k)
+        if left:
+            self.handle.registerTimer(min(left))
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -109,7 +111,10 @@ def admission(requests: DataFrame, plans: DataFrame | None = None, rate: int = 3
     else:
         rows = rows.join(plans.select("tenant_id", F.col("rate").alias("_rate"), F.col("daily").alias("_daily")), "tenant_id", "left")
         rows = rows.withColumns({"rate": F.coalesce("_rate", F.lit(rate)), "daily": F.coalesce("_daily", F.lit(daily))}).drop("_rate", "_daily")
-    return rows.withWatermark("ts", late).groupBy("tenant_id").transformWithStateInPandas(Admission(1000 * unit_seconds), DECISIONS, "append", "eventTime")
+    # Times as numbers: of the order, and of days and units in the session's time zone.
+    none = F.lit(-(2**62))
+    rows = rows.withColumns({"us": F.coalesce(F.unix_micros("ts"), none), "local": F.coalesce(F.unix_millis(F.from_utc_timestamp("ts", F.current_timezone())), none)})
+    return rows.withWatermark("ts", late).groupBy("tenant_id").transformWithState(Admission(1000 * unit_seconds), DECISIONS, "append", "eventTime")
 
 
 def run_admission(requests: DataFrame, path: str, checkpoint: str, **options):
