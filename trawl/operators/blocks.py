@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trawl.operators.keyword import K1, B, query_terms, tokens, whole_index
+from trawl.operators.keyword import K1, B, counted, query_terms, tokens, whole_index
 from trawl.operators.vector import ranked
 from trawl.sources.shared import stored
 
@@ -61,7 +61,7 @@ def write_index(chunks: DataFrame, path: str, width: int = WIDTH, **fields: str)
     cut.select(*_BASE, "chunk_id", "no").write.parquet(f"{path}/chunks")
     texts = cut.select(*_BASE, "no", F.explode("texts").alias("x")).select(*_BASE, "no", "x.field", F.size("x.t").alias("dl"), F.col("x.t").alias("t"))
     texts.groupBy(*_BASE, "field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).write.parquet(f"{path}/fields")
-    counts = texts.select(*_BASE, "no", "field", "dl", F.explode("t").alias("term")).groupBy(*_BASE, "no", "field", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    counts = texts.select(*_BASE, "no", "field", "dl", F.explode(counted(F.col("t"))).alias("x")).select(*_BASE, "no", "field", "dl", F.col("x.value").alias("term"), F.col("x.n").alias("tf"))
     range_ = F.floor(F.col("no") / width).cast("long").alias("range")
     one = F.struct(F.col("no"), F.col("tf"), F.col("dl"))
     blocks = counts.groupBy(*_BASE, "field", "term", range_).agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"), F.sort_array(F.collect_list(one)).alias("postings"))

@@ -33,13 +33,16 @@ def parse_reference(text: Column) -> Column:
     return F.when(text.rlike(LINK), link).when(text.rlike(QUOTED_TITLE), quoted).otherwise(section)
 
 
+def _own_references() -> Column:
+    return F.when(F.size(F.coalesce("reference_texts", F.array().cast("array<string>"))) > 0, F.col("reference_texts")).otherwise(extract_references(F.col("content")))
+
+
 def references(chunks: DataFrame) -> DataFrame:
     """A row per reference of a chunk: its own list, or what its content says where that is empty.
 
     ``t`` and ``h`` are the target's title and heading in lower case, empty where there is none.
     """
-    own = F.when(F.size(F.coalesce("reference_texts", F.array().cast("array<string>"))) > 0, F.col("reference_texts")).otherwise(extract_references(F.col("content")))
-    rows = chunks.select(*SCOPE, F.col("chunk_id").alias("source_chunk_id"), F.posexplode(own).alias("pos", "reference_text"))
+    rows = chunks.select(*SCOPE, F.col("chunk_id").alias("source_chunk_id"), F.posexplode(_own_references()).alias("pos", "reference_text"))
     return rows.withColumn("target", parse_reference(F.col("reference_text"))).select("*", F.coalesce(_bare_title(F.col("target.title")), F.lit("")).alias("t"), F.coalesce(F.lower(strip(F.col("target.heading"))), F.lit("")).alias("h")).drop("target")
 
 
@@ -78,7 +81,9 @@ def match_targets(refs: DataFrame, chunks: DataFrame, documents: DataFrame) -> D
 
 def resolve_references(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Each reference with the number of its candidates and one of them."""
-    refs = references(chunks.join(documents.filter("status = 1").select("document_id"), "document_id", "left_semi"))
+    # Texts are read where they lie: only chunks that refer to something travel, without content.
+    said = chunks.select(*SCOPE, "chunk_id", "document_id", _own_references().alias("reference_texts"), F.lit(None).cast("string").alias("content")).filter(F.size("reference_texts") > 0)
+    refs = references(said.join(documents.filter("status = 1").select("document_id"), "document_id", "left_semi"))
     key = [*SCOPE, "t", "h"]
     found = match_targets(refs, chunks, documents)
     return refs.join(found, key, "left").select(*refs.columns, F.coalesce("candidates", F.lit(0)).alias("candidates"), "target_chunk_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.functions.text import let
 from trawl.operators.vector import ranked
 
 K1, B = 1.2, 0.75
@@ -20,6 +21,19 @@ def tokens(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def counted(values: Column) -> Column:
+    """The distinct values of an array, in order, each with its count: (value, n). A row's values
+    are counted where the row is, so nothing is shuffled."""
+    none = lambda x: F.filter(F.transform(x, lambda v: F.struct(v.alias("value"), F.lit(0).alias("n"))), lambda _: F.lit(False))
+
+    def runs(x: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1))
+        run = lambda at: F.transform(at, lambda a, j: F.struct(F.get(x, a).alias("value"), (F.coalesce(F.get(at, j + 1), F.size(x)) - a).alias("n")))
+        return F.when(F.size(x) == 0, none(x)).otherwise(let(F.filter(F.sequence(F.lit(0), F.size(x) - 1), first), run))
+
+    return let(F.sort_array(values), runs)
+
+
 _CHUNK = ["kb_id", "index_version", "chunk_id"]
 
 
@@ -32,13 +46,12 @@ def _fields(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
 def postings(chunks: DataFrame, terms: DataFrame | None = None, **fields: str) -> DataFrame:
     """(kb_id, index_version, chunk_id, field, term, tf, dl) for the named text fields.
 
-    With ``terms`` (term) only postings of these are made: what a search without a stored index
-    needs, counted after the other tokens have gone.
+    With ``terms`` (term) only postings of these are given: what a search without a stored index
+    needs.
     """
-    rows = _fields(chunks, fields).select(*_CHUNK, "field", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy(*_CHUNK, "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    rows = _fields(chunks, fields).select(*_CHUNK, "field", F.size("t").alias("dl"), F.explode(counted(F.col("t"))).alias("x"))
+    rows = rows.select(*_CHUNK, "field", F.col("x.value").alias("term"), "dl", F.col("x.n").cast("long").alias("tf"))
+    return rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi").select(rows.columns)
 
 
 def statistics(chunks: DataFrame, by_base: bool = False, **fields: str) -> DataFrame:

@@ -6,14 +6,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.functions.text import retrieval_text
+from trawl.functions.text import let, retrieval_text
 from trawl.operators.admin import PROCESSING, next_status
 from trawl.operators.chunking import split_documents
-from trawl.operators.keyword import tokens
+from trawl.operators.keyword import counted, tokens
 
 DIMENSION = 64
 BATCH = 20
@@ -24,12 +24,17 @@ def hash_embedding(chunks: DataFrame, dimension: int = DIMENSION) -> DataFrame:
 
     All built-in functions, so it stays in the JVM; a text without terms has no embedding.
     """
-    terms = chunks.select("chunk_id", F.explode(tokens(F.col("embed_text"))).alias("term"))
-    h = F.xxhash64("term")
-    places = terms.select("chunk_id", F.pmod(h, F.lit(dimension)).cast("int").alias("i"), F.when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s"))
-    sums = places.groupBy("chunk_id", "i").agg(F.sum("s").alias("s")).groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("m"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("norm")).cast("float"))
-    return chunks.join(sums.select("chunk_id", F.when(F.col("norm") > 0, vector).alias("embedding")), "chunk_id", "left")
+    h = F.transform(tokens(F.col("embed_text")), lambda x: F.xxhash64(x))
+    # A place's terms are counted by sign, in the chunk's own row.
+    codes = F.transform(h, lambda x: (F.pmod(x, F.lit(dimension)) * 2 + F.pmod(F.shiftright(x, 20), F.lit(2))).cast("int"))
+    m = F.map_from_entries(counted(codes))
+
+    def vector(m: Column) -> Column:
+        n = lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0))
+        sums = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (n(2 * i) - n(2 * i + 1)).cast("double"))
+        return let(sums, lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.when(norm > 0, F.transform(v, lambda x: (x / norm).cast("float")))))
+
+    return chunks.withColumn("embedding", let(m, vector))
 
 
 def embed_with(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], dimension: int = DIMENSION, batch: int = BATCH) -> DataFrame:
