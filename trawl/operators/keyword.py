@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.functions.text import let
 from trawl.operators.vector import ranked
+from trawl.sources.shared import stored
 
 K1, B = 1.2, 0.75
 _CJK = "㐀-鿿"
@@ -71,6 +74,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query_text")))).alias("term"))
 
 
+def _best(hits: DataFrame, k: int, boosts: dict[str, float] | None) -> DataFrame:
+    """The k best chunks of each query, from shares of scores (query_id, chunk, field, part)."""
+    by_field = hits.groupBy("query_id", *_CHUNK, "field").agg(F.sum("part").alias("part"))
+    weight = F.lit(1.0)
+    for field, boost in (boosts or {}).items():
+        weight = F.when(F.col("field") == field, boost).otherwise(weight)
+    best = by_field.groupBy("query_id", *_CHUNK).agg(F.max(weight * F.col("part")).alias("score"))
+    best = best.withColumn("score", F.round("score", 9))  # equal terms in another order are a tie
+    return ranked(best, k, F.desc("score"), F.asc("kb_id"), F.asc("chunk_id"))
+
+
 def bm25_top_k(queries: DataFrame, scope: DataFrame, index: DataFrame, k: int, boosts: dict[str, float] | None = None, fields: DataFrame | None = None) -> DataFrame:
     """The k best chunks of each query (query_id, query_text) within its scope.
 
@@ -91,10 +105,43 @@ def bm25_top_k(queries: DataFrame, scope: DataFrame, index: DataFrame, k: int, b
     wanted = scope.select("query_id", "kb_id", "index_version").distinct().join(terms, "query_id").join(stats, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = own.join(wanted, ["kb_id", "index_version", "field", "term"]).select("query_id", *_CHUNK, "field", part.alias("part"))
-    by_field = hits.groupBy("query_id", *_CHUNK, "field").agg(F.sum("part").alias("part"))
-    weight = F.lit(1.0)
-    for field, boost in (boosts or {}).items():
-        weight = F.when(F.col("field") == field, boost).otherwise(weight)
-    best = by_field.groupBy("query_id", *_CHUNK).agg(F.max(weight * F.col("part")).alias("score"))
-    best = best.withColumn("score", F.round("score", 9))  # equal terms in another order are a tie
-    return ranked(best, k, F.desc("score"), F.asc("kb_id"), F.asc("chunk_id"))
+    return _best(hits, k, boosts)
+
+
+@dataclass
+class TextIndex:
+    """A6, stored: ``rows`` (kb_id, index_version, chunk_id, field, dl, terms: each value and its
+    n), one for a chunk and field, and ``fields`` (kb_id, index_version, field, n, total)."""
+
+    spark: SparkSession
+    path: str
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+
+def write_rows(chunks: DataFrame, path: str, **fields: str) -> TextIndex:
+    """Writes the index of the named text fields of ``chunks`` under ``path``. Each text is cut
+    and counted where it is read; nothing is shuffled but sums by base."""
+    _fields(chunks, fields).select(*_CHUNK, "field", F.size("t").alias("dl"), counted(F.col("t")).alias("terms")).write.parquet(f"{path}/rows")
+    index = TextIndex(chunks.sparkSession, path)
+    sums = index.table("rows").groupBy("kb_id", "index_version", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"))
+    sums.write.parquet(f"{path}/fields")
+    return index
+
+
+def stored_top_k(queries: DataFrame, scope: DataFrame, index: TextIndex, k: int, boosts: dict[str, float] | None = None) -> DataFrame:
+    """As ``bm25_top_k``, from the stored index, itself stored.
+
+    What the queries ask for (a row for a query, base, field and term) is written first, so Spark
+    knows that it is small and brings it to the chunks: of postings only those asked for are
+    counted, and a chunk leaves its task as one score for a query and field.
+    """
+    posted = index.table("rows").select(*_CHUNK, "field", "dl", F.explode("terms").alias("x")).select(*_CHUNK, "field", "dl", F.col("x.value").alias("term"), F.col("x.n").alias("tf"))
+    terms = stored(query_terms(queries), "terms")
+    df = posted.join(terms.select("term").distinct(), "term", "left_semi").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    stats = df.join(whole_index(index.table("fields")), "field").select("field", "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
+    wanted = stored(scope.select("query_id", "kb_id", "index_version").distinct().join(terms, "query_id").join(stats, "term"), "wanted")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    hits = posted.join(wanted, ["kb_id", "index_version", "field", "term"]).select("query_id", *_CHUNK, "field", part.alias("part"))
+    return stored(_best(hits, k, boosts), "hits")
