@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.text import low_information, squeeze
+from trawl.sources.shared import stored
 
 KEY = ["query_id", "kb_id", "chunk_id"]
 MAX_KBS = 5
@@ -49,6 +50,67 @@ def fuse(vector: DataFrame, bm25: DataFrame, k: int = 60, top_n: int | None = No
     return rows if top_n is None else rows.filter(F.col("rank") <= top_n)
 
 
+def shared_branch(hits: DataFrame) -> DataFrame:
+    """A keyword branch that queries of one kind share: ``hits`` has ``kind`` for query_id. Its
+    normal form by kind, with the place of each chunk in it."""
+    rows = normal_branch(hits.withColumnRenamed("kind", "query_id"), "bm25")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("bm25_rank"))
+    return rows.withColumn("place", place).withColumnRenamed("query_id", "kind").select("kind", *KEY[1:], "document_id", "bm25_rank", "bm25_score", "place")
+
+
+def _met(vector: DataFrame, kinds: DataFrame, shared: DataFrame) -> DataFrame:
+    """The vector branch's chunks that stand in the shared one too."""
+    return vector.select(*KEY).distinct().join(kinds, "query_id").join(shared, ["kind", *KEY[1:]]).select(*KEY, "document_id", "bm25_rank", "bm25_score", "place")
+
+
+def _head(vector: DataFrame, kinds: DataFrame, shared: DataFrame, met: DataFrame, upto: DataFrame, k: int) -> DataFrame:
+    """``fuse`` over both branches, of the shared one only chunks that the vector branch holds
+    and those of ranks up to ``upto`` (query_id, upto)."""
+    first = shared.join(kinds.join(upto, "query_id"), "kind").filter("bm25_rank <= upto").select(met.columns).join(met.select(KEY), KEY, "left_anti")
+    rows = met.unionByName(first).select(*KEY, "document_id", F.col("bm25_rank").alias("pos"), F.col("bm25_score").alias("score"))
+    return fuse(vector, rows, k)
+
+
+def fuse_window(vector: DataFrame, kinds: DataFrame, shared: DataFrame, limits: DataFrame, k: int = 60) -> DataFrame:
+    """The rows of ``fuse`` up to a query's ``upto`` (query_id, upto), where the
+    keyword branch is shared by kind (query_id, kind). Of its chunks the n-th has n - 1 chunks
+    before it whatever the other branch holds, so only the first ones are given to queries;
+    ranks may skip places, so the first ``upto`` places are asked for."""
+    first = shared.join(limits.join(kinds, "query_id"), "kind").filter("place <= upto").select("query_id", "bm25_rank", "upto").groupBy("query_id").agg(F.max("bm25_rank").alias("upto"))
+    met = _met(vector, kinds, shared)
+    rows = _head(vector, kinds, shared, met, first, k)
+    return rows.join(limits, "query_id").filter("rank <= upto").drop("upto")
+
+
+def fuse_shared(vector: DataFrame, kinds: DataFrame, shared: DataFrame, k: int = 60) -> DataFrame:
+    """(query_id, kb_id, chunk_id, score, rank) of ``fuse`` where the keyword branch is
+    shared by kind (query_id, kind).
+
+    A chunk of the shared branch alone, of a rank beyond the vector branch's last, stands behind
+    all of that branch; its rank follows from its place and from how many chunks before it both
+    branches hold. So these rows are made where the shared branch lies and are never shuffled.
+    """
+    met = _met(vector, kinds, shared)
+    ends = vector.groupBy("query_id").agg(F.max("pos").alias("upto"), F.countDistinct(*KEY[1:]).cast("int").alias("n"))
+    both = met.groupBy("query_id").agg(F.sort_array(F.collect_list("place")).alias("both"))
+    asked = stored(kinds.join(ends, "query_id", "left").join(both, "query_id", "left").select(
+        "query_id", "kind", F.coalesce("upto", F.lit(0)).alias("upto"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("both", F.array().cast("array<int>")).alias("both")), "kinds")
+    head = _head(vector, kinds, shared, met, asked.select("query_id", "upto"), k).select(*KEY, "score", "rank")
+    rest = shared.join(asked, "kind").filter((F.col("bm25_rank") > F.col("upto")) & ~F.array_contains("both", F.col("place")))
+    before = F.size(F.filter("both", lambda x: x < F.col("place")))
+    return head.unionByName(rest.select(*KEY, (1.0 / (k + F.col("bm25_rank"))).alias("score"), (F.col("n") + F.col("place") - before).alias("rank")))
+
+
+def degrade_shared(vector: DataFrame, kinds: DataFrame, shared: DataFrame, status: DataFrame, k: int = 60) -> DataFrame:
+    """As ``degrade``, where the keyword branch is shared by kind (query_id, kind)."""
+    some = lambda rows, flag: rows.join(status.filter(flag).select("query_id"), "query_id", "left_semi")
+    fused = fuse_shared(some(vector, "vector_ok AND bm25_ok"), some(kinds, "vector_ok AND bm25_ok"), shared, k).withColumn("fusion", F.lit("rrf"))
+    none = vector.filter("false").select(*KEY, "document_id", "pos", "score")
+    alone = degrade(vector, none, status.filter("vector_ok AND NOT bm25_ok"), k)
+    rest = shared.join(stored(some(kinds, "bm25_ok AND NOT vector_ok"), "kinds"), "kind").select(*KEY, F.col("bm25_score").alias("score"), F.col("place").alias("rank"), F.lit("bm25").alias("fusion"))
+    return fused.unionByName(alone).unionByName(rest)
+
+
 def degrade(vector: DataFrame, bm25: DataFrame, status: DataFrame, k: int = 60) -> DataFrame:
     """By ``status`` (query_id, vector_ok, bm25_ok) fuse both branches, or pass the one
     that is left through with its own scores; queries with neither are ``failed``."""
