@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from trawl.functions.text import TABLE_LABEL
 from trawl.operators import chunking
@@ -178,3 +179,38 @@ def test_routing(spark, documents):
     assert set(chunking.split_documents(both, "v1").columns) == set(chunking.split_documents(both, "v2").columns)
     kinds = {r.chunk_type for r in chunking.split_documents(both, "v2").filter("document_id LIKE 'x%'").collect()}
     assert kinds == {"prose"}
+
+
+def test_documents_are_made_once_and_dealt_over_many_tasks(spark, documents):
+    """Both kinds of pieces come from one reading, and small bytes do not draw tasks together."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = chunking.split_contextual(documents.mapInArrow(counted, documents.schema))
+    assert found.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    before = seen.value
+    found.write.format("noop").mode("overwrite").save()
+    assert seen.value - before == documents.count()
+
+
+def test_pieces_carry_columns_of_their_document(spark, documents):
+    both = documents.unionByName(documents.selectExpr("concat('x', document_id) AS document_id", "title", "concat('one\n\n---\n\n', content) AS content", "'text' AS source_type"))
+    both = both.selectExpr("*", "concat('of ', document_id) AS owner")
+    plain = ["document_id", "order_index", "text", "heading_path", "chunk_type", "section_id", "parent_section_id"]
+    rows = lambda df, *c: sorted(map(str, df.select(*plain, *c).collect()))
+    carried = chunking.split_documents(both, carry=("owner",))
+    assert rows(carried, "owner") == rows(chunking.split_documents(both).join(both.select("document_id", "owner"), "document_id"), "owner")
+    assert carried.join(carried.groupBy("document_id").count(), "document_id").filter("order_index >= count").count() == 0
+
+
+def test_low_information_by_hand(spark):
+    from trawl.functions.text import low_information
+
+    low = ["", " \n\t", None, "---", "-_*~`|\n--", "é ü", "|é|\n|---|", "| a | b |\n|---|:---:|", "# Lone heading", "\n ## Lone ##\n", "#"]
+    rich = ["a", "漢", "| a |\n| b |", "# Head\ntext", "a # b", "| a |\n|---|\n| 1 |", "x\n|---|"]
+    rows = spark.createDataFrame([(t, t in low) for t in low + rich], "t string, y boolean").select("t", "y", low_information(F.col("t")).alias("got")).collect()
+    assert [r.t for r in rows if r.y != r.got] == []

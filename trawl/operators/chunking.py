@@ -86,23 +86,37 @@ def windows(text: str, size: int, overlap: int) -> list[str]:
     return [p for p in pieces if p]
 
 
-def split_plain(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """B1 over a table: (document_id, pos, piece). Equal neighbours are one piece."""
+def plain_pieces(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """B1 over a table: ``pieces`` in place of ``content``, the other columns as they are. Equal
+    neighbours are one piece. A document stays one row, so nothing has to be shuffled for it."""
     check_sizes(size, overlap)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # texts in a worker's memory together
-                ids, rows = batch.column(0).slice(at, 256), []
-                for i, text in enumerate(batch.column(1).slice(at, 256).to_pylist()):
+                part, pieces = batch.slice(at, 256), []
+                for text in part.column(part.num_columns - 1).to_pylist():
                     whole = text.replace("\r\n", "\n").replace("\r", "\n").strip() if text else ""
-                    kept = [p for p, _ in groupby(windows(whole, size, overlap))]
-                    rows += [(i, pos, piece) for pos, piece in enumerate(kept)]
-                of, pos, piece = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), pa.array(pos, pa.int32()), pa.array(piece, pa.string())], names=["document_id", "pos", "piece"])
+                    pieces.append([p for p, _ in groupby(windows(whole, size, overlap))])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pieces, pa.list_(pa.string()))], names=[*part.schema.names[:-1], "pieces"])
+
+    rows = documents.select(*[c for c in documents.columns if c != "content"], F.col("content").cast("string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("pieces", T.ArrayType(T.StringType()))]))
+
+
+def split_plain(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """B1 over a table: (document_id, pos, piece). Equal neighbours are one piece."""
+    return plain_pieces(documents.select("document_id", "content"), size, overlap).select("document_id", F.posexplode("pieces").alias("pos", "piece"))
+
 
-    schema = T.StructType([documents.schema["document_id"], T.StructField("pos", T.IntegerType()), T.StructField("piece", T.StringType())])
-    return documents.select("document_id", F.col("content").cast("string")).mapInArrow(run, schema)
+def _dealt(documents: DataFrame) -> DataFrame:
+    """Documents by id over so many tasks that each holds a small part: what follows keeps a
+    task's lines in memory and takes long for few bytes, which Spark, merging small partitions
+    by their bytes, cannot know. A given number is kept, and all windows and groups below lie
+    within a document, so nothing is shuffled after it."""
+    spark = documents.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    return documents.select("document_id", "content").repartition(tasks, "document_id")
 
 
 def scan_lines(documents: DataFrame, deepest: int = 6) -> DataFrame:
@@ -153,18 +167,24 @@ def _path_text(path: Column) -> Column:
     return F.nullif(F.array_join(path, "/"), F.lit(""))
 
 
-def split_tables(blocks: DataFrame, size: int = SIZE, most: int = TABLE_ROWS) -> DataFrame:
-    """A table as one piece if it fits, else groups of data rows under a header line."""
-    rows = blocks.filter("is_table").groupBy("document_id", "section", "block").agg(
-        F.min("pos").alias("pos"), F.first("path").alias("path"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: strip(x.line)).alias("r")
-    )
-    whole = F.array_join("r", "\n")
-    has_rule = table_separator(F.element_at("r", 2))
-    data = F.slice(F.col("r"), F.when(has_rule, 3).otherwise(2), F.size("r"))
-    header = F.concat(F.lit(TABLE_LABEL), strip(F.regexp_replace(F.element_at("r", 1), r"^\||\|$", "")))
+def _table_parts(r: Column, size: int, most: int) -> Column:
+    """A table's stripped lines as one text if it fits, else groups of data rows under a header line."""
+    whole = F.array_join(r, "\n")
+    has_rule = table_separator(F.element_at(r, 2))
+    data = F.slice(r, F.when(has_rule, 3).otherwise(2), F.size(r))
+    header = F.concat(F.lit(TABLE_LABEL), strip(F.regexp_replace(F.element_at(r, 1), r"^\||\|$", "")))
     groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(data) - 1) / most).cast("int")), lambda g: F.concat_ws("\n", header, F.slice(data, g * most + 1, F.lit(most))))
-    parts = F.when((F.length(whole) <= size) | (F.size(data) == 0), F.array(whole)).otherwise(groups)
-    return rows.select("document_id", "section", "pos", _path_text(F.col("path")).alias("heading_path"), F.lit("table").alias("kind"), F.posexplode(parts).alias("part", "text"))
+    return F.when((F.length(whole) <= size) | (F.size(data) == 0), F.array(whole)).otherwise(groups)
+
+
+def _lines_in_order() -> Column:
+    return F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x.line)
+
+
+def split_tables(blocks: DataFrame, size: int = SIZE, most: int = TABLE_ROWS) -> DataFrame:
+    """The pieces of each table."""
+    rows = blocks.filter("is_table").groupBy("document_id", "section", "block").agg(F.min("pos").alias("pos"), F.first("path").alias("path"), F.transform(_lines_in_order(), strip).alias("r"))
+    return rows.select("document_id", "section", "pos", _path_text(F.col("path")).alias("heading_path"), F.lit("table").alias("kind"), F.posexplode(_table_parts(F.col("r"), size, most)).alias("part", "text"))
 
 
 def _join(a: Column, b: Column) -> Column:
@@ -198,13 +218,8 @@ def _long(text: Column, size: int, overlap: int) -> Column:
     return F.when(whole, F.array(text)).when(headed, _prefixed(head, body, size, overlap)).otherwise(plain)
 
 
-def pack_units(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def _packed(units: Column, size: int, overlap: int) -> Column:
     """Greedy packing of a text block's units into chunks of at most ``size`` characters."""
-    units = blocks.filter("NOT is_table AND NOT blank").groupBy("document_id", "section", "block", "unit").agg(
-        F.min("pos").alias("pos"), F.first("path").alias("path"), F.first("atomic").alias("atomic"),
-        strip(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")).alias("text"),
-    ).filter("text <> ''")
-    rows = units.groupBy("document_id", "section", "block").agg(F.min("pos").alias("pos"), F.first("path").alias("path"), F.sort_array(F.collect_list(F.struct("pos", "atomic", "text"))).alias("units"))
     none = F.array().cast(_STRINGS)
     start = F.struct(F.lit("").alias("now"), none.alias("out"))
 
@@ -230,15 +245,27 @@ def pack_units(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> D
     def step(s: Column, u: Column) -> Column:
         return let(F.when(s.now == "", u.text).otherwise(_join(s.now, u.text)), lambda joined: place(s, u, joined))
 
-    done = F.aggregate("units", start, step, lambda s: F.when(s.now != "", F.concat(s.out, F.array(s.now))).otherwise(s.out))
-    return rows.select("document_id", "section", "pos", _path_text(F.col("path")).alias("heading_path"), F.lit("section").alias("kind"), F.posexplode(done).alias("part", "text"))
+    return F.aggregate(units, start, step, lambda s: F.when(s.now != "", F.concat(s.out, F.array(s.now))).otherwise(s.out))
+
+
+def block_pieces(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLAP, table_rows: int = TABLE_ROWS) -> DataFrame:
+    """The pieces of every block, of tables and of text, from one reading of the lines."""
+    units = blocks.filter("NOT blank").groupBy("document_id", "section", "block", "unit").agg(
+        F.min("pos").alias("pos"), F.first("path").alias("path"), F.first("atomic").alias("atomic"), F.first("is_table").alias("is_table"), _lines_in_order().alias("lines")
+    ).withColumn("text", F.when(~F.col("is_table"), strip(F.array_join("lines", "\n"))))
+    # A table is one unit of a block of its own.
+    units = units.filter("is_table OR text <> ''").withColumn("lines", F.when(F.col("is_table"), F.transform("lines", strip)))
+    rows = units.groupBy("document_id", "section", "block").agg(
+        F.min("pos").alias("pos"), F.first("path").alias("path"), F.first("is_table").alias("is_table"), F.first("lines").alias("lines"), F.sort_array(F.collect_list(F.struct("pos", "atomic", "text"))).alias("units")
+    )
+    parts = F.when(F.col("is_table"), _table_parts(F.col("lines"), size, table_rows)).otherwise(_packed(F.col("units"), size, overlap))
+    return rows.select("document_id", "section", "pos", _path_text(F.col("path")).alias("heading_path"), F.when(F.col("is_table"), "table").otherwise("section").alias("kind"), F.posexplode(parts).alias("part", "text"))
 
 
 def split_structured(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, table_rows: int = TABLE_ROWS, deepest: int = 2) -> DataFrame:
     """Pieces of Markdown text by heading and table, in order (document_id, ord)."""
     check_sizes(size, overlap)
-    blocks = mark_blocks(scan_lines(documents, deepest))
-    pieces = split_tables(blocks, size, table_rows).unionByName(pack_units(blocks, size, overlap))
+    pieces = block_pieces(mark_blocks(scan_lines(_dealt(documents), deepest)), size, overlap, table_rows)
     order = Window.partitionBy("document_id").orderBy("pos", "part")
     table_part = F.when(F.col("kind") == "table", F.col("part") + 1)
     return pieces.filter(strip(F.col("text")) != "").select("document_id", (F.row_number().over(order) - 1).alias("ord"), "heading_path", "kind", table_part.alias("table_part"), "text")
@@ -287,9 +314,11 @@ def coalesce_pieces(pieces: DataFrame, size: int = SIZE, version: str = "v2") ->
 
     done = F.aggregate("items", start, step, lambda s: F.when(s.last.isNull(), s.out).otherwise(F.concat(s.out, F.array(s.last))))
     out = rows.select("document_id", F.posexplode(done).alias("order_index", "x")).select("document_id", "order_index", F.nullif("x.path", F.lit("")).alias("heading_path"), F.col("x.text").alias("text"), F.col("x.type").alias("chunk_type"), F.nullif("x.table_part", F.lit(0)).alias("table_part"), F.col("x.refs").alias("reference_texts"))
-    v = F.lit(version)
+    v, own = F.lit(version), F.col("document_id")
+    if isinstance(out.schema["document_id"].dataType, T.StructType):  # with what it carries, see split_documents
+        own = own.document_id
     above = parent_path(F.col("heading_path"))
-    return out.withColumns({"section_id": section_id(F.col("document_id"), v, F.col("heading_path")), "parent_section_id": F.when(above.isNotNull(), section_id(F.col("document_id"), v, above)), "heading_level": F.size(F.split("heading_path", "/"))})
+    return out.withColumns({"section_id": section_id(own, v, F.col("heading_path")), "parent_section_id": F.when(above.isNotNull(), section_id(own, v, above)), "heading_level": F.size(F.split("heading_path", "/"))})
 
 
 def split_contextual(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, table_rows: int = TABLE_ROWS, version: str = "v2") -> DataFrame:
@@ -297,19 +326,24 @@ def split_contextual(documents: DataFrame, size: int = SIZE, overlap: int = OVER
     return coalesce_pieces(split_structured(documents, size, overlap, table_rows, 6), size, version)
 
 
-def split_documents(documents: DataFrame, version: str = "v2", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """By version and source type; v2 plain text has one root section and no low pieces."""
+def split_documents(documents: DataFrame, version: str = "v2", size: int = SIZE, overlap: int = OVERLAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """By version and source type; v2 plain text has one root section and no low pieces.
+
+    The columns in ``carry`` come along with each document, so that its pieces need no join.
+    """
     marked = F.col("source_type") == "markdown"
-    text = documents.filter(~marked | F.col("source_type").isNull())
-    plain = split_plain(text, size, overlap)
+    plain = plain_pieces(documents.filter(~marked | F.col("source_type").isNull()).select("document_id", *carry, "content"), size, overlap)
+    text = documents.filter(marked).select(F.struct("document_id", *carry).alias("document_id") if carry else "document_id", "content")
     none = lambda kind: F.lit(None).cast(kind)
-    columns = ["document_id", "order_index", "text", "heading_path", "chunk_type", "section_id", "parent_section_id"]
+    columns = ["order_index", "text", "heading_path", "chunk_type", "section_id", "parent_section_id"]
     if version == "v1":
-        pieces = split_structured(documents.filter(marked), size, overlap).select("document_id", F.col("ord").alias("order_index"), "text", "heading_path", F.col("kind").alias("chunk_type"), none("string").alias("section_id"), none("string").alias("parent_section_id"))
-        plain = plain.select("document_id", F.col("pos").alias("order_index"), F.col("piece").alias("text"), none("string").alias("heading_path"), F.lit("section").alias("chunk_type"), none("string").alias("section_id"), none("string").alias("parent_section_id"))
+        pieces = split_structured(text, size, overlap).select("document_id", F.col("ord").alias("order_index"), "text", "heading_path", F.col("kind").alias("chunk_type"), none("string").alias("section_id"), none("string").alias("parent_section_id"))
+        kept, kind, section = F.col("pieces"), "section", none("string")
     else:
-        pieces = split_contextual(documents.filter(marked), size, overlap, version=version).select(columns)
-        kept = plain.filter(~low_information(F.col("piece")))
-        place = F.row_number().over(Window.partitionBy("document_id").orderBy("pos")) - 1
-        plain = kept.select("document_id", place.alias("order_index"), F.col("piece").alias("text"), none("string").alias("heading_path"), F.lit("prose").alias("chunk_type"), section_id(F.col("document_id"), F.lit(version), none("string")).alias("section_id"), none("string").alias("parent_section_id"))
-    return pieces.select(columns).unionByName(plain.select(columns))
+        pieces = split_contextual(text, size, overlap, version=version)
+        # Low pieces go before the others get their numbers, inside the document's row.
+        kept, kind, section = F.filter("pieces", lambda p: ~low_information(p)), "prose", section_id(F.col("document_id"), F.lit(version), none("string"))
+    plain = plain.select("document_id", *carry, F.posexplode(kept).alias("order_index", "text"), none("string").alias("heading_path"), F.lit(kind).alias("chunk_type"), none("string").alias("parent_section_id"))
+    plain = plain.withColumn("section_id", section)
+    ids = ["document_id.document_id", *[f"document_id.{c}" for c in carry]] if carry else ["document_id"]
+    return pieces.select(*ids, *columns).unionByName(plain.select("document_id", *carry, *columns))

@@ -59,7 +59,7 @@ def index_documents(documents: DataFrame, version: str = "v2", size: int = 800,
     Chunk ids are hashes of document, version and place, so a rerun gives equal rows. v1 embeds
     the raw text, later versions the retrieval text.
     """
-    pieces = split_documents(documents, version, size, overlap).join(documents.select("document_id", "tenant_id", "kb_id", "title"), "document_id")
+    pieces = split_documents(documents.filter("document_id IS NOT NULL"), version, size, overlap, carry=("tenant_id", "kb_id", "title"))
     text = retrieval_text(F.col("title"), F.col("heading_path"), F.col("text"))
     rows = pieces.select(
         F.sha1(F.concat_ws(":", "document_id", F.lit(version), "order_index")).alias("chunk_id"), "tenant_id", "kb_id", "document_id", "title", F.col("text").alias("content"),
