@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.plans.indexing import index_documents
+from trawl.sources.shared import stored
 
 SCORES = (1, 5)
 
@@ -23,23 +24,44 @@ def index_stream(documents: DataFrame, path: str, checkpoint: str, **options):
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        version = F.struct("updated_at", F.xxhash64(*batch.columns).alias("h"))
-        newest = Window.partitionBy("document_id").orderBy(version.desc())
-        rows = batch.withColumn("version", version).withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+        rows = newest_rows(batch)
         chunks = index_documents(rows.filter("content IS NOT NULL").drop("version"), **options)
         chunks.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
         made = batch.sparkSession.read.schema(chunks.schema).parquet(f"{path}/chunks/batch={number}").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
-        status = F.when(F.col("content").isNull(), "DELETED").when(F.col("chunks").isNull(), "FAILED").otherwise("INDEXED")
-        done = rows.join(made, "document_id", "left").select("document_id", "version", F.coalesce("chunks", F.lit(0)).alias("chunks"), status.alias("status"), F.when(status == "FAILED", "no chunks").alias("message"))
+        # Of the content only whether there is any goes on, so no text is shuffled to join counts.
+        known = rows.select("document_id", "version", F.col("content").isNull().alias("gone"))
+        status = F.when(F.col("gone"), "DELETED").when(F.col("chunks").isNull(), "FAILED").otherwise("INDEXED")
+        done = known.join(made, "document_id", "left").select("document_id", "version", F.coalesce("chunks", F.lit(0)).alias("chunks"), status.alias("status"), F.when(status == "FAILED", "no chunks").alias("message"))
         done.write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest_rows(batch: DataFrame) -> DataFrame:
+    """The newest row of each document, with its ``version``.
+
+    Only rows of documents that have more than one are shuffled and ranked. The ids of these
+    are stored first, so that Spark knows how few they are and can leave the other texts where
+    they lie.
+    """
+    version = F.struct("updated_at", F.xxhash64(*batch.columns).alias("h"))
+    repeated = stored(batch.groupBy("document_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("document_id").alias("_id")), "repeated")
+    rows, same = batch.withColumn("version", version), F.col("document_id").eqNullSafe(F.col("_id"))
+    newest = Window.partitionBy("document_id").orderBy(F.desc("version"))
+    ranked = rows.join(repeated, same, "left_semi").withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+    return rows.join(repeated, same, "left_anti").unionByName(ranked)
+
+
 def current_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """The chunks of each document's newest row."""
-    newest = documents.groupBy("document_id").agg(F.max_by("batch", F.struct("version", "batch")).alias("batch"))
-    return chunks.join(newest, ["document_id", "batch"], "left_semi")
+    """The chunks of each document's newest row.
+
+    Left out are chunks of batches that are not finished, and those of older rows. Which these
+    are is stored first: where few documents changed, the chunks are read without a shuffle.
+    """
+    rows = documents.select("document_id", "batch", "version").withColumn("newest", F.max(F.struct("version", "batch")).over(Window.partitionBy("document_id")))
+    old = stored(rows.filter("batch <> newest.batch").select("document_id", "batch").distinct(), "old")
+    finished = stored(documents.select("batch").distinct(), "finished")
+    return chunks.filter("document_id IS NOT NULL").join(finished, "batch", "left_semi").join(old, ["document_id", "batch"], "left_anti")
 
 
 def compact_index(spark: SparkSession, path: str, into: str) -> None:
