@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.functions.text import LINK, MARKERS, QUOTED_TITLE, REFERENCES_LABEL, HEADING_LABEL, SECTION_MARK, TITLE_LABEL, full_lines, low_information, squeeze, strip
+from trawl.sources.shared import stored
 
 SCOPE = ["tenant_id", "kb_id", "index_version"]
 # Order of relations, and limits of the walk and the context.
@@ -83,7 +84,8 @@ def resolve_references(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Each reference with the number of its candidates and one of them."""
     # Texts are read where they lie: only chunks that refer to something travel, without content.
     said = chunks.select(*SCOPE, "chunk_id", "document_id", _own_references().alias("reference_texts"), F.lit(None).cast("string").alias("content")).filter(F.size("reference_texts") > 0)
-    refs = references(said.join(documents.filter("status = 1").select("document_id"), "document_id", "left_semi"))
+    # Found once: both the search for targets and the result read them.
+    refs = stored(references(said.join(documents.filter("status = 1").select("document_id"), "document_id", "left_semi")), "references")
     key = [*SCOPE, "t", "h"]
     found = match_targets(refs, chunks, documents)
     return refs.join(found, key, "left").select(*refs.columns, F.coalesce("candidates", F.lit(0)).alias("candidates"), "target_chunk_id")
@@ -159,25 +161,49 @@ def stored_relations(anchors: DataFrame, chunks: DataFrame, adjacent: DataFrame)
     and one to these neighbours' rows."""
     a = anchors.select("anchor_key", *SCOPE, F.col("chunk_id").alias("anchor"))
     found = a.join(adjacent.select(*SCOPE, "anchor", "chunk_id", "relation", "place"), [*SCOPE, "anchor"]).drop("anchor")
-    c = chunks.select(*SCOPE, "document_id", "chunk_id", "section_id", "order_index", "content", "title", "heading_path", "chunk_type")
+    own = [x for x in ("content", "same", "poor", "trimmed", "chars") if x in chunks.columns]
+    c = chunks.select(*SCOPE, "document_id", "chunk_id", "section_id", "order_index", *own, "title", "heading_path", "chunk_type")
     priority = F.element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("relation"))
     return found.join(c, [*SCOPE, "chunk_id"]).select("anchor_key", *c.columns, "relation", priority.alias("priority"), "place")
 
 
+def with_same(chunks: DataFrame) -> DataFrame:
+    """What a capped E10 asks of a text, in place of it: ``same``, equal for equal texts, and
+    ``poor``. Made where the texts lie, so that none of them has to travel."""
+    poor = (F.col("chunk_type") == "reference_pointer") | low_information(F.col("content"))
+    return chunks.withColumns({"same": F.sha2(squeeze(F.col("content")), 256), "poor": F.coalesce(poor, F.lit(False))}).drop("content")
+
+
+def with_trimmed(chunks: DataFrame) -> DataFrame:
+    """What E13 asks of a text before it takes it: ``trimmed``, equal for texts that are equal
+    but for white space at their ends, and its length ``chars``."""
+    content = F.coalesce("content", F.lit(""))
+    return chunks.withColumns({"trimmed": F.sha2(strip(content), 256), "chars": F.length(content)})
+
+
+def short_texts(chunks: DataFrame) -> DataFrame:
+    """Without the texts that are too long for any context and so can be no supplement."""
+    return chunks.withColumn("content", F.when(F.col("chars") <= CONTEXT_CHARS, F.col("content")))
+
+
 def inject(seeds: DataFrame, related: DataFrame, cap: int | None = None) -> DataFrame:
     """Graph candidates of each query from its first 10 seeds.
 
-    ``seeds`` has query_id, rank, kb_id, chunk_id, index_version, content and anchor_key;
+    ``seeds`` has query_id, rank, kb_id, chunk_id, index_version, anchor_key and content;
     ``related`` comes from ``relations``. The walk depends on its own history, so each query's
     bounded list (10 seeds of at most 6 relations) is folded in order. With ``cap`` known
-    text, pointers and low information are skipped too.
+    text, pointers and low information are skipped too; without it no text is read. Both may
+    have gone through ``with_same``.
     """
-    known = seeds.groupBy("query_id").agg(F.collect_set(F.concat_ws("\x01", "kb_id", "chunk_id")).alias("ids"), F.collect_set(F.concat_ws("\x01", "kb_id", squeeze(F.col("content")))).alias("texts"), F.count(F.lit(1)).cast("int").alias("n"))
+    if cap is not None:
+        seeds, related = (x if "same" in x.columns else with_same(x if "chunk_type" in x.columns else x.withColumn("chunk_type", F.lit(""))) for x in (seeds, related))
+    pair = lambda column: F.concat_ws("\x01", "kb_id", column)
+    texts = F.array().cast("array<string>") if cap is None else F.collect_set(pair("same"))
+    known = seeds.groupBy("query_id").agg(F.collect_set(pair("chunk_id")).alias("ids"), (F.first(texts) if cap is None else texts).alias("texts"), F.count(F.lit(1)).cast("int").alias("n"))
     walk = seeds.filter((F.col("rank") <= SEEDS) & (F.col("index_version") != "v1")).select("query_id", "rank", "anchor_key", F.col("chunk_id").alias("anchor_chunk_id"))
     item = F.struct(
         F.col("rank").cast("int").alias("rank"), F.col("place").cast("int").alias("place"), "anchor_chunk_id", "kb_id", "chunk_id", "relation",
-        F.concat_ws("\x01", "kb_id", "chunk_id").alias("identity"), F.concat_ws("\x01", "kb_id", squeeze(F.col("content"))).alias("text"),
-        ((F.col("chunk_type") == "reference_pointer") | low_information(F.col("content"))).alias("poor"),
+        pair("chunk_id").alias("identity"), *([] if cap is None else [pair("same").alias("text"), F.col("poor")]),
     )
     lists = walk.join(related, "anchor_key").groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     out_type = "array<struct<rank:int,place:int,anchor_chunk_id:string,kb_id:string,chunk_id:string,relation:string>>"
@@ -188,11 +214,11 @@ def inject(seeds: DataFrame, related: DataFrame, cap: int | None = None) -> Data
         own = F.when(s.seed == x.rank, s.own).otherwise(F.lit(0))
         skip = F.array_contains(s.ids, x.identity)
         if cap is not None:
-            skip = skip | F.array_contains(s.texts, x.text) | F.coalesce(x.poor, F.lit(False))
+            skip = skip | F.array_contains(s.texts, x.text) | x.poor
         take = ~skip & (s.total < F.col("most")) & (own < PER_SEED)
         return F.struct(
             F.when(take, F.concat(s.ids, F.array(x.identity))).otherwise(s.ids).alias("ids"),
-            F.when(take, F.concat(s.texts, F.array(x.text))).otherwise(s.texts).alias("texts"),
+            (s.texts if cap is None else F.when(take, F.concat(s.texts, F.array(x.text))).otherwise(s.texts)).alias("texts"),
             x.rank.alias("seed"),
             F.when(take, own + 1).otherwise(own).alias("own"),
             F.when(take, s.total + 1).otherwise(s.total).alias("total"),
@@ -230,39 +256,54 @@ def graph_quota(seeds: DataFrame, injected: DataFrame, top_k: int) -> DataFrame:
     return kept.select(*key, "rank", F.lit("seed").alias("origin")).unionByName(tail)
 
 
-def expand_context(anchors: DataFrame, related: DataFrame) -> DataFrame:
-    """Each anchor with at most 3 distinct supplements whose composed text stays within
-    4096 characters; the first supplement that would not fit ends the list. Counts per anchor."""
-    item = F.struct(F.col("place").cast("int").alias("place"), F.col("chunk_id").alias("chunk_id"), F.col("relation").alias("relation"), F.coalesce("content", F.lit("")).alias("content"))
+def choose_supplements(anchors: DataFrame, related: DataFrame) -> DataFrame:
+    """The anchors with ``kept`` (at most 3 distinct supplements whose composed text stays
+    within 4096 characters; the first that would not fit ends the list) and ``duplicates``.
+
+    Nothing but equality and length of texts decides, see ``with_trimmed``; ``content`` of the
+    supplements comes along where ``related`` has it.
+    """
+    content = [F.coalesce("content", F.lit("")).alias("content")] if "content" in related.columns else []
+    item = F.struct(F.col("place").cast("int").alias("place"), "chunk_id", "relation", "trimmed", "chars", *content)
     lists = related.groupBy("anchor_key").agg(F.sort_array(F.collect_list(item)).alias("items"))
     rows = anchors.join(lists, "anchor_key", "left")
-    kind = "array<struct<place:int,chunk_id:string,relation:string,content:string>>"
-    none = F.array().cast(kind)
-    start = F.struct(F.array(F.col("chunk_id")).alias("ids"), F.array(strip(F.coalesce("content", F.lit("")))).alias("texts"), none.alias("kept"), F.lit(0).alias("duplicates"))
+    none = F.array().cast(lists.schema["items"].dataType)
+    start = F.struct(F.array(F.col("chunk_id")).alias("ids"), F.array(F.col("trimmed")).alias("texts"), none.alias("kept"), F.lit(0).alias("duplicates"))
 
     def step(s: Column, x: Column) -> Column:
         full = F.size(s.kept) >= SUPPLEMENTS
-        twin = F.array_contains(s.ids, x.chunk_id) | F.array_contains(s.texts, strip(x.content))
+        twin = F.array_contains(s.ids, x.chunk_id) | F.array_contains(s.texts, x.trimmed)
         take = ~full & ~twin
         return F.struct(
             F.when(take, F.concat(s.ids, F.array(x.chunk_id))).otherwise(s.ids).alias("ids"),
-            F.when(take, F.concat(s.texts, F.array(strip(x.content)))).otherwise(s.texts).alias("texts"),
+            F.when(take, F.concat(s.texts, F.array(x.trimmed))).otherwise(s.texts).alias("texts"),
             F.when(take, F.concat(s.kept, F.array(x))).otherwise(s.kept).alias("kept"),
             F.when(~full & twin, s.duplicates + 1).otherwise(s.duplicates).alias("duplicates"),
         )
 
-    rows = rows.withColumn("_s", F.aggregate(F.coalesce("items", none), start, step))
-    sizes = [F.slice(F.col("_s.kept"), 1, n) for n in range(SUPPLEMENTS + 1)]
-    texts = [compose_context(F.col("title"), F.col("heading_path"), F.col("content"), x) for x in sizes]
-    rows = rows.withColumn("_t", F.array(*texts))
-    fits = lambda n: (F.size("_s.kept") >= n) & (F.length(F.element_at("_t", n + 1)) <= CONTEXT_CHARS)
+    rows = rows.withColumn("_s", F.aggregate(F.coalesce("items", none), start, step)).drop("items")
+    # The length of a composed text: each part and each supplement adds itself and a blank line,
+    # the last has none after it; the first reference adds its label and a line end.
+    line = lambda label, x: F.when(strip(x) != "", len(label) + F.length(strip(x)) + 2).otherwise(0)
+    alone = F.coalesce(line(TITLE_LABEL, F.col("title")), F.lit(0)) + F.coalesce(line(HEADING_LABEL, F.col("heading_path")), F.lit(0)) + F.when(F.col("chars") > 0, F.col("chars") + 2).otherwise(0)
+
+    def total(n: int) -> Column:
+        some = F.slice(F.col("_s.kept"), 1, n)
+        own = F.aggregate(some, F.lit(0), lambda s, x: s + F.when((x.relation == "reference") | (x.chars > 0), x.chars + 2).otherwise(0))
+        return alone + own + F.when(F.exists(some, lambda x: x.relation == "reference"), len(REFERENCES_LABEL) + 1).otherwise(0) - 2
+
+    fits = lambda n: (F.size("_s.kept") >= n) & (total(n) <= CONTEXT_CHARS)
     used = F.when(fits(1), F.when(fits(2), F.when(fits(3), 3).otherwise(2)).otherwise(1)).otherwise(0)
-    rows = rows.withColumn("supplements", used)
-    return rows.select(
-        *anchors.columns, F.element_at("_t", F.col("supplements") + 1).alias("context"),
-        F.concat(F.array("chunk_id"), F.transform(F.slice(F.col("_s.kept"), F.lit(1), F.col("supplements")), lambda x: x.chunk_id)).alias("context_ids"),
-        "supplements", F.col("_s.duplicates").alias("duplicates"),
-    )
+    return rows.withColumn("supplements", used).withColumn("kept", F.slice(F.col("_s.kept"), F.lit(1), F.col("supplements"))).withColumn("duplicates", F.col("_s.duplicates")).drop("_s")
+
+
+def expand_context(anchors: DataFrame, related: DataFrame) -> DataFrame:
+    """Each anchor with its supplements in one text, ``context``. Counts per anchor."""
+    asked, found = (x if "trimmed" in x.columns else with_trimmed(x) for x in (anchors, related))
+    rows = choose_supplements(asked, short_texts(found))
+    context = compose_context(F.col("title"), F.col("heading_path"), F.col("content"), F.col("kept"))
+    ids = F.concat(F.array("chunk_id"), F.transform("kept", lambda x: x.chunk_id))
+    return rows.select(*anchors.columns, context.alias("context"), ids.alias("context_ids"), "supplements", "duplicates")
 
 
 def compose_context(title: Column, heading_path: Column, content: Column, supplements: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trawl.operators import graph
 from trawl.plans import tables as t
+from trawl.sources.shared import stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -108,8 +109,8 @@ def e8(spark, d):
     return graph.section_neighbours(anchors(spark, d), t.graph(spark, d)[0]).select("anchor_key", "chunk_id", "relation")
 
 
-def related(spark: SparkSession, d: str) -> DataFrame:
-    return graph.stored_relations(anchors(spark, d), t.graph(spark, d)[0], t.adjacency(spark, d))
+def related(spark: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
+    return graph.stored_relations(anchors(spark, d), t.graph(spark, d)[0] if chunks is None else chunks, t.adjacency(spark, d))
 
 
 @query("e9_relations_in_order", f"SELECT anchor_key, chunk_id, relation, place FROM {_E9}")
@@ -124,8 +125,8 @@ _QID = "concat_ws(':', tenant_id, kb_id, CAST(floor(doc_id / 120) AS BIGINT))"
 _SEEDS = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id * 31 % 101, doc_id) AS rank FROM (SELECT {_QID} AS query_id, chunk_id, kb_id, doc_id FROM {_C}))"
 
 
-def first_seeds(spark: SparkSession, d: str) -> DataFrame:
-    rows = anchors(spark, d).withColumn("query_id", F.expr(_QID))
+def first_seeds(spark: SparkSession, d: str, chunks: DataFrame | None = None) -> DataFrame:
+    rows = (anchors(spark, d) if chunks is None else chunks.withColumn("anchor_key", F.col("chunk_id"))).withColumn("query_id", F.expr(_QID))
     return rows.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY doc_id * 31 % 101, doc_id)"))
 
 
@@ -136,7 +137,8 @@ def e10(spark, d):
 
 @query("e10_graph_injection_capped")
 def e10_capped(spark, d):
-    return graph.inject(first_seeds(spark, d), related(spark, d), cap=10)
+    chunks = stored(graph.with_same(t.graph(spark, d)[0]).drop("reference_texts", "link"), "same")
+    return graph.inject(first_seeds(spark, d, chunks), related(spark, d, chunks), cap=10)
 
 
 _INJ = f"(SELECT s.query_id, s.kb_id, s.rank, s.chunk_id AS anchor_chunk_id, e.chunk_id, e.relation, e.p FROM {_SEEDS} s JOIN {_E9} e ON e.anchor_key = s.chunk_id WHERE s.rank <= 10)"
@@ -166,11 +168,14 @@ def e12(spark, d):
 
 @query("e13_context_expansion")
 def e13(spark, d):
-    found = graph.expand_context(anchors(spark, d).filter("index_version <> 'v1'").select("anchor_key", "chunk_id", "title", "heading_path", "content"), related(spark, d))
+    chunks = graph.with_trimmed(t.graph(spark, d)[0])
+    rows = chunks.withColumn("anchor_key", F.col("chunk_id")).filter("index_version <> 'v1'").select("anchor_key", "chunk_id", "title", "heading_path", "content", "trimmed", "chars")
+    found = graph.expand_context(rows, related(spark, d, graph.short_texts(chunks)))
     return found.select("chunk_id", "context", F.array_join("context_ids", ",").alias("context_ids"), "supplements", "duplicates")
 
 
 @query("e15_context_counters")
 def e15(spark, d):
-    rows = first_seeds(spark, d).filter("index_version <> 'v1'").select("query_id", "anchor_key", "chunk_id", "title", "heading_path", "content")
-    return graph.context_counters(graph.expand_context(rows, related(spark, d)))
+    chunks = stored(graph.with_trimmed(t.graph(spark, d)[0]).drop("content", "reference_texts", "link"), "trimmed")
+    rows = first_seeds(spark, d, chunks).filter("index_version <> 'v1'").select("query_id", "anchor_key", "chunk_id", "title", "heading_path", "trimmed", "chars")
+    return graph.context_counters(graph.choose_supplements(rows, related(spark, d, chunks)))
