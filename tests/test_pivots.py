@@ -57,3 +57,20 @@ def test_far_blocks_are_not_read(spark, corpus, tmp_path):
 def test_no_vectors(spark, corpus, tmp_path):
     index = pivots.write_vectors(corpus.filter("chunk_id IN ('zero', 'none', 'empty')"), f"file://{tmp_path}/i")
     assert pivots.pivot_top_k(*asked(spark), index, 5).count() == 0
+
+
+def test_many_queries_of_a_block(spark, corpus, tmp_path, monkeypatch):
+    """A task holds the scores of few queries at a time, and a block's queries are dealt out."""
+    index = pivots.write_vectors(corpus, f"file://{tmp_path}/i", pivots=4)
+    queries, scope = asked(spark)
+    bounds = stored(pivots.block_bounds(queries, scope, index))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(pivots._multiplied(bounds, index, 7, most=2)) == rows(pivots._multiplied(bounds, index, 7))
+    monkeypatch.setattr(vector, "SLICE", 3)
+    import pyarrow as pa
+
+    q, c = bounds.select("query_id", "query_vector").limit(40).toArrow(), corpus.filter("size(embedding) > 0").toArrow()
+    few = vector._block_top_k(7)(q, c)
+    monkeypatch.setattr(vector, "SLICE", 1000)
+    whole = vector._block_top_k(7)(q, c)
+    assert few.num_rows == q.num_rows * 7 and few.drop_columns("score") == whole.drop_columns("score") and isinstance(few, pa.Table)

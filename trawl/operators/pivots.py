@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.operators.vector import _BASE, _HIT, _block_top_k, _unit, ranked
+from trawl.operators.vector import _BASE, _HIT, QUERY_BLOCK, _block_top_k, _unit, ranked
 from trawl.sources.shared import stored
 
 #: Pivots, thickness of a ring, vectors of a block, and a query's blocks that are read first.
@@ -108,11 +108,14 @@ def block_bounds(queries: DataFrame, scope: DataFrame, index: VectorIndex) -> Da
     return rows.select("query_id", "query_vector", *_CELL, "n", (1 - least * least / 2 + SLACK).alias("most"))
 
 
-def _multiplied(blocks: DataFrame, index: VectorIndex, k: int) -> DataFrame:
-    """The k best of each given block for each query that asks for it."""
-    vectors = index.table("vectors").join(blocks.select(*_CELL).distinct(), _CELL, "left_semi").select(*dict.fromkeys([*_HIT[1:], "embedding", *_CELL]))
-    kind = ", ".join(f"{c} string" for c in _HIT) + ", score double"
-    return blocks.select("query_id", "query_vector", *_CELL).groupBy(_CELL).cogroup(vectors.groupBy(_CELL)).applyInArrow(_block_top_k(k), kind)
+def _multiplied(blocks: DataFrame, index: VectorIndex, k: int, most: int = QUERY_BLOCK) -> DataFrame:
+    """The k best of each given block for each query that asks for it. A block that more than
+    ``most`` queries ask for is multiplied in several tasks, so a task's memory does not grow."""
+    asked = blocks.groupBy(*_CELL).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("groups"))
+    vectors = index.table("vectors").join(asked, _CELL).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(*dict.fromkeys([*_HIT[1:], "embedding", *_CELL, "group"]))
+    queries = blocks.select("query_id", "query_vector", *_CELL).join(asked, _CELL).withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int")).drop("groups")
+    on, kind = [*_CELL, "group"], ", ".join(f"{c} string" for c in _HIT) + ", score double"
+    return queries.groupBy(on).cogroup(vectors.groupBy(on)).applyInArrow(_block_top_k(k), kind)
 
 
 def read_blocks(bounds: DataFrame, index: VectorIndex, k: int, first: int = FIRST) -> tuple[DataFrame, DataFrame]:

@@ -37,11 +37,18 @@ def successful(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 #: Chunks and queries of a base that a task multiplies at once.
 CHUNK_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Queries whose scores against a block are held at once.
+SLICE = 256
 
 
 def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
     """Vectors of one length as rows of length 1; zero vectors become rows of nan."""
-    x = np.stack([np.asarray(v, np.float64) for v in vectors.to_pylist()])
+    x = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = set(x.value_lengths().to_pylist())
+    if len(sizes) == 1 and None not in sizes:  # no Python object for each component
+        x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+    else:
+        x = np.stack([np.asarray(v, np.float64) for v in x.to_pylist()])
     with np.errstate(invalid="ignore", divide="ignore"):
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -54,19 +61,22 @@ def _block_top_k(k: int):
     def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
         if not queries.num_rows or not chunks.num_rows:
             return pa.table({**{c: pa.array([], pa.string()) for c in _HIT}, "score": pa.array([], pa.float64())})
-        scores = np.round(_unit(queries["query_vector"]) @ _unit(chunks["embedding"]).T, 12)  # equal vectors tie
-        scores = np.where(np.isfinite(scores), scores, -np.inf)
+        chunk_units = _unit(chunks["embedding"]).T
         ids, kbs = (np.array(chunks[c].to_pylist()) for c in ("chunk_id", "kb_id"))
-        rows, columns = [], []
-        for i, own in enumerate(scores):
-            at = np.flatnonzero(own >= (np.partition(own, -k)[-k] if len(own) > k else -np.inf))
-            at = at[np.isfinite(own[at])]
-            at = at[np.lexsort((ids[at], kbs[at], -own[at]))][:k]
-            rows += [i] * len(at)
-            columns += at.tolist()
+        rows, columns, kept = [], [], []
+        for start in range(0, queries.num_rows, SLICE):
+            scores = np.round(_unit(queries["query_vector"].slice(start, SLICE)) @ chunk_units, 12)  # equal vectors tie
+            scores = np.where(np.isfinite(scores), scores, -np.inf)
+            for i, own in enumerate(scores, start):
+                at = np.flatnonzero(own >= (np.partition(own, -k)[-k] if len(own) > k else -np.inf))
+                at = at[np.isfinite(own[at])]
+                at = at[np.lexsort((ids[at], kbs[at], -own[at]))][:k]
+                rows += [i] * len(at)
+                columns += at.tolist()
+                kept += own[at].tolist()
         of = pa.array(columns, pa.int64())
         found = {"query_id": queries["query_id"].take(pa.array(rows, pa.int64())), **{c: chunks[c].take(of) for c in _HIT[1:]}}
-        return pa.table({**found, "score": pa.array(scores[rows, columns] if rows else [], pa.float64())})
+        return pa.table({**found, "score": pa.array(kept, pa.float64())})
 
     return run
 
