@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.functions.text import LINK, MARKERS, QUOTED_TITLE, REFERENCES_LABEL, HEADING_LABEL, SECTION_MARK, TITLE_LABEL, full_lines, low_information, squeeze, strip
+from trawl.functions.text import LINK, MARKERS, QUOTED_TITLE, REFERENCES_LABEL, HEADING_LABEL, SECTION_MARK, TITLE_LABEL, full_lines, has_marker, low_information, squeeze, strip, strip_long
 from trawl.sources.shared import stored
 
 SCOPE = ["tenant_id", "kb_id", "index_version"]
@@ -18,7 +18,10 @@ SUPPLEMENTS, CONTEXT_CHARS = 3, 4096
 def extract_references(content: Column) -> Column:
     """Lines that quote a document title, hold a link or a section marker, distinct."""
     hits = F.filter(full_lines(content), lambda x: x.rlike(QUOTED_TITLE) | x.rlike(LINK) | (x.rlike(SECTION_MARK) & x.rlike(MARKERS)))
-    return F.array_distinct(F.transform(hits, lambda x: F.regexp_replace(x, r"^[> ]+", "")))
+    found = F.array_distinct(F.transform(hits, lambda x: F.regexp_replace(x, r"^[> ]+", "")))
+    # Each of the patterns has fixed characters: text without all of them is not cut into lines.
+    some = content.contains("《") | content.contains("](") | has_marker(content)
+    return F.when(some, found).otherwise(F.array().cast("array<string>"))
 
 
 def _bare_title(title: Column) -> Column:
@@ -178,7 +181,7 @@ def with_trimmed(chunks: DataFrame) -> DataFrame:
     """What E13 asks of a text before it takes it: ``trimmed``, equal for texts that are equal
     but for white space at their ends, and its length ``chars``."""
     content = F.coalesce("content", F.lit(""))
-    return chunks.withColumns({"trimmed": F.sha2(strip(content), 256), "chars": F.length(content)})
+    return chunks.withColumns({"trimmed": F.sha2(strip_long(content), 256), "chars": F.length(content)})
 
 
 def short_texts(chunks: DataFrame) -> DataFrame:
