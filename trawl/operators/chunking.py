@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trawl.functions.text import FENCE, TABLE_LABEL, chunk_type, heading_level, heading_title, let, lines, low_information, parent_path, pointer_only, reference_texts, section_id, squeeze, strip, table_row, table_separator
+from trawl.functions.text import FENCE, TABLE_LABEL, WHITE, chunk_type, heading_level, heading_title, let, is_blank, lines, low_information, parent_path, pointer_only, reference_texts, section_id, squeeze, strip, strip_long, table_row, table_separator
 
 SIZE, OVERLAP, TABLE_ROWS = 800, 100, 10
 _STRINGS = "array<string>"
@@ -125,14 +125,14 @@ def scan_lines(documents: DataFrame, deepest: int = 6) -> DataFrame:
     Lines of only ``---`` outside fences go; headings to level ``deepest`` outside fences open
     sections; ``path`` holds the titles of the headings that are open.
     """
-    rows = documents.filter(strip(F.coalesce("content", F.lit(""))) != "").select("document_id", F.posexplode(lines(F.col("content"))).alias("pos", "line"))
+    rows = documents.filter(~is_blank(F.coalesce("content", F.lit("")))).select("document_id", F.posexplode(lines(F.col("content"))).alias("pos", "line"))
     order = Window.partitionBy("document_id").orderBy("pos")
     past, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("is_fence", F.col("line").rlike(FENCE)).withColumn("level0", heading_level(F.col("line")))
     # A fence mark that would be a heading cannot occur: the patterns exclude each other.
     rows = rows.withColumn("in_fence", F.coalesce(F.sum(F.col("is_fence").cast("int")).over(past), F.lit(0)) % 2 == 1)
     rows = rows.withColumn("level", F.when(~F.col("in_fence") & (F.col("level0") <= deepest), F.col("level0")))
-    rows = rows.filter(F.col("in_fence") | (strip(F.col("line")) != "---")).withColumn("line", F.regexp_replace("line", r"(?U)\s+$", ""))
+    rows = rows.filter(F.col("in_fence") | (strip_long(F.col("line")) != "---")).withColumn("line", F.rtrim(F.col("line"), F.lit(WHITE)))
     rows = rows.withColumn("section", F.sum(F.col("level").isNotNull().cast("int")).over(upto))
     title = heading_title(F.col("line"))
     parts = []
@@ -155,7 +155,7 @@ def mark_blocks(scanned: DataFrame) -> DataFrame:
     rows = rows.withColumn("_run", F.sum((~F.col("_row").eqNullSafe(before("_row"))).cast("int")).over(upto))
     rows = rows.withColumn("is_table", F.col("_row") & (F.count(F.lit(1)).over(Window.partitionBy("document_id", "section", "_run")) >= 2))
     rows = rows.withColumn("atomic", F.col("in_fence") | F.col("is_fence"))
-    rows = rows.withColumn("blank", ~F.col("atomic") & (strip(F.col("line")) == ""))
+    rows = rows.withColumn("blank", ~F.col("atomic") & is_blank(F.col("line")))
     opens = F.col("is_fence") & ~F.col("in_fence")
     change = before("is_table").isNull() | ~F.col("is_table").eqNullSafe(before("is_table")) | opens | F.col("blank") | (F.col("atomic") != before("atomic"))
     rows = rows.withColumn("unit", F.sum(F.coalesce(change, F.lit(True)).cast("int")).over(upto))
@@ -268,7 +268,7 @@ def split_structured(documents: DataFrame, size: int = SIZE, overlap: int = OVER
     pieces = block_pieces(mark_blocks(scan_lines(_dealt(documents), deepest)), size, overlap, table_rows)
     order = Window.partitionBy("document_id").orderBy("pos", "part")
     table_part = F.when(F.col("kind") == "table", F.col("part") + 1)
-    return pieces.filter(strip(F.col("text")) != "").select("document_id", (F.row_number().over(order) - 1).alias("ord"), "heading_path", "kind", table_part.alias("table_part"), "text")
+    return pieces.filter(~is_blank(F.col("text"))).select("document_id", (F.row_number().over(order) - 1).alias("ord"), "heading_path", "kind", table_part.alias("table_part"), "text")
 
 
 def drop_repeated(pieces: DataFrame) -> DataFrame:
