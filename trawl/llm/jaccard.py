@@ -15,6 +15,10 @@ is missed. Many texts can be left in one shingle's group that are almost similar
 each. So the group is cut into blocks by hash, and tasks compare two blocks at a time by their
 parities; only pairs that these let through become rows.
 
+Spark sizes stored tables by their compressed files, and shingles taken out of an array by the
+array's one value, so it would broadcast what the driver cannot hold: the joins of shingles,
+parities and words are merge joins by hint.
+
 Shingles and the words of a whole text are known by 64-bit hashes. Texts without words have no
 shingles and no pairs here.
 """
@@ -119,7 +123,11 @@ def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
     """Shingles of at least SEEN texts of the sample, rarest first."""
     sample = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
     counts = sample.mapInArrow(_sets(shingle), "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN)
-    return np.array([r.token for r in counts.orderBy(F.desc("n"), "token").limit(COMMON).collect()][::-1], np.int64)
+    # Collected straight away, COMMON of each task would go to the driver.
+    chosen = stored(counts.orderBy(F.desc("n"), "token").limit(COMMON), "common")
+    rows = sorted(chosen.collect(), key=lambda r: (r.n, -r.token))
+    forget(chosen)
+    return np.array([r.token for r in rows], np.int64)
 
 
 def _marks(shingle: int, common: np.ndarray):
@@ -196,7 +204,7 @@ def close_pairs(members: DataFrame, sizes: DataFrame, own: DataFrame) -> DataFra
     compared with.
     """
     blocks = F.ceil(F.col("k") / BLOCK)
-    rows = members.join(own.select("tk", "least"), "tk").join(sizes, "token").withColumn("b", blocks).withColumn("i", F.pmod(F.xxhash64("tk"), F.col("b")))
+    rows = members.hint("merge").join(own.select("tk", "least"), "tk").hint("merge").join(sizes, "token").withColumn("b", blocks).withColumn("i", F.pmod(F.xxhash64("tk"), F.col("b")))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
     cell = F.least("i", "j") * F.col("b") + F.greatest("i", "j")
     side = F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("i"))  # in a block's own cell all are compared
@@ -240,7 +248,7 @@ def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -
     # Shingles travel with their text's hash alone until those of one text only have gone.
     tokens = marks.filter("n > 0").select("tk", "prefix").dropDuplicates(["tk"]).select("tk", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-    members = stored(tokens.join(shared, "token").join(own.select("tk", "fp", "n"), "tk"), "prefixes")
+    members = stored(tokens.hint("merge").join(shared, "token").hint("merge").join(own.select("tk", "fp", "n"), "tk"), "prefixes")
     turn, rows_before = 0, None
     while True:
         roots = edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
@@ -260,17 +268,17 @@ def linked(edges: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int) -
         else:  # the same text leads in most of the shingles that it is in
             lead = F.struct(F.xxhash64("tk", F.lit(turn)).alias("h"), *[F.col(c).alias(f"{c}2") for c in ("tk", "fp", "n", "root")])
             other = members.groupBy("token").agg(F.min(lead).alias("x")).select("token", "x.tk2", "x.fp2", "x.n2", "x.root2")
-            near = members.join(other, "token").filter(F.col("root") != F.col("root2")).filter(_fits(F.col("n"), F.col("n2")))
+            near = members.hint("merge").join(other, "token").filter(F.col("root") != F.col("root2")).filter(_fits(F.col("n"), F.col("n2")))
             most = near.groupBy(by).agg(F.count(F.lit(1)).alias("shared")).groupBy("tk", "fp", "n").agg(F.max(F.struct("shared", "tk2", "fp2", "n2")).alias("x"))
             near = most.select("tk", "fp", "n", "x.tk2", "x.fp2", "x.n2")
         pairs = near.select(F.least("tk", "tk2").alias("x"), F.greatest("tk", "tk2").alias("y"), F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"), (F.col("n") + F.col("n2")).alias("n")).distinct()
         bits = lambda key, name: own.select(F.col("tk").alias(key), F.col("bits").alias(name))
-        rows = pairs.join(bits("x", "s"), "x").join(bits("y", "t"), "y").select("x", "y", "a", "b", "n", "s", "t")
+        rows = pairs.hint("merge").join(bits("x", "s"), "x").hint("merge").join(bits("y", "t"), "y").select("x", "y", "a", "b", "n", "s", "t")
         pairs = stored(rows.mapInArrow(_possible, "x long, y long, a long, b long"), "pairs")
         needed = pairs.select(F.explode(F.array("x", "y")).alias("tk")).distinct()
-        wanted = stored(own.select("tk", "_id", "_th").join(needed, "tk"), "wanted")
+        wanted = stored(own.select("tk", "_id", "_th").hint("merge").join(needed, "tk"), "wanted")
         words = stored(texts.select("_id", "_th", "text").join(wanted, ["_id", "_th"]).select("tk", "text").dropDuplicates(["tk"]), "words")
-        both = pairs.join(words.select(F.col("tk").alias("x"), F.col("text").alias("s")), "x").join(words.select(F.col("tk").alias("y"), F.col("text").alias("t")), "y")
+        both = pairs.hint("merge").join(words.select(F.col("tk").alias("x"), F.col("text").alias("s")), "x").hint("merge").join(words.select(F.col("tk").alias("y"), F.col("text").alias("t")), "y")
         found = both.select("a", "b", "s", "t").mapInArrow(_verify(shingle), "a long, b long")
         edges, before = simhash.connected(edges.unionByName(found.distinct())), edges
         forget(before, pairs, wanted, words)

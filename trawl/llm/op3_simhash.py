@@ -128,8 +128,10 @@ def bucket_edges(fps: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> Da
     masks = covering_masks(list(range(BITS)), radius)
 
     def shared(rows: DataFrame, on: list[str]) -> DataFrame:
+        # Spark takes these rows to be as large as the fingerprints that they were made from, of
+        # which each gives a row for each mask: without the hint it would broadcast them.
         sizes = rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        return rows.join(sizes, on)
+        return rows.hint("merge").join(sizes, on)
 
     def solved(rows: DataFrame, on: list[str]) -> DataFrame:
         return rows.groupBy(on).agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_solve(radius), "a long, b long")
@@ -163,7 +165,7 @@ def connected(edges: DataFrame) -> DataFrame:
         before = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.hint("merge").join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges, last = stored(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges"), edges

@@ -82,7 +82,7 @@ def copies_of(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     bases = cells.join(classes, ["_s", "_class"]).join(targets, "_s").select("_s", "_class", "_salt", (F.col("in_class") + F.col("in_source")).alias("base"), "source_size", "target", rate.alias("rate"), offset.alias("u"))
     within = Window.partitionBy("_s", "_class", "_salt").orderBy("size", "doc_id", "_th").rowsBetween(Window.unboundedPreceding, -1)
-    placed = kinds.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(bases, ["_s", "_class", "_salt"])
+    placed = kinds.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).hint("merge").join(bases, ["_s", "_class", "_salt"])
     # Rows alike, in stretches of STRETCH: no array holds more.
     placed = placed.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(STRETCH).cast("long"))))
     placed = placed.withColumn("_row", F.explode(F.sequence(F.col("_from"), F.least(F.col("n"), F.col("_from") + STRETCH) - 1)))

@@ -102,7 +102,8 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     hashed = stored(hashed_documents(docs, min_chars, batches), "line-hashes", ("batch",))
     frequent = frequent_hashes(hashed, min_docs, batches, fanout)
     lines = hashed.select("_id", "_th", F.posexplode("hs").alias("pos", "h")).filter("h IS NOT NULL").select("_id", "_th", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
-    hits = lines.join(frequent, _H).groupBy("_id", "_th").agg(F.sort_array(F.collect_set("pos")).alias("_pos"))
+    # Lines that a document repeats are stored in few bytes, by which Spark would size them.
+    hits = lines.hint("merge").join(frequent, _H).groupBy("_id", "_th").agg(F.sort_array(F.collect_set("pos")).alias("_pos"))
     rows = keyed(docs).join(hits, ["_id", "_th"], "left").withColumn("_lines", lines_of(F.col("row.text")))
     # The kept stretches between dropped positions; _lines is used twice, so it is split once.
     cuts = F.zip_with(F.concat(F.array(F.lit(-1)), "_pos"), F.concat("_pos", F.array(F.size("_lines"))), lambda a, b: F.struct((a + 2).alias("at"), (b - a - 1).alias("n")))
